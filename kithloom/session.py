@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at every scale; sizes of partitions stay with the cluster.
 DEFAULTS = {
@@ -27,15 +27,22 @@ def build_session(app: str = "kithloom", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests, local mode) a folder of this machine is made and set.
+    Only where that setting is absent (tests, local mode) a folder of this machine is made and set for the session.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="kithloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, without its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
