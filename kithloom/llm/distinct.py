@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bits of each slice's bitmap, and slices; the last slice takes the rest. Good for about BITS * 2^SLICES ids.
-BITS, SLICES = 4096, 28
+BITS, SLICES = 16384, 28
 WORDS = BITS // 64
 #: A slice with more set bits than this is saturated; the estimate starts above the last such slice.
 SATURATED = BITS * 4 // 5
@@ -34,7 +34,7 @@ def sketch(rows: DataFrame, keys: Sequence[str], ids: Column) -> DataFrame:
         .select(*keys, h.alias("__h"))
         .withColumn("__low", low)
         .withColumn("__p", place.cast("int"))
-        .select(*keys, (level * WORDS + F.shiftright("__p", 6)).cast("int").alias("slot"), F.expr(f"shiftleft(1L, __p & 63)").alias("bits"))
+        .select(*keys, (level * WORDS + F.shiftright("__p", 6)).cast("int").alias("slot"), F.expr("shiftleft(1L, __p & 63)").alias("bits"))
         .groupBy(*keys, "slot")
         .agg(F.bit_or("bits").alias("bits"))
     )
@@ -50,7 +50,7 @@ def estimate(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Each unsaturated slice gives -BITS ln(1 - filled part) ids; their sum stands for a 2^-base part of all ids, base being the
     first slice above the saturated ones. The error adds the chance of bits that coincide and of which ids fall into these
-    slices; with BITS = 4096 it stays below 1.7 percent at any size, and below 0.7 percent up to some 6,000 ids.
+    slices; with BITS = 16384 it stays below 0.9 percent at any size, and below 0.4 percent up to some 25,000 ids.
     """
     level = F.floor(F.col("slot") / WORDS)
     filled = [F.coalesce(F.sum(F.when(level == i, F.bit_count("bits"))), F.lit(0)).alias(f"s{i}") for i in range(SLICES)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithloom.functions.canonical import canonical_name, known_account
@@ -14,6 +16,8 @@ P1_COUNT, P1_LIFT = 5, 8
 P4_SHARED, P4_PART = 30, 0.25
 #: p5: a recorded size is wrong beyond this part of the true one; standard errors a sketch is trusted within, and ids a coincidence of bits may hide.
 P5_OFF, P5_SIGMAS, P5_HIDDEN = 0.15, 6.0, 2.0
+#: p5: slices that are broadcast at most, some 50 bytes each; more are joined by shuffling.
+P5_BROADCAST = 500_000
 #: Seed of the mixture.
 P7_SEED = 7
 
@@ -91,28 +95,36 @@ def _slices(sizes: DataFrame) -> DataFrame:
     return sizes.select("size_id", "num_users", F.coalesce(F.when(second.isNotNull(), F.least(a, b)), a).alias("a"), F.when(second.isNotNull(), F.greatest(a, b)).alias("b"), F.col("size_day").alias("day"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most P5_BROADCAST rows, by count; else as it is, for an ordinary join."""
+    return F.broadcast(df) if df.limit(P5_BROADCAST + 1).count() <= P5_BROADCAST else df
+
+
 def _parts(slices: DataFrame) -> DataFrame:
     """A row (sid, c, day) for each community of a slice; c null stands for all rows, day null for the whole period."""
     return slices.select("sid", "day", F.explode(F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", "b"))).alias("c"))
 
 
-def _with_slices(rows: DataFrame, parts: DataFrame, roll) -> DataFrame:
-    """``rows`` (community, day, ...) with the sid of each slice they belong to; ``roll`` brings rows to the keys given."""
-    both = parts.where("c IS NOT NULL AND day IS NOT NULL").withColumnRenamed("c", "community")
-    named = parts.where("c IS NOT NULL AND day IS NULL").select("sid", F.col("c").alias("community"))
-    dated = parts.where("c IS NULL AND day IS NOT NULL").select("sid", "day")
-    whole = parts.where("c IS NULL AND day IS NULL").select("sid", F.lit(1).alias("one"))
-    found = [
-        rows.join(both, ["community", "day"]),
-        roll(rows.where("community IS NOT NULL"), ["community"]).join(named, "community"),
-        roll(rows.where("day IS NOT NULL"), ["day"]).join(dated, "day"),
-        roll(rows, []).withColumn("one", F.lit(1)).join(whole, "one"),
-    ]
-    kept = [c for c in rows.columns if c not in ("community", "day")]
-    out = found[0].select("sid", *kept)
-    for x in found[1:]:
-        out = out.unionByName(x.select("sid", *kept))
-    return out
+def _slice_kinds(parts: DataFrame):
+    """((key columns of the rows, the parts that have just these keys), ...)."""
+    yield ["c", "day"], parts.where("c IS NOT NULL AND day IS NOT NULL").select("sid", "c", "day")
+    yield ["c"], parts.where("c IS NOT NULL AND day IS NULL").select("sid", "c")
+    yield ["day"], parts.where("c IS NULL AND day IS NOT NULL").select("sid", "day")
+    yield ["whole"], parts.where("c IS NULL AND day IS NULL").select("sid", F.lit(1).alias("whole"))
+
+
+def _estimated_slices(users: DataFrame, slices: DataFrame) -> DataFrame:
+    """(sid, n_est, rel_error) of each slice with users. Only what slices ask for is sketched; unions merge their communities' sketches."""
+    found = []
+    for keys, parts in _slice_kinds(_parts(slices)):
+        of_unions = parts.join(slices.where("b IS NOT NULL").select("sid"), "sid", "left_semi")
+        asked = users.join(_small(parts.select(*keys).distinct()), keys, "left_semi")
+        base = distinct.sketch(asked, keys, F.col("id"))
+        found.append(distinct.estimate(base, keys).join(parts, keys).join(slices.where("b IS NULL").select("sid"), "sid", "left_semi").select("sid", "n_est", "rel_error"))
+        if "c" in keys:
+            merged = distinct.merge(base.join(of_unions, keys).select("sid", "slot", "bits"), ["sid"])
+            found.append(distinct.estimate(merged, ["sid"]))
+    return reduce(DataFrame.unionByName, found)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +132,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Sketches decide wherever their error leaves no doubt; the slices of the other rows are counted exactly.
     """
-    stated = _slices(_table(spark, sf_dir, "reddit_comm_sizes").where("num_users IS NOT NULL")).withColumn("sid", F.xxhash64("a", F.coalesce("b", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit(""))))
+    sid = F.xxhash64("a", F.coalesce("b", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")))
+    stated = cut(_slices(_table(spark, sf_dir, "reddit_comm_sizes").where("num_users IS NOT NULL")).withColumn("sid", sid))
     slices = stated.select("sid", "a", "b", "day").distinct()
-    users = _seen_users(spark, sf_dir)
-    base = distinct.sketch(users, ["community", "day"], F.col("id"))
-    unions = distinct.merge(_with_slices(base, _parts(slices), distinct.merge), ["sid"])
-    judged = stated.join(distinct.estimate(unions, ["sid"]), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
+    users = _seen_users(spark, sf_dir).withColumnRenamed("community", "c").withColumn("whole", F.lit(1))
+    judged = stated.join(_estimated_slices(users, slices), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
     doubt = F.col("n_est") * F.col("rel_error") * P5_SIGMAS + F.when(F.col("n_est") > 0, P5_HIDDEN).otherwise(0.0)
     low, high, n = F.col("n_est") - doubt, F.col("n_est") + doubt, F.col("num_users")
     surely_wrong = (n > high * (1 + P5_OFF)) | (n < low * (1 - P5_OFF))
     surely_right = (n <= low * (1 + P5_OFF)) & (n >= high * (1 - P5_OFF))
     judged = cut(judged.select("size_id", "sid", "a", "b", "day", "num_users", surely_wrong.alias("wrong"), (~surely_wrong & ~surely_right).alias("open")))
-    left = _parts(judged.where("open").select("sid", "a", "b", "day").distinct())
-    counted = _with_slices(users, left, lambda rows, _: rows).distinct().groupBy("sid").agg(F.count("*").alias("d"))
+    open_slices = judged.where("open").select("sid", "a", "b", "day").distinct()
+    members = reduce(DataFrame.unionByName, [users.join(_small(parts), keys).select("sid", "id") for keys, parts in _slice_kinds(_parts(open_slices))])
+    counted = members.distinct().groupBy("sid").agg(F.count("*").alias("d"))
     off = F.abs(F.col("num_users") - F.col("d")) * 100 > F.col("d") * round(100 * P5_OFF)
     settled = judged.where("open").join(counted, "sid").where(off).select("size_id")
     return judged.where("wrong").select("size_id").unionByName(settled)
