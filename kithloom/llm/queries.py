@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithloom.functions.canonical import canonical_name, known_account
-from kithloom.llm import bpe, cooccurrence, distinct, mixture, overlap
+from kithloom.llm import bpe, cooccurrence, distinct, mixture, overlap, residue
 from kithloom.session import cut
 
 #: p1: least records of a pair, and how much more often than by chance.
@@ -190,9 +190,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.reached_shares(copies, plan)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an unfilled placeholder, or without any content of their own."""
+    judged = residue.judge(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return judged.where("verdict IS NOT NULL").select("doc_id")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return docs.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_listed_pairs, p4_found, p4_overlap_sizes, p5_distinct_users, p5_found, p6_ids, p7_found, p7_mixture, p7_shares)
+    for f in (p1_found, p1_listed_pairs, p4_found, p4_overlap_sizes, p5_distinct_users, p5_found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }
 
 _ID = "nullif(lower(trim({0}, ' ' || chr(9))), '')"
