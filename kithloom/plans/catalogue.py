@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithloom.plans import scale
+from kithloom.plans import graph_queries, graph_sql, scale
 
-QUERIES = {**scale.QUERIES}
-ORACLE = {**scale.ORACLE}
+QUERIES = {**graph_queries.QUERIES, **scale.QUERIES}
+ORACLE = {**graph_sql.ORACLE, **scale.ORACLE}
