@@ -59,7 +59,7 @@ PLACEHOLDERS = (
     r"\[object Object\]",
     r"\[(?!PDF|SIC|EDIT|SOURCE|VIDEO|AUDIO|PHOTO|MAP|NEW|DELETED|REDACTED|REMOVED|CITATION|UPDATE|TOP|BACK|NEXT|PREV|SPOILER)[A-Z]{3,}(?:[ _][A-Z]{2,}){0,4}\]",
     rf"(?<![\w$#@^\\{{]){{{_NAME}}}(?!\}})",
-    r"(?<![\w$#@^_\\{→=,] )(?<![\w$#@^_\\{]){\d}(?!\})",
+    r"(?<![→=∈⊂∪∩] )(?<![\w$#@^_\\{]){\d}(?!\})",
     r"\bundefined\b",
 )
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
@@ -186,12 +186,13 @@ _SPACE = re.compile(r"[^\S\n]+")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _BREAKS = re.compile(r"\r\n?|[  \x85]")
+_DOTS = re.compile(r"(?<=\w)\.{2,}(?=\w)")
 _SEPARATORS = re.compile(r"\s*(?:[|·•»›>/\t]|::|--|\s-\s|\s–\s|\n)\s*")
 
 
 def _clean(text: str) -> str:
     """Line ends as \\n, no invisible characters, compatibility forms resolved."""
-    text = _BREAKS.sub("\n", text)
+    text = _DOTS.sub(".", _BREAKS.sub("\n", text))
     return _INVISIBLE.sub("", text if text.isascii() else unicodedata.normalize("NFKC", text.replace("…", " … ")))
 
 
@@ -335,7 +336,7 @@ def _covered(words: str) -> bytearray:
             run, typed = [], False
         at += len(word) + 1
     # numbers beside a message belong to it: codes, line numbers
-    for m in re.finditer(r"\b[0-9a-f]*\d[0-9a-f]*\b", words):
+    for m in re.finditer(r"\b(?:[0-9a-f]*\d[0-9a-f]*|[a-f]{3,8})\b", words):
         a, b = m.span()
         if a > 1 and marks[a - 2] or b + 1 < len(words) and marks[b + 1]:
             marks[a:b] = b"\1" * (b - a)
