@@ -46,3 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
+    """df, computed once and written as a table in the shared folder: columnar, so later steps read only what they need.
+
+    For larger results than ``cut``; as with that, the folder is the caller's to empty when the job is over.
+    """
+    path = fresh_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
