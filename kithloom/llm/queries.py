@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithloom.functions.canonical import canonical_name, known_account
 from kithloom.llm import bpe, cooccurrence, distinct, mixture, overlap, residue
-from kithloom.session import cut
+from kithloom.session import cut, keep
 
 #: p1: least records of a pair, and how much more often than by chance.
 P1_COUNT, P1_LIFT = 5, 8
@@ -48,7 +48,7 @@ def _member_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, vertices = _table(spark, sf_dir, "edges"), _table(spark, sf_dir, "vertices")
     ends = edges.select("community", F.explode(F.array("__src_id", "__dst_id")).alias("id"))
     rows = ends.unionByName(vertices.select("community", F.col("__id").alias("id")))
-    return overlap.set_members(rows.select(canonical_name("community").alias("community"), known_account("id").alias("id")), "community", "id")
+    return keep(overlap.set_members(rows.select(canonical_name("community").alias("community"), known_account("id").alias("id")), "community", "id"), "members")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
