@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kithloom.session import keep
+
 #: Items of one record that a task pairs with each other; larger records are cut into chunks of about this size.
 CHUNK = 256
 
@@ -31,6 +33,7 @@ def item_pairs(rows: DataFrame, record: Sequence[str], item: str, min_count: int
         raise ValueError("min_count must be 1 or more, min_lift 0 to 9999, chunk 2 or more")
     keys = [f"__r{i}" for i in range(len(record))]
     held = rows.select(*(F.col(c).alias(k) for c, k in zip(record, keys)), F.col(item).alias("__x")).dropna().distinct()
+    held = keep(held, "items")
     total = held.groupBy(*keys).agg(F.lit(1).alias("one")).agg(F.count("*").alias("n")).scalar()
     useful = held.groupBy("__x").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_count)
     if min_lift:
