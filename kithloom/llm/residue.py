@@ -181,6 +181,8 @@ _DETAIL = re.compile(
     r"|\bat [\w$]+(?:\.[\w$]+)+\(\w+\.\w+:\d+\)|\b(?:in )?thread \"?\w+\"?|\btable \"\w+\"|\bon line \d+",
     re.I,
 )
+#: One of these is in every text with such a detail.
+_TRACE = re.compile(r"/[\w.\-]+/|:\d+\)|[Oo][Nn] [Ll][Ii][Nn][Ee]|[Tt][Hh][Rr][Ee][Aa][Dd] |[Tt][Aa][Bb][Ll][Ee] \"")
 _DETAILS = " kldetail "
 _SPACE = re.compile(r"[^\S\n]+")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
@@ -217,9 +219,10 @@ def _repaired(text: str) -> str:
 
 def placeholder(text: str | None) -> str | None:
     """The first placeholder that stands unfilled in a text; None where there is none."""
-    if not text or not _SIGNS.search(text):
-        return None
-    text = _clean(text)
+    return _placeholder_in(_clean(text)) if text and _SIGNS.search(text) else None
+
+
+def _placeholder_in(text: str) -> str | None:
     bare = re.sub(r"(?m)^\s*undefined\s*$", "[object Object]", text)
     for sentence in _SENTENCE.split(bare):
         if not sentence or not _SIGNS.search(sentence):
@@ -348,9 +351,17 @@ def message_cover(text: str | None) -> float:
 
     0 where no message is found, and for null, empty and blank texts.
     """
-    if not text or not text.strip():
+    return _cover_in(_clean(text)) if text and not text.isspace() else 0.0
+
+
+def _cover_in(text: str) -> float:
+    text = _repaired(html.unescape(text))
+    words = _words(text)
+    if next(_automaton().iter(words), None) is None and not _filler(words):
         return 0.0
-    text = _DETAIL.sub(_DETAILS, _SPACE.sub(" ", _repaired(html.unescape(_clean(text)))))
+    text = _SPACE.sub(" ", text)
+    if _TRACE.search(text):
+        text = _DETAIL.sub(_DETAILS, text)
     lines = [line for line in (x.strip() for x in text.split("\n")) if line and not _boilerplate(line)]
     parts = [_words(line) for line in lines]
     words = " ".join(parts)
@@ -377,11 +388,20 @@ def message_cover(text: str | None) -> float:
     return said / (said + left) if said else 0.0
 
 
+def _filler(words: str) -> bool:
+    """Whether enough filler words are among these for a run of them."""
+    _, lorem, mash = _lists()
+    return sum(1 for w in words.split() if w in lorem or w in mash) >= MASH_RUN
+
+
 def verdict(text: str | None, covered: float = COVERED) -> str | None:
     """'placeholder', 'residue' or None for a text to keep."""
-    if placeholder(text):
+    if not text or text.isspace():
+        return None
+    text = _clean(text)
+    if _SIGNS.search(text) and _placeholder_in(text):
         return "placeholder"
-    return "residue" if message_cover(text) >= covered else None
+    return "residue" if _cover_in(text) >= covered else None
 
 
 def judge(docs: DataFrame, key: str, text: str, covered: float = COVERED) -> DataFrame:
