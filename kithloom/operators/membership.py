@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kithloom.functions.hashing import key_of
+from kithloom.operators.graph import clean_edges
 from kithloom.operators.order import first_rows
 
 
@@ -96,6 +97,20 @@ def overlapping_names(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("c1").alias("community")).union(pairs.select("c2")).distinct()
 
 
+def fetch_overlapping(edges: DataFrame, low: int, high: int, min_weight: int | None, min_common: int, min_pairs: int, n: int, seed: int) -> DataFrame:
+    """(community, vertex) of ``n`` communities drawn from those that overlap.
+
+    ``edges`` has (community, src, dst, weight); members are the ends of edges of at least ``min_weight`` that aren't self loops, and
+    only communities with low to high members take part. All of these are looked at, so no number of tries is needed.
+    """
+    ends = clean_edges(edges, min_weight).select("community", F.explode(F.array("src", "dst")).alias("vertex"))
+    m = bipartite(ends)
+    m = m.join(size_between(sizes(m), low, high).select("community"), "community", "left_semi")
+    names = overlapping_names(overlapping_pairs(m, min_common, min_pairs))
+    drawn = first_rows(names.withColumn("k", key_of(seed, "community")), ["k", "community"], n)
+    return m.join(drawn.select("community"), "community", "left_semi")
+
+
 def split_communities(names: DataFrame, n_train: int, seed: int, anomalous: str = "is_anomalous") -> DataFrame:
     """names with ``split``: 'train' for ``n_train`` communities drawn from the normal ones, 'test' for all others."""
     drawn = first_rows(names.where(~F.col(anomalous)).select("community", key_of(seed, "community").alias("k")), ["k", "community"], n_train)

@@ -72,7 +72,9 @@ def key_profile(
         pairs = heavy.select(key, c).where(F.col(c).isNotNull()).distinct()
         parts.append(pairs.groupBy(key).agg(F.count("*").alias(f"n_{c}")))
     joined = reduce(lambda a, b: a.join(b, key, "left"), parts)
-    return joined.fillna(0, subset=[f"n_{c}" for c in distinct]).select(light.columns).unionByName(light)
+    if distinct:
+        joined = joined.fillna(0, subset=[f"n_{c}" for c in distinct])
+    return joined.select(light.columns).unionByName(light)
 
 
 def skew_join(

@@ -107,6 +107,11 @@ def overlapping_names(spark, d):
     return membership.overlapping_names(membership.overlapping_pairs(members(spark, d), MIN_COMMON, MIN_PAIRS))
 
 
+def overlapping_fetch(spark, d):
+    rows = interactions(spark, d).where("community IS NOT NULL")
+    return membership.fetch_overlapping(rows, SIZE_LOW, SIZE_HIGH, MIN_WEIGHT, MIN_COMMON, MIN_PAIRS, TRAIN, SEED)
+
+
 def train_test_split(spark, d):
     return membership.split_communities(_anomalous(members(spark, d)), TRAIN, SEED).select("community", "split")
 
@@ -401,7 +406,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         membership_edges, bipartite_properties, community_sizes, size_describe, distinct_users, edges_filtered, simple_graph, vertex_degrees, community_filter_semi,
-        community_exclude_anti, size_range_having, community_overlap, overlapping_pairs, overlapping_names, train_test_split, positive_sample, negative_sample,
+        community_exclude_anti, size_range_having, community_overlap, overlapping_pairs, overlapping_names, overlapping_fetch, train_test_split, positive_sample, negative_sample,
         preferential_attachment, total_friends, friends_measure, shortest_path, topological_features, edge_prob_closed_form, label_by_threshold, meta_features, weighted_sum,
         meta_feature_ranking, ranking_wide, most_anomalous_tail, induced_subgraph, boundary_vertices, graph_counts, amen_normality, baseline_ranking_all, average_precision,
         pr_curve, confusion_metrics, prediction_summary, map_by_algorithm, meta_feature_comparison, comparison_pivot, comparison_by_p, comparison_by_group,

@@ -76,6 +76,11 @@ CTE = {
     "ad": f"SELECT draw, base + ('0x' || substr(md5('{q.SEED}:' || draw), 1, 12))::BIGINT % {q.WIDTH + 1} AS size FROM az, (SELECT unnest(generate_series(1, {q.ANOMALOUS})) AS draw)",
     "aa": "SELECT CAST(row_number() OVER (ORDER BY size, draw) AS INTEGER) AS slot, size FROM ad",
     "pl": "SELECT slot, 'c' || lpad(slot::VARCHAR, 3, '0') AS community, size, coalesce(sum(size) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS start FROM aa",
+    "em": "SELECT DISTINCT community, v AS vertex FROM (SELECT community, src AS v FROM e UNION ALL SELECT community, dst FROM e) WHERE community IS NOT NULL",
+    "es": f"SELECT community, vertex FROM (SELECT *, count(*) OVER (PARTITION BY community) AS n FROM em) WHERE n BETWEEN {q.SIZE_LOW} AND {q.SIZE_HIGH}",
+    "eo": f"SELECT a.community AS c1, b.community AS c2 FROM es a JOIN es b ON a.vertex = b.vertex AND a.community < b.community GROUP BY 1, 2 HAVING count(*) >= {q.MIN_COMMON}",
+    "ep": f"SELECT c1, c2 FROM (SELECT *, count(*) OVER (PARTITION BY c1) AS k FROM eo) WHERE k >= {q.MIN_PAIRS}",
+    "en": f"SELECT community FROM (SELECT c1 AS community FROM ep UNION SELECT c2 FROM ep) ORDER BY md5('{q.SEED}:' || community), community LIMIT {q.TRAIN}",
     "pv": "SELECT community, unnest(generate_series(start, start + size - 1)) AS v FROM pl",
 }
 
@@ -120,6 +125,7 @@ ORACLE = {
     "community_overlap": _with("ov", "SELECT c1, c2, n FROM ov WHERE c1 < c2"),
     "overlapping_pairs": _with("op", "SELECT c1, c2, n FROM op"),
     "overlapping_names": _with("op", "SELECT c1 AS community FROM op UNION SELECT c2 FROM op"),
+    "overlapping_fetch": _with("es en", "SELECT community, vertex FROM es SEMI JOIN en USING (community)"),
     "train_test_split": _with("sz", f"""SELECT community, CASE WHEN md5(community) >= '2' AND row_number() OVER (PARTITION BY md5(community) >= '2' ORDER BY md5('{q.SEED}:' || community), community) <= {q.TRAIN}
       THEN 'train' ELSE 'test' END AS split FROM sz"""),
     "induced_subgraph": _with("g m chosen", "SELECT src, dst FROM g WHERE src IN (SELECT vertex FROM m SEMI JOIN chosen USING (community)) AND dst IN (SELECT vertex FROM m SEMI JOIN chosen USING (community))"),

@@ -11,7 +11,7 @@ from kithloom.operators.membership import from_partition_map
 
 EDGE_FILE = T.StructType([T.StructField(c, T.LongType() if c == "weight" else T.StringType()) for c in ("__src_id", "__dst_id", "weight", "mindate", "maxdate")])
 VERTEX_FILE = T.StructType([T.StructField("__id", T.StringType())])
-LOG = "enumeration int, norm_comm_sizes array<int>, anom_comm_sizes array<int>, bipart_train_part map<string,array<string>>, bipart_test_part map<string,array<string>>"
+LOG = "enumeration int, norm_comm_sizes array<int>, anom_comm_sizes array<int>, bipart_train_part map<string,array<string>>, bipart_test_part map<string,array<string>>, num_nodes long, num_edges long, avg_degree double"
 
 
 def file_stem(suffix: str = "") -> Column:
@@ -85,7 +85,7 @@ def read_results(spark: SparkSession, folder: str, algorithm: str, features: tup
 
 
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Experiment logs of all files with NetworkLog in their names."""
+    """Experiment logs of all files with NetworkLog in their names; the counts of the network are null where a log has none."""
     return spark.read.schema(LOG).option("multiLine", True).json(f"{folder}/*NetworkLog*")
 
 

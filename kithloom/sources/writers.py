@@ -53,6 +53,17 @@ def write_results(results: DataFrame, path: str, replace: bool = False) -> None:
     results.write.mode("overwrite" if replace else "errorifexists").partitionBy("size_group", "enumeration").parquet(path)
 
 
+def write_log(path: str, enumeration: int, communities: DataFrame, train: DataFrame, test: DataFrame) -> None:
+    """One experiment's log as JSON: sizes of its normal and anomalous communities, ascending, and both partition maps (K6)."""
+    by_kind = communities.agg(
+        F.array_sort(F.collect_list(F.when(~F.col("is_anomalous"), F.col("size").cast("int")))).alias("norm_comm_sizes"),
+        F.array_sort(F.collect_list(F.when(F.col("is_anomalous"), F.col("size").cast("int")))).alias("anom_comm_sizes"),
+    )
+    parts = [partition_map(m).select(F.from_json("value", "map<string,array<string>>").alias("v")).scalar() for m in (train, test)]
+    row = by_kind.select(F.lit(enumeration).alias("enumeration"), "norm_comm_sizes", "anom_comm_sizes", parts[0].alias("bipart_train_part"), parts[1].alias("bipart_test_part"))
+    row.write.mode("overwrite").json(path)
+
+
 def stamp(at: Column | None = None) -> Column:
     """MM.dd_HH.mm of a time, now by default."""
     return F.date_format(F.current_timestamp() if at is None else at, "MM.dd_HH.mm")

@@ -66,6 +66,11 @@ def test_results_logs_rankings(spark, tmp_path, frame):
     assert {tuple(r) for r in R.read_results(spark, str(tmp_path), "OurResults", ("f",)).collect()} == {("OurResults_3", "f", 0, "a", 1.5), ("OurResults_3", "f", 1, "b", 0.5)}
     put(tmp_path, "NetworkLog_3.json", json.dumps({"enumeration": 3, "norm_comm_sizes": [1], "anom_comm_sizes": [2], "bipart_train_part": {"a": ["1"]}, "bipart_test_part": {}}, indent=1))
     assert R.read_logs(spark, str(tmp_path)).first().bipart_train_part == {"a": ["1"]}
+    m = bipartite(frame([("a", "1"), ("b", "2")], "community string, vertex string"))
+    known = frame([("a", 5, False), ("b", 3, False), ("z", 9, True)], "community string, size long, is_anomalous boolean")
+    W.write_log(str(tmp_path / "log"), 4, known, m.where("community = 'a'"), m.where("community = 'b'"))
+    log = spark.read.schema(R.LOG).json(str(tmp_path / "log"))
+    assert [tuple(r)[:5] for r in log.collect()] == [(4, [3, 5], [9], {"a": ["1"]}, {"b": ["2"]})]
     W.write_ranking(frame([(2, "b", 0.5), (1, "a", 1.5)], "rank int, community string, score double"), str(tmp_path / "rank"))
     assert [tuple(r) for r in R.read_ranking(spark, str(tmp_path / "rank")).collect()] == [(1, "a", 1.5), (2, "b", 0.5)]
     assert {os.path.basename(r.path) for r in R.list_files(spark, str(tmp_path), "Results").collect()} == {"OurResults_3.csv"}
