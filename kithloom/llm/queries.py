@@ -60,9 +60,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_overlap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated and exact overlap of all pairs of communities that may share 30 members and a tenth of the smaller one."""
+    """Estimated and exact overlap of all pairs of communities that by their sketches may share 30 members and a quarter of the smaller one."""
     members = _member_sets(spark, sf_dir)
-    return overlap.exact_shared(members, overlap.overlapping_pairs(members, P4_SHARED, 0.1))
+    return overlap.exact_shared(members, overlap.overlapping_pairs(members, P4_SHARED, P4_PART))
 
 
 def _seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:
