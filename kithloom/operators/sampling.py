@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.functions.hashing import key_of, unit, whole
 from kithloom.operators.order import first_rows, numbered
+from kithloom.session import cut
 
 #: Candidates drawn for each non-link wanted, before links and repeats are taken out.
 CANDIDATES = 1.5
@@ -43,7 +44,7 @@ def negative_sample(m: DataFrame, n: int, seed: int = 0) -> DataFrame:
             (whole(key_of(seed, F.lit("v"), "id")) % n_v + 1).alias("vi"),
         )
         pairs = drawn.join(communities, "ci").join(vertices, "vi").groupBy("community", "vertex").agg(F.min("slot").alias("slot"))
-        kept = pairs.join(m, ["community", "vertex"], "left_anti")
+        kept = cut(pairs.join(m, ["community", "vertex"], "left_anti"))
         if kept.count() >= n:
             return first_rows(kept, ["slot"], n).select("community", "vertex", F.lit(0).alias("edge_exist"))
         if slots > 40 * n_c * n_v:  # so many draws would have met every pair: take what there is

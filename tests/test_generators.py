@@ -2,6 +2,8 @@ import pytest
 
 from kithloom.operators import generators as N, sampling as S
 from kithloom.operators.graph import nodes_of
+from kithloom.operators.measures import MEASURES
+from kithloom.operators.meta import META
 from kithloom.plans import experiment
 from kithloom.plans.detector import detect
 
@@ -86,3 +88,12 @@ def test_detection_beats_chance(spark):
     assert found.predictor.validation.first().acc > 0.5
     ranking = found.ranking.where("feature = 'normality_prob_mean'").orderBy("rank").collect()
     assert len(ranking) == 13 and found.probabilities.where("prob < 0 OR prob > 1").count() == 0
+
+
+def test_one_setting_of_the_grid(spark, frame):
+    sizes = frame([(f"c{i}", 20 + i) for i in range(30)], "community string, size long")
+    setting = experiment.grid([0.3], [0.2], ["median"], [1])[0]
+    got = experiment.run(spark, sizes, setting, n_normal=10, n_anomalous=3, n_train=4).cache()
+    assert {r.algorithm for r in got.select("algorithm").distinct().collect()} == {*META, *MEASURES}
+    by = got.groupBy("algorithm").agg({"is_anomalous": "sum", "community": "count"}).collect()
+    assert all(r["sum(is_anomalous)"] == 3 and r["count(community)"] == 9 for r in by)
