@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.operators.graph import boundary, degrees, inside_edges, nodes_of
+from kithloom.session import cut
 
 #: Measures whose lowest value comes first in a ranking; of the others the highest does.
 ASCENDING = ("avg_degree", "unattr_amen")
@@ -33,25 +34,16 @@ def _ratio(a, b):
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def avg_degree(graph: DataFrame, m: DataFrame) -> DataFrame:
-    """Twice the inner edges by the size (A10)."""
-    return community_counts(graph, m).select("community", _ratio(2 * F.col("internal"), F.col("n_s")).alias("score"))
-
-
-def cut_ratio(graph: DataFrame, m: DataFrame) -> DataFrame:
-    """Cut edges by the pairs of inner and outer nodes."""
-    return community_counts(graph, m).select("community", _ratio(F.col("cut"), F.col("n_s") * (F.col("n_nodes") - F.col("n_s"))).alias("score"))
-
-
-def avg_odf(graph: DataFrame, m: DataFrame) -> DataFrame:
-    """Cut edges by the size."""
-    return community_counts(graph, m).select("community", _ratio(F.col("cut"), F.col("n_s")).alias("score"))
-
-
-def conductance(graph: DataFrame, m: DataFrame) -> DataFrame:
-    """Cut edges by the smaller volume of both sides."""
-    smaller = F.least(F.col("volume"), 2 * F.col("n_edges") - F.col("volume"))
-    return community_counts(graph, m).select("community", _ratio(F.col("cut"), smaller).alias("score"))
+def _simple(name: str) -> Column:
+    """A measure as an expression over community_counts: A10, A11, A11b, A11c."""
+    size, cut_edges, volume = F.col("n_s"), F.col("cut"), F.col("volume")
+    if name == "avg_degree":  # twice the inner edges by the size
+        return _ratio(2 * F.col("internal"), size)
+    if name == "cut_ratio":  # cut edges by the pairs of inner and outer nodes
+        return _ratio(cut_edges, size * (F.col("n_nodes") - size))
+    if name == "avg_odf":  # cut edges by the size
+        return _ratio(cut_edges, size)
+    return _ratio(cut_edges, F.least(volume, 2 * F.col("n_edges") - volume))  # conductance: cut edges by the smaller volume of both sides
 
 
 def flake_odf(graph: DataFrame, m: DataFrame) -> DataFrame:
@@ -63,14 +55,14 @@ def flake_odf(graph: DataFrame, m: DataFrame) -> DataFrame:
     return each.groupBy("community").agg(F.when(F.count_if(F.col("degree").isNull()) > 0, -1.0).otherwise(weak).alias("score"))
 
 
-def unattr_amen(graph: DataFrame, m: DataFrame, parts: bool = False) -> DataFrame:
+def unattr_amen(graph: DataFrame, m: DataFrame, parts: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Normality of a community: how much its inner edges exceed, and its outer edges fall short of, what degrees let expect.
 
     Both double sums depend on degrees only: members and boundary become histograms of degrees, whose product is as small as
     the numbers of different degrees. Null where it is 0 / 0.
     """
     deg = degrees(graph)
-    counts = community_counts(graph, m).where("n_edges > 0")
+    counts = (community_counts(graph, m) if counts is None else counts).where("n_edges > 0")
     twice = 2.0 * F.col("n_edges").cast("double")
     own = m.join(deg, "vertex").groupBy("community", F.col("degree").alias("k")).agg(F.count("*").alias("n"))
     edge = boundary(graph, m).join(deg, "vertex").groupBy("community", F.col("degree").alias("k2")).agg(F.count("*").alias("n2"))
@@ -86,24 +78,27 @@ def unattr_amen(graph: DataFrame, m: DataFrame, parts: bool = False) -> DataFram
     return found if parts else found.select("community", (F.col("consistency") + F.col("separability")).alias("score"))
 
 
-MEASURES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "avg_degree": avg_degree, "cut_ratio": cut_ratio, "conductance": conductance, "flake_odf": flake_odf, "avg_odf": avg_odf, "unattr_amen": unattr_amen,
-}
+MEASURES = ("avg_degree", "cut_ratio", "conductance", "flake_odf", "avg_odf", "unattr_amen")
 
 
-def measure(name: str, graph: DataFrame, m: DataFrame) -> DataFrame:
-    """(community, score) of a measure chosen by name."""
+def measure(name: str, graph: DataFrame, m: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(community, score) of a measure chosen by name (X3, P17); ``counts`` is community_counts if that is already there."""
     if name not in MEASURES:
-        raise ValueError(f"measure {name} isn't one of {tuple(MEASURES)}")
-    return MEASURES[name](graph, m)
+        raise ValueError(f"measure {name} isn't one of {MEASURES}")
+    if name == "flake_odf":
+        return flake_odf(graph, m)
+    if name == "unattr_amen":
+        return unattr_amen(graph, m, counts=counts)
+    return (community_counts(graph, m) if counts is None else counts).select("community", _simple(name).alias("score"))
 
 
-def rank_measures(graph: DataFrame, m: DataFrame, names: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
-    """(feature, rank, community, score) of several measures, the most anomalous community first, nulls last, ties by name."""
-    scored = None
-    for name in names:
-        one = measure(name, graph, m).withColumn("feature", F.lit(name))
-        scored = one if scored is None else scored.unionByName(one)
+def rank_measures(graph: DataFrame, m: DataFrame, names: tuple[str, ...] = MEASURES) -> DataFrame:
+    """(feature, rank, community, score) of several measures, the most anomalous community first, nulls last, ties by name.
+
+    The counts behind the measures are made once; ``graph`` and ``m`` are read several times, so they should be kept tables.
+    """
+    counts = cut(community_counts(graph, m))
+    scored = reduce(DataFrame.unionByName, [measure(name, graph, m, counts).withColumn("feature", F.lit(name)) for name in names])
     key = F.when(F.col("feature").isin(*ASCENDING), F.col("score")).otherwise(-F.col("score"))
     order = Window.partitionBy("feature").orderBy(F.asc_nulls_last("key"), "community")
     return scored.withColumn("key", F.round(key, 9)).select("feature", F.row_number().over(order).alias("rank"), "community", "score")
