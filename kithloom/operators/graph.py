@@ -6,6 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from kithloom.session import keep
+
+#: A member of more communities than this is a hub.
+HUB = 32
+
 
 def clean_edges(edges: DataFrame, min_weight: int | None = None) -> DataFrame:
     """Edges with two different known ends; with ``min_weight`` (unless None or 0) only those of at least that weight."""
@@ -67,6 +72,29 @@ def boundary(graph: DataFrame, m: DataFrame) -> DataFrame:
     return reached.join(m, ["community", "vertex"], "left_anti")
 
 
+def boundary_degrees(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFrame:
+    """(community, degree, n): how many vertices of each degree are in a community's boundary; boundary() counted by degree.
+
+    A vertex next to a hub, a member of more than ``hub`` communities, is in the boundary of nearly all of them, which makes the
+    boundaries themselves as large as vertices times communities. So vertices are counted by the set of hubs they touch: all
+    vertices with the same set reach the same communities through it. Taken off are those that are members there, added those that
+    only an ordinary vertex joins to a community.
+    """
+    deg, pairs = degrees(graph), both_directions(graph)
+    hubs = m.groupBy("vertex").agg(F.count("*").alias("n")).where(F.col("n") > hub).select(F.col("vertex").alias("src"))
+    near = pairs.join(hubs, "src", "left_anti").join(m.withColumnRenamed("vertex", "src"), "src").select("community", F.col("dst").alias("vertex")).distinct()
+    touched = pairs.join(hubs, "src", "left_semi").groupBy(F.col("dst").alias("vertex")).agg(F.array_sort(F.collect_list("src")).alias("hubs"))
+    touched = keep(touched.join(deg, "vertex"), "touched")
+    reached = touched.select("hubs").distinct().select("hubs", F.explode("hubs").alias("vertex")).join(m, "vertex").select("hubs", "community").distinct()
+    reached = keep(reached, "reached")
+    by_hub = touched.groupBy("hubs", "degree").agg(F.count("*").alias("n")).join(reached, "hubs").select("community", "degree", "n")
+    own = m.join(touched, "vertex").join(reached, ["hubs", "community"], "left_semi").select("community", "degree", F.lit(-1).cast("long").alias("n"))
+    only_near = near.join(m, ["community", "vertex"], "left_anti").join(deg, "vertex").join(touched.select("vertex", "hubs"), "vertex", "left")
+    extra = only_near.join(reached, ["hubs", "community"], "left_anti").select("community", "degree", F.lit(1).cast("long").alias("n"))
+    counted = by_hub.unionByName(own).unionByName(extra).groupBy("community", "degree").agg(F.sum("n").alias("n"))
+    return counted.where("n > 0")
+
+
 def adjacency_lines(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """(line): ``node neighbour neighbour ...`` for each node, every edge once at its smaller end, isolated nodes too (K4)."""
     later = graph.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("others"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kithloom.operators.graph import boundary, degrees, inside_edges, nodes_of
+from kithloom.operators.graph import boundary_degrees, degrees, inside_edges, nodes_of
 from kithloom.session import cut
 
 #: Measures whose lowest value comes first in a ranking; of the others the highest does.
@@ -65,7 +65,7 @@ def unattr_amen(graph: DataFrame, m: DataFrame, parts: bool = False, counts: Dat
     counts = (community_counts(graph, m) if counts is None else counts).where("n_edges > 0")
     twice = 2.0 * F.col("n_edges").cast("double")
     own = m.join(deg, "vertex").groupBy("community", F.col("degree").alias("k")).agg(F.count("*").alias("n"))
-    edge = boundary(graph, m).join(deg, "vertex").groupBy("community", F.col("degree").alias("k2")).agg(F.count("*").alias("n2"))
+    edge = boundary_degrees(graph, m).select("community", F.col("degree").alias("k2"), F.col("n").alias("n2"))
     m2 = F.lit(2.0) * graph.agg(F.count("*").alias("n")).scalar()
     short = F.sum(F.col("n").cast("double") * F.col("n2") * (1 - F.least(F.lit(1.0), F.col("k").cast("double") * F.col("k2") / m2)))
     outer = own.join(edge, "community").groupBy("community").agg(short.alias("outer"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -73,6 +74,10 @@ def test_inside_edges_and_boundary_against_brute_force(frame):
     assert {(r.community, int(r.src), int(r.dst)) for r in G.inside_edges(g, m).collect()} == want
     outer = {(s, b) for s, vs in sets.items() for x in edges for a, b in (x, x[::-1]) if a in vs and b not in vs}
     assert {(r.community, int(r.vertex)) for r in G.boundary(g, m).collect()} == outer
+    ends = Counter(x for e in edges for x in e)
+    want = Counter((s, ends[v]) for s, v in outer)
+    for hub in (0, 1, 2, 3, 99):
+        assert {(r.community, r.degree): r.n for r in G.boundary_degrees(g, m, hub).collect()} == want, hub
 
 
 def test_cleaning_and_adjacency(frame):
