@@ -60,9 +60,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_overlap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated and exact overlap of all pairs of communities that by their sketches may share 30 members and a quarter of the smaller one."""
+    """Exact overlap of every pair of communities with a shared member; the sketches' estimates beside it for the pairs that they find under p4_found's bounds, else null."""
     members = _member_sets(spark, sf_dir)
-    return overlap.exact_shared(members, overlap.overlapping_pairs(members, P4_SHARED, P4_PART))
+    found = overlap.overlapping_pairs(members, P4_SHARED, P4_PART)
+    found = found.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "union_est", "fraction_est", "shared_est")
+    first = F.col("n_a") <= F.col("n_b")
+    return (
+        overlap.all_shared(members)
+        .join(found, ["a", "b"], "left")
+        .select(
+            F.when(first, F.col("a")).otherwise(F.col("b")).alias("small"),
+            F.when(first, F.col("b")).otherwise(F.col("a")).alias("large"),
+            F.least("n_a", "n_b").alias("n_small"),
+            F.greatest("n_a", "n_b").alias("n_large"),
+            "union_est",
+            "fraction_est",
+            "shared_est",
+            "n_shared",
+        )
+    )
 
 
 def _seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:

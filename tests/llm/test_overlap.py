@@ -81,3 +81,19 @@ def test_ties_empty_and_equal_sets(frame):
     assert [(x.small, x.large, x.n_shared) for x in r] == [("a", "b", 40)]
     with pytest.raises(ValueError):
         O.overlapping_pairs(twins, 0, 0.5)
+
+
+def test_all_pairs_have_their_exact_size(frame):
+    # 29 shared members, a fifth of the smaller set, and one shared member: below the bounds of p4_found
+    data = {"a": {f"x{i}" for i in range(29)}, "b": {f"x{i}" for i in range(200)}, "c": {f"x{i}" for i in range(160, 360)}, "d": {"x359", "y"}, "e": {"z"}}
+    members = O.set_members(frame(rows_of(data)[:-3], SCHEMA), "g", "x")
+    assert {tuple(r) for r in O.all_shared(members).collect()} == {("a", "b", 29, 200, 29), ("b", "c", 200, 200, 40), ("c", "d", 200, 2, 1)}
+
+
+@pytest.mark.parametrize("hot, block", [(1, 7), (3, 256), (64, 256)])
+def test_all_pairs_with_hot_members(frame, hot, block):
+    data = sets(2)
+    members = O.set_members(frame(rows_of(data), SCHEMA), "g", "x")
+    got = O.all_shared(members, hot, block).collect()
+    assert {(r.a, r.b): r.n_shared for r in got} == true_pairs(data, 1, 0) and len(got) == len(true_pairs(data, 1, 0))
+    assert all((r.n_a, r.n_b) == (len(data[r.a]), len(data[r.b])) for r in got)

@@ -94,3 +94,15 @@ def test_p1_and_p4_run_over_dirt(spark, tables):
     listed = {r.item_a for r in Q.p1_listed_pairs(spark, folder).collect()}
     assert listed <= {"u1", "u2", "w1"}
     assert Q.p1_found(spark, folder).columns == ["src_a", "src_b"]
+
+
+def test_p4_sizes_of_every_pair(spark, tables):
+    folder, edges, vertices = tables
+    members = defaultdict(set)
+    for c, *ids in [e[:3] for e in edges] + vertices:
+        members[c] |= set(ids) - {None, "[deleted]"}
+    names = sorted(c for c in members if c)
+    want = {(a, b): len(members[a] & members[b]) for a in names for b in names if a < b and members[a] & members[b]}
+    got = Q.p4_overlap_sizes(spark, folder).collect()
+    assert {tuple(sorted((r.small, r.large))): r.n_shared for r in got} == want and len(got) == len(want)
+    assert min(want.values()) < 30
