@@ -55,16 +55,20 @@ PLACEHOLDERS = (
     rf"\*\|{_UPPER}\|\*",
     rf"~~{_NAME}~~",
     rf"&lt;{_NAME}&gt;",
-    r"[\[<{(](?:insert|enter|your|add)[ _][\w ]{2,40}(?:[ _]here)?[\]>})]",
+    r"[\[<{](?:insert|enter|your|add)[ _][\w ]{2,40}(?:[ _]here)?[\]>}]",
+    # in round brackets only what can't be said in passing, as "(add two eggs)" and "(enter from the mill)" are
+    r"\((?:insert[ _][\w ]{2,40}|(?:enter|your|add)[ _](?:[\w ]{1,40}[ _]here|(?:(?:your|the|an?)[ _])?(?:[A-Za-z]+[ _])?(?:name|surname|e?mail|address|phone|telephone|number|date|hours"
+    r"|price|title|subject|city|town|company|url|link|text|message|username|password|signature)))\)",
     r"\[object Object\]",
-    r"\[(?!PDF|SIC|EDIT|SOURCE|VIDEO|AUDIO|PHOTO|MAP|NEW|DELETED|REDACTED|REMOVED|CITATION|UPDATE|TOP|BACK|NEXT|PREV|SPOILER)[A-Z]{3,}(?:[ _][A-Z]{2,}){0,4}\]",
+    r"\[(?!(?:PDF|SIC|EDIT(?:ED)?|SOURCES?(?:[ _]NEEDED)?|VIDEOS?|AUDIO|PHOTOS?|MAPS?|NEWS?|DELETED|REDACTED|REMOVED|CITATIONS?(?:[ _]NEEDED)?|UPDATED?|TOP(?:[ _]OF[ _]PAGE)?"
+    r"|BACK(?:[ _]TO[ _]TOP)?|NEXT(?:[ _]PAGE)?|PREV(?:IOUS)?(?:[ _]PAGE)?|SPOILERS?(?:[ _](?:ALERT|WARNING))?)\])[A-Z]{3,}(?:[ _][A-Z]{2,}){0,4}\]",
     rf"(?<![\w$#@^\\{{]){{{_NAME}}}(?!\}})",
     r"(?<![→=∈⊂∪∩] )(?<![\w$#@^_\\{]){\d}(?!\})",
     r"\bundefined\b",
 )
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
 #: One of these is in every text with a placeholder.
-_SIGNS = re.compile(r"[{\[%$@#~_]|\*\||&lt;|<[%?]|undefined")
+_SIGNS = re.compile(r"[{\[%$@#~_]|\*\||&lt;|<[%?]|[<(](?:insert|enter|your|add)[ _]|undefined")
 #: Words of sentences about placeholders, in which they are a subject.
 ABOUT = re.compile(
     r"\b(?:templates?|templating|syntax|deprecated|escaped?|escaping|dialects?|placeholders?|tags?|engines?|layout files?|data files?|swapped|replaced"

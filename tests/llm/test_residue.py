@@ -54,6 +54,19 @@ def test_real_pages(text):
     assert R.verdict(text) is None
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Dear <your name>, your order left the harbour.", "Call us on (insert phone here).", "Signed (your full name)", "Open (add opening hours)", "News of [TOPIC]", "The [NEWSLETTER NAME] of May", "[PHOTO CAPTION]", "[EDITOR NAME]", "[SOURCE NAME]"],
+)
+def test_unfilled_in_any_brackets(text):
+    assert R.verdict(text) == "placeholder"
+
+
+@pytest.mark.parametrize("text", ["Stir (add two eggs) and wait.", "The hall (enter from the mill) is open.", "Take a coat (your own will do).", "[UPDATED] [EDITED] [CITATION NEEDED] [BACK TO TOP]", "[NEXT PAGE] [NEWS] [PHOTOS]"])
+def test_said_in_brackets(text):
+    assert R.verdict(text) is None
+
+
 def test_long_text_is_read_whole():
     assert R.verdict("The mill was repaired. " * 60_000 + "Opening hours: {{ hours }}") == "placeholder"
     assert R.verdict("Page not found. " * 60_000) == "residue"
