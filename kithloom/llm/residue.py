@@ -202,20 +202,31 @@ def _clean(text: str) -> str:
     return _INVISIBLE.sub("", text if text.isascii() else unicodedata.normalize("NFKC", text.replace("…", " … ")))
 
 
+#: What the one-byte charset of browsers reads the bytes 80 to 9f as; the five it doesn't define stay control characters.
+_BYTES = {ord(c): b for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+#: What the first byte of a longer UTF-8 sequence is read as.
+_LEAD = re.compile(r"[\xc2-\xf4]")
+_LINE = re.compile(r"[^\r\n]+")
+
+
+def _repaired_line(m: re.Match) -> str:
+    line = m.group()
+    if not _LEAD.search(line):
+        return line
+    try:
+        return line.translate(_BYTES).encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return line
+
+
 def _repaired(text: str) -> str:
     """UTF-8 that was read as a one-byte charset, read as UTF-8 again line by line; anything else as it is."""
-    if not any(x in text for x in "ÃÂâÐÑÎÏØÙàãåäæçèé"):
-        return text
-    out = []
-    for line in text.split("\n"):
-        for charset in ("cp1252", "latin-1"):
-            try:
-                line = line.encode(charset).decode("utf-8")
-                break
-            except UnicodeError:
-                continue
-        out.append(line)
-    return "\n".join(out)
+    return _LINE.sub(_repaired_line, text) if not text.isascii() and _LEAD.search(text) else text
+
+
+def _read(text: str) -> str:
+    """Repaired before it is cleaned, which would remove or rewrite what bytes of garbled lines are read as."""
+    return _clean(_repaired(text))
 
 
 # --- placeholders ---------------------------------------------------------------------------------------------------------
@@ -223,7 +234,8 @@ def _repaired(text: str) -> str:
 
 def placeholder(text: str | None) -> str | None:
     """The first placeholder that stands unfilled in a text; None where there is none."""
-    return _placeholder_in(_clean(text)) if text and _SIGNS.search(text) else None
+    text = _read(text or "")
+    return _placeholder_in(text) if _SIGNS.search(text) else None
 
 
 def _placeholder_in(text: str) -> str | None:
@@ -355,7 +367,7 @@ def message_cover(text: str | None) -> float:
 
     0 where no message is found, and for null, empty and blank texts.
     """
-    return _cover_in(_clean(text)) if text and not text.isspace() else 0.0
+    return _cover_in(_read(text)) if text and not text.isspace() else 0.0
 
 
 def _cover_in(text: str) -> float:
@@ -402,7 +414,7 @@ def verdict(text: str | None, covered: float = COVERED) -> str | None:
     """'placeholder', 'residue' or None for a text to keep."""
     if not text or text.isspace():
         return None
-    text = _clean(text)
+    text = _read(text)
     if _SIGNS.search(text) and _placeholder_in(text):
         return "placeholder"
     return "residue" if _cover_in(text) >= covered else None

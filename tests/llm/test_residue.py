@@ -67,6 +67,19 @@ def test_said_in_brackets(text):
     assert R.verdict(text) is None
 
 
+@pytest.mark.parametrize("charset", ["latin-1", "browser"])
+@pytest.mark.parametrize("text", ["Страница не найдена", "您访问的页面不存在", "ページが見つかりません", "페이지를 찾을 수 없습니다", "الصفحة غير موجودة", "Nie znaleziono strony. Błąd wewnętrzny serwera", "Sayfa bulunamadı", "Η σελίδα δεν βρέθηκε"])
+def test_garbled_messages(text, charset):
+    read = {"latin-1": lambda b: b.decode("latin-1"), "browser": lambda b: "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in b)}[charset]
+    assert R.verdict(read(text.encode())) == "residue"
+    assert R.verdict("Home | News\r\n" + read(text.encode()) + "\r\n© 2011 Çeşme") == "residue"
+
+
+@pytest.mark.parametrize("text", ["Ça et là, où l'été naît", "Ärger über Öl", "ÃÂ", "Smørrebrød på Ærø"])
+def test_texts_that_are_not_garbled_stay(text):
+    assert R._repaired(text) == text
+
+
 def test_long_text_is_read_whole():
     assert R.verdict("The mill was repaired. " * 60_000 + "Opening hours: {{ hours }}") == "placeholder"
     assert R.verdict("Page not found. " * 60_000) == "residue"
