@@ -8,8 +8,6 @@ from kithloom.operators.membership import both_ways, overlap, sizes, vertex_degr
 from kithloom.session import cut
 
 FEATURES = ("total_friends", "preferential_attachment_score", "friends_measure", "shortest_path", "vertex_1_degree", "vertex_2_degree")
-#: Longest path looked for; odd, as all paths between the two kinds of nodes are.
-LONGEST_PATH = 15
 
 
 def with_degrees(m: DataFrame, sample: DataFrame) -> DataFrame:
@@ -34,11 +32,11 @@ def friends_measure(m: DataFrame, sample: DataFrame, shared: DataFrame | None =
     return sample.join(found, ["community", "vertex"], "left").fillna(0, ["friends_measure"])
 
 
-def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame, longest: int = LONGEST_PATH) -> DataFrame:
+def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
     """``known`` (community, vertex, friends_measure, both degrees, ...) with shortest_path, -1 where there is none.
 
     A positive friends measure means 3, a degree of 0 means no path. For the few other rows the communities within reach grow
-    hop by hop, over communities that share members, until they border on the row's own; each hop is cut from its lineage.
+    hop by hop, over communities that share members, until they border on the row's own or nothing new is reached, however long that takes; each hop is cut from its lineage.
     """
     simple = F.when(F.col("friends_measure") > 0, 3).when((F.col("vertex_1_degree") == 0) | (F.col("vertex_2_degree") == 0), -1)
     known = known.withColumn("shortest_path", simple)
@@ -46,14 +44,14 @@ def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame, longest: i
     links = shared.select("c1", "c2")
     seen = cut(open_rows.join(m.withColumnRenamed("community", "at"), "vertex").where("at <> community").select("community", "vertex", "at"))
     frontier, found, length = seen, None, 3
-    while length < longest and not frontier.isEmpty():
+    while not frontier.isEmpty():
         length += 2
         grown = frontier.join(links, F.col("at") == F.col("c1")).where("c2 <> community").select("community", "vertex", F.col("c2").alias("at")).distinct()
         frontier = cut(grown.join(seen, ["community", "vertex", "at"], "left_anti"))
         ends = frontier.join(links, (F.col("at") == F.col("c1")) & (F.col("community") == F.col("c2")), "left_semi").select("community", "vertex").distinct()
         hit = cut(ends.withColumn("hops", F.lit(length)))
         found = hit if found is None else found.unionByName(hit)
-        frontier = frontier.join(hit, ["community", "vertex"], "left_anti")
+        frontier = cut(frontier.join(hit, ["community", "vertex"], "left_anti"))
         seen = cut(seen.unionByName(frontier))
     if found is None:
         return known.withColumn("shortest_path", F.coalesce("shortest_path", F.lit(-1)))

@@ -62,6 +62,16 @@ def test_against_brute_force(frame, seed):
         assert tuple(r[c] for c in X.FEATURES) == brute(edges, r.community, r.vertex), (r, seed)
 
 
+def test_paths_of_any_length(frame):
+    # a chain of communities, each with one member of the next: from c0 to the last vertex it is 2 * 10 + 1 steps
+    edges = {(f"c{i}", f"v{j}") for i in range(11) for j in (i, i + 1)} | {("far", "w")}
+    sample = [("c0", "v9", 0), ("c0", "v8", 0), ("c0", "v11", 0), ("c0", "w", 0), ("c10", "v0", 0)]
+    m = bipartite(frame(list(edges), "community string, vertex string"))
+    got = {(r.community, r.vertex): r.shortest_path for r in X.topological_features(m, frame(sample, "community string, vertex string, edge_exist int")).collect()}
+    assert got == {(c, v): brute(edges, c, v)[3] for c, v, _ in sample}
+    assert sorted(got.values()) == [-1, 15, 17, 21, 21]
+
+
 def test_negatives(frame):
     m = bipartite(frame(ROWS, "community string, vertex string"))
     got = {(r.community, r.vertex) for r in S.negative_sample(m, 9, 3).collect()}
