@@ -105,6 +105,13 @@ einstellungen|schließen|mehr|accepter|refuser|tout accepter|tout refuser|fermer
 accetta|rifiuta|aceitar|recusar|accepteren|weigeren|akceptuję|odrzuć|kabul et|接受|拒绝|同意|同意する|拒否する|동의"""
 #: Signs of a cookie notice.
 COOKIES = re.compile(r"\bcookies?\b|small files on your device|クッキー|Cookie|файл\w* cookie|쿠키", re.I)
+#: Signs of the other sentences of a cookie notice.
+NOTICES = re.compile(
+    r"\b(?:privacy|consent|agree|accept|browsing|preferences|experience|partners|track\w*|analy\w+|advertis\w+|personali[sz]\w+|third part\w+|datenschutz\w*|zustimm\w*|einwillig\w*"
+    r"|confidentialité|consentement|acceptez|privacidad|privacidade|consentimiento|consentimento|aceptas?|aceita|consenso|toestemming|akkoord|zgod\w+|prywatnoś\w+|gizlilik)\b"
+    r"|соглас|конфиденциальн|隐私|隱私|プライバシー|개인정보",
+    re.I,
+)
 #: Signs of a footer.
 FOOTERS = re.compile(r"^\W*(?:©|\(c\)|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos)", re.I)
 
@@ -135,7 +142,7 @@ could not connect to the database|error establishing a database connection|datab
 lorem ipsum dolor sit amet|sample text|dummy text|placeholder text|example text|your text here|text goes here|text here|title here|edit me|click to edit|double click to edit|add your text|add text here|insert text here|type here
 sample {n}|sample {n} edit me|dummy {n}|dummy {n} for layout only|for layout only|your {n} goes here|your {n} here|{n} goes here|replace this {n} with your own|add a {n} to tell visitors more|add an {n} to tell visitors more|type your {n} in this box|put some {n} here later|put a {n} here later|put your {n} here|insert your {n} here|enter your {n} here|this is a placeholder {n}|this is a placeholder|a placeholder {n}|this is some example {n} to fill the space|this is some example {n}|this is an example {n}|this is a sample {n}|this is dummy {n}|{n} to be announced by the site owner todo|{n} to be announced|to be announced by the site owner|to be announced|todo|the {n} will appear here|{n} will appear here|{n} placeholder|{n} coming soon|just another site|hello world
 {u} cannot run without {s}|{u} can not run without {s}|{u} requires {s}|{u} needs {s}|{u} relies on {s}|{u} depends on {s}|{u} is built with {s}|{u} does not work without {s}|{u} doesn t work without {s}|{u} will not work without {s}|{u} won t work without {s}|{u} only works with {s}|{u} works only with {s}
-please {v} {s}|kindly {v} {s}|kindly|you need to {v} {s}|you have to {v} {s}|you must {v} {s}|{v} {s}|turn {s} on|switch {s} on|in the settings|in your settings|in the browser|for this site|for this page|to run this app|to run this site|to use this app|to use this site|for the best view|for the full view|for the best experience
+please {v} {s}|please {v} {s} and cookies|please {v} cookies and {s}|{v} {s} and cookies|{v} cookies and {s}|{s} and cookies are required|{s} and cookies must be enabled|cookies and {s} are required|cookies and {s} must be enabled|{u} requires {s} and cookies|{u} requires cookies and {s}|{u} needs {s} and cookies|kindly {v} {s}|kindly|you need to {v} {s}|you have to {v} {s}|you must {v} {s}|{v} {s}|turn {s} on|switch {s} on|in the settings|in your settings|in the browser|for this site|for this page|to run this app|to run this site|to use this app|to use this site|for the best view|for the full view|for the best experience
 {s} is required|{s} are required|{s} is disabled|{s} are disabled|{s} must be enabled|{s} has to be enabled|{s} is disabled in your browser|{s} are disabled in your browser|{s} is turned off in your browser|{s} are turned off in your browser|{s} is not available in your browser|{s} are not available in your browser|{s} is blocked in your browser|{s} are blocked in your browser|{s} is switched off in your browser|{s} is off in your browser|it looks like {s}|it seems {s}|it seems that {s}|it looks like that {s}|we noticed that {s}|we noticed {s}|we have noticed that {s}|your browser does not support {s}|your browser has {s} disabled|your browser has {s} turned off|your browser blocks {s}|your browser has blocked {s}|your browser does not run {s}
 sorry but nothing works properly here without {s} enabled|nothing works properly here without {s} enabled|nothing works here without {s}|does not work without {s}|doesn t work properly without {s} enabled|does not work without {s} enabled|without {s}|for full functionality|to view this {t}|to use this {t}|to continue|to proceed|to see this {t}|in your browser|in your browser settings|and reload the {t}|and reload|then reload the {t}|then reload|wait a moment then reload|reload the {t}|refresh the {t}|please wait|please reload the {t}|loading|if nothing happens|make sure {s} can run|make sure {s} is enabled|make sure {s} are enabled|make sure {s} is allowed|make sure {s} are allowed|check that {s} is enabled|check that {s} are enabled|check that {s} is allowed|check that {s} are allowed|check that {s} can run|redirecting|you are being redirected
 
@@ -325,8 +332,32 @@ def _only(line: str, allowed: frozenset[str]) -> bool:
 
 
 def _boilerplate(line: str) -> bool:
-    """Cookie notices, footers and rules."""
-    return not _WORD.search(line) or bool(FOOTERS.search(line)) or len(line) < 300 and bool(COOKIES.search(line))
+    """Footers and rules."""
+    return not _WORD.search(line) or bool(FOOTERS.search(line))
+
+
+def _messages_only(words: str) -> bool:
+    """Whether messages cover these words as far as a text's must be covered."""
+    marks = _covered(words)
+    return sum(m for c, m in zip(words, marks) if c != " ") >= COVERED * len(words.replace(" ", ""))
+
+
+def _without_notice(line: str) -> str:
+    """A line without its cookie notice: the sentences that speak of cookies, unless they are messages, and menus and buttons beside them."""
+    if len(line) >= 300 or not COOKIES.search(line):
+        return line
+    menus, kept = _lists()[0], []
+    for sentence in _SENTENCE.split(line):
+        parts = [x for x in _SEPARATORS.split(sentence) if not _only(x, menus)]
+        words = _words(" ".join(parts)).split()
+        for n in range(min(4, len(words) - 1), -1, -1):
+            if (not n or " ".join(words[:n]) in menus) and words[n:] and _messages_only(" ".join(words[n:])):
+                kept.append(" ".join(words[n:]))
+                break
+        else:
+            if words and not COOKIES.search(sentence) and not NOTICES.search(sentence):
+                kept.append(" ".join(parts))
+    return " ".join(kept)
 
 
 def _one_script(a: str, b: str) -> bool:
@@ -378,7 +409,7 @@ def _cover_in(text: str) -> float:
     text = _SPACE.sub(" ", text)
     if _TRACE.search(text):
         text = _DETAIL.sub(_DETAILS, text)
-    lines = [line for line in (x.strip() for x in text.split("\n")) if line and not _boilerplate(line)]
+    lines = [line for line in (_without_notice(x.strip()) for x in text.split("\n")) if line and not _boilerplate(line)]
     parts = [_words(line) for line in lines]
     words = " ".join(parts)
     if not words:

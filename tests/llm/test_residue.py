@@ -80,6 +80,20 @@ def test_texts_that_are_not_garbled_stay(text):
     assert R._repaired(text) == text
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Enable JavaScript and cookies to continue", "Home | News Page not found. We use cookies. OK", "Please enable cookies and JavaScript.", "This site requires JavaScript and cookies.",
+     "Page not found\nWe value your privacy. We use cookies to improve this site. By browsing on you agree. OK", "Access denied. This site uses cookies. Accept all | Settings"],
+)
+def test_messages_beside_cookies(text):
+    assert R.verdict(text) == "residue"
+
+
+@pytest.mark.parametrize("text", ["The mill was repaired in spring. We use cookies. OK\nPlease enable JavaScript.", "We use cookies to run this site. Got it", "We value your privacy. We use cookies. Accept"])
+def test_no_messages_beside_cookies(text):
+    assert R.verdict(text) is None
+
+
 def test_long_text_is_read_whole():
     assert R.verdict("The mill was repaired. " * 60_000 + "Opening hours: {{ hours }}") == "placeholder"
     assert R.verdict("Page not found. " * 60_000) == "residue"
