@@ -91,7 +91,7 @@ def _seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated distinct users, with standard error, of each community, day, community and day, and of everything."""
+    """Estimated distinct users, with standard error, of each community, day, community and day, and of everything; unions are in p5_union_users."""
     base = distinct.sketch(_seen_users(spark, sf_dir), ["community", "day"], F.col("id"))
     null = {"community": F.lit(None).cast("string"), "day": F.lit(None).cast("date")}
     parts = []
@@ -111,6 +111,10 @@ def _slices(sizes: DataFrame) -> DataFrame:
     return sizes.select("size_id", "num_users", F.coalesce(F.when(second.isNotNull(), F.least(a, b)), a).alias("a"), F.when(second.isNotNull(), F.greatest(a, b)).alias("b"), F.col("size_day").alias("day"))
 
 
+def _slice_id():
+    return F.xxhash64("a", F.coalesce("b", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if it has at most P5_BROADCAST rows, by count; else as it is, for an ordinary join."""
     return F.broadcast(df) if df.limit(P5_BROADCAST + 1).count() <= P5_BROADCAST else df
@@ -143,13 +147,20 @@ def _estimated_slices(users: DataFrame, slices: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def p5_union_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated distinct users, with standard error, of each union of two communities that sizes are recorded for, of the day where one is named; 0 without any."""
+    unions = cut(_slices(_table(spark, sf_dir, "reddit_comm_sizes")).where("b IS NOT NULL").withColumn("sid", _slice_id()).select("sid", "a", "b", "day").distinct())
+    users = _seen_users(spark, sf_dir).withColumnRenamed("community", "c").withColumn("whole", F.lit(1))
+    found = unions.join(_estimated_slices(users, unions), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
+    return found.select(F.col("a").alias("community"), F.col("b").alias("with_community"), "day", "n_est", "rel_error")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded sizes that differ by more than 15 percent from the slice's distinct users.
 
     Sketches decide wherever their error leaves no doubt; the slices of the other rows are counted exactly.
     """
-    sid = F.xxhash64("a", F.coalesce("b", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")))
-    stated = cut(_slices(_table(spark, sf_dir, "reddit_comm_sizes").where("num_users IS NOT NULL")).withColumn("sid", sid))
+    stated = cut(_slices(_table(spark, sf_dir, "reddit_comm_sizes").where("num_users IS NOT NULL")).withColumn("sid", _slice_id()))
     slices = stated.select("sid", "a", "b", "day").distinct()
     users = _seen_users(spark, sf_dir).withColumnRenamed("community", "c").withColumn("whole", F.lit(1))
     judged = stated.join(_estimated_slices(users, slices), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
@@ -220,7 +231,7 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_listed_pairs, p4_found, p4_overlap_sizes, p5_distinct_users, p5_found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_listed_pairs, p4_found, p4_overlap_sizes, p5_distinct_users, p5_union_users, p5_found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }
 
 _ID = "nullif(lower(trim({0}, ' ' || chr(9))), '')"

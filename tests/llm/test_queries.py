@@ -106,3 +106,18 @@ def test_p4_sizes_of_every_pair(spark, tables):
     got = Q.p4_overlap_sizes(spark, folder).collect()
     assert {tuple(sorted((r.small, r.large))): r.n_shared for r in got} == want and len(got) == len(want)
     assert min(want.values()) < 30
+
+
+def test_p5_unions(spark, tables, tmp_path):
+    import shutil
+
+    folder, edges, _ = tables
+    day = dt.date(2012, 1, 2)
+    rows = [(1, "R/C2 ", "c1", None, 5), (2, "c1", "c2", None, None), (3, "c1", "big", day, 7), (4, "nowhere", "c3", day, 1), (5, "nowhere", "gone", None, 1), (6, "c1", None, None, 1), (7, "c1", "c1", None, 1)]
+    shutil.copytree(folder, tmp_path / "t")
+    spark.createDataFrame(rows, "size_id long, subreddit_name string, with_subreddit string, size_day date, num_users long").write.parquet(str(tmp_path / "t/reddit_comm_sizes.parquet"))
+    users = lambda cs, d: {x for e in edges if e[0] in cs and (d is None or e[4] and e[4].date() == d) for x in e[1:3] if x not in (None, "[deleted]")}
+    want = {(a, b, d): len(users((a, b), d)) for a, b, d in [("c1", "c2", None), ("big", "c1", day), ("c3", "nowhere", day), ("gone", "nowhere", None)]}
+    got = Q.p5_union_users(spark, str(tmp_path / "t")).collect()
+    assert {(r.community, r.with_community, r.day) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.n_est - want[r.community, r.with_community, r.day]) < 2 and r.rel_error < 0.009 for r in got)
