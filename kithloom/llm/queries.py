@@ -44,6 +44,13 @@ def p1_listed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.item_pairs(rows, ["community", "day"], "src", P1_COUNT)
 
 
+def p1_all_listed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and lift of all pairs seen together at all, of the accounts that vertices list."""
+    listed = _table(spark, sf_dir, "vertices").select(known_account("__id").alias("src")).dropna().distinct()
+    rows = _appearances(spark, sf_dir).join(listed, "src", "left_semi")
+    return cooccurrence.item_pairs(rows, ["community", "day"], "src")
+
+
 def _member_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, vertices = _table(spark, sf_dir, "edges"), _table(spark, sf_dir, "vertices")
     ends = edges.select("community", F.explode(F.array("__src_id", "__dst_id")).alias("id"))
@@ -231,7 +238,7 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_listed_pairs, p4_found, p4_overlap_sizes, p5_distinct_users, p5_union_users, p5_found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_listed_pairs, p1_all_listed_pairs, p4_found, p4_overlap_sizes, p5_distinct_users, p5_union_users, p5_found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }
 
 _ID = "nullif(lower(trim({0}, ' ' || chr(9))), '')"

@@ -121,3 +121,12 @@ def test_p5_unions(spark, tables, tmp_path):
     got = Q.p5_union_users(spark, str(tmp_path / "t")).collect()
     assert {(r.community, r.with_community, r.day) for r in got} == set(want) and len(got) == len(want)
     assert all(abs(r.n_est - want[r.community, r.with_community, r.day]) < 2 and r.rel_error < 0.009 for r in got)
+
+
+def test_p1_pairs_seen_together_once(spark, tmp_path):
+    day = dt.datetime(2012, 1, 2)
+    edges = [("c1", a, "x", 1, day, None, None) for a in ("u1", " U2", "w1", "u3")] + [("c1", a, "x", 1, day + dt.timedelta(1), None, None) for a in ("u1", "u2")]
+    spark.createDataFrame(edges, EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame([("c1", v, None) for v in ("u1", "u2", "w1")], "community string, __id string, loaded_at timestamp_ntz").write.parquet(str(tmp_path / "vertices.parquet"))
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_records, r.lift) for r in Q.p1_all_listed_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("u1", "u2"): (2, 2, 1.0), ("u1", "w1"): (1, 2, 1.0), ("u2", "w1"): (1, 2, 1.0)}
