@@ -117,11 +117,12 @@ def generator(choice: str | Generator) -> Generator:
     return GENERATORS[choice]
 
 
-def _weighted(draws: DataFrame, choices: DataFrame, name: str, weight: str, group: str | None, seed: int) -> DataFrame:
+def _weighted(draws: DataFrame, choices: DataFrame, name: str, weight: str, group: str | None, seed: int, own: str | None = None) -> DataFrame:
     """draws with ``name``: a choice (of the same ``group``, if any) in proportion to its whole-number weight.
 
     Weights are laid out one after the other; the draw's hash points into them and finds its span by the span's start, bucketed so
-    that the join is an equality on (group, bucket).
+    that the join is an equality on (group, bucket). The choice that the draws' column ``own`` names is passed over: the hash points
+    into the other weights, and beyond the own span it is moved on by it; draws without another choice are left out.
     """
     keys = [group] if group else []
     w = Window.partitionBy(*keys).orderBy(name) if keys else Window.orderBy(name)
@@ -135,7 +136,13 @@ def _weighted(draws: DataFrame, choices: DataFrame, name: str, weight: str, grou
         one = shape.withColumn("one", F.lit(1))
         spans, placed = spans.withColumn("one", F.lit(1)).join(one, "one"), draws.withColumn("one", F.lit(1)).join(one, "one")
     spans = spans.select(*keys, name, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.col("step")), F.floor((F.col("hi") - 1) / F.col("step")))).alias("b"))
-    placed = placed.withColumn("u", F.floor(unit(key_of(seed, *[c for c in ("draw", "source") if c in draws.columns])) * F.col("total")))
+    if own:
+        passed = spans.select(F.col(name).alias(own), F.col("lo").alias("own_lo"), (F.col("hi") - F.col("lo")).alias("own_weight")).distinct()
+        placed = placed.join(passed, own, "left").fillna(0, ["own_lo", "own_weight"]).where("total > own_weight")
+    else:
+        placed = placed.withColumn("own_lo", F.lit(0)).withColumn("own_weight", F.lit(0))
+    placed = placed.withColumn("u", F.floor(unit(key_of(seed, *[c for c in ("draw", "source") if c in draws.columns])) * (F.col("total") - F.col("own_weight"))))
+    placed = placed.withColumn("u", F.col("u") + F.when(F.col("u") >= F.col("own_lo"), F.col("own_weight")).otherwise(0))
     placed = placed.withColumn("b", F.floor(F.col("u") / F.col("step")))
     return placed.join(spans, [*keys, "b"]).where("u >= lo AND u < hi").select(*draws.columns, name)
 
@@ -161,15 +168,7 @@ def inter_edges(placed: DataFrame, edges: DataFrame, sources: DataFrame, targets
     reach = draw_names(own, ["community"], "vertex", connecting_count("size", share, rounding), seed).select("community", F.col("vertex").alias("source"))
     draws = reach.withColumn("k", uniform_int(seed + 1, k[0], k[1], "source")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("k")))).drop("k")
     open_to = sized.join(targets.select("community"), "community", "left_semi").select(F.col("community").alias("to_community"), "size")
-    # a draw of the own community is made again, a few times; with two communities or more that settles all but a few
-    settled, left = None, draws
-    for attempt in range(8):
-        tried = cut(_weighted(left, open_to, "to_community", "size", None, seed + 10 + attempt))
-        good = tried.where("to_community <> community")
-        settled = good if settled is None else settled.unionByName(good)
-        left = tried.where("to_community = community").drop("to_community")
-        if left.isEmpty():
-            break
+    settled = cut(_weighted(draws, open_to, "to_community", "size", None, seed + 10, "community"))
     hit = _weighted(settled, weighted, "target", "degree", "to_community", seed + 2)
     joined = cut(hit)
     return joined.select(F.col("source").alias("src"), F.col("target").alias("dst")), joined.select(F.col("to_community").alias("community"), F.col("source").alias("vertex")).distinct()

@@ -43,6 +43,16 @@ def test_inter_edges(placed):
     assert all(home[r.vertex] != r.community for r in joined.collect())
 
 
+def test_inter_edges_of_a_community_that_holds_nearly_all(frame):
+    placed = N.offsets(frame([(1, "a", 20), (2, "b", 900), (3, "c", 30)], "idx long, community string, size long", 1))
+    names = placed.select("community")
+    edges, _ = N.inter_edges(placed, N.ba_edges(placed, 1, 1), names, names, 0.1, (2, 2), 5)
+    home = {r.vertex: r.community for r in N.community_vertices(placed).collect()}
+    got = [(home[r.src], home[r.dst]) for r in edges.collect()]
+    assert len(got) == (2 + 90 + 3) * 2 and all(a != b for a, b in got)
+    assert 45 <= got.count(("b", "a")) <= 100
+
+
 def test_network_and_infusion(spark):
     named = N.named_sizes(spark, [30, 40, 50], [20])
     net = N.generate_network(named, p=0.3, seed=3)
