@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from kithloom.operators.membership import both_ways, overlap, sizes, vertex_degrees
-from kithloom.session import cut
+from kithloom.session import cut, keep
 
 FEATURES = ("total_friends", "preferential_attachment_score", "friends_measure", "shortest_path", "vertex_1_degree", "vertex_2_degree")
 
@@ -32,18 +34,19 @@ def friends_measure(m: DataFrame, sample: DataFrame, shared: DataFrame | None =
     return sample.join(found, ["community", "vertex"], "left").fillna(0, ["friends_measure"])
 
 
-def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
-    """``known`` (community, vertex, friends_measure, both degrees, ...) with shortest_path, -1 where there is none.
+def _other_communities(m: DataFrame, rows: DataFrame) -> DataFrame:
+    """(community, vertex, at): the communities each row's vertex has besides the row's own."""
+    return rows.join(m.withColumnRenamed("community", "at"), "vertex").where("at <> community").select("community", "vertex", "at")
+
 
-    A positive friends measure means 3, a degree of 0 means no path. For the few other rows the communities within reach grow
-    hop by hop, over communities that share members, until they border on the row's own or nothing new is reached, however long that takes; each hop is cut from its lineage.
+def _hops_of_links(rows: DataFrame, m: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(community, vertex, hops) of links without common friends, the link itself left out.
+
+    The only member that such a community shares with any other community of the vertex is the vertex itself, so what is reached
+    depends on the vertex: each row has its own frontier, from the vertex's other communities towards the row's own.
     """
-    simple = F.when(F.col("friends_measure") > 0, 3).when((F.col("vertex_1_degree") == 0) | (F.col("vertex_2_degree") == 0), -1)
-    known = known.withColumn("shortest_path", simple)
-    open_rows = cut(known.where("shortest_path IS NULL").select("community", "vertex"))
-    links = shared.select("c1", "c2")
-    seen = cut(open_rows.join(m.withColumnRenamed("community", "at"), "vertex").where("at <> community").select("community", "vertex", "at"))
-    frontier, found, length = seen, None, 3
+    frontier, found, length = cut(_other_communities(m, rows)), None, 3
+    seen = frontier
     while not frontier.isEmpty():
         length += 2
         grown = frontier.join(links, F.col("at") == F.col("c1")).where("c2 <> community").select("community", "vertex", F.col("c2").alias("at")).distinct()
@@ -52,14 +55,61 @@ def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFra
         hit = cut(ends.withColumn("hops", F.lit(length)))
         found = hit if found is None else found.unionByName(hit)
         frontier = cut(frontier.join(hit, ["community", "vertex"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    if found is None:
+        seen = seen.unionByName(frontier)
+    return found
+
+
+def _hops_of_non_links(rows: DataFrame, m: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(community, vertex, hops) of non-links without common friends.
+
+    What a community reaches doesn't depend on the vertex, so all its rows share one frontier of (community, at); a community whose
+    rows are all found leaves it.
+    """
+    open_ends = cut(_other_communities(m, rows))
+    starts = open_ends.select("community").distinct()
+    # without common friends no row is found among the neighbours of its community
+    frontier = cut(starts.join(links.withColumnRenamed("c1", "community"), "community").select("community", F.col("c2").alias("at")))
+    seen, found, length = starts.select("community", F.col("community").alias("at")).unionByName(frontier), None, 3
+    while not frontier.isEmpty():
+        length += 2
+        grown = frontier.join(links, F.col("at") == F.col("c1")).select("community", F.col("c2").alias("at")).distinct()
+        reached = cut(grown.join(seen, ["community", "at"], "left_anti"))
+        hit = cut(open_ends.join(reached, ["community", "at"], "left_semi").select("community", "vertex").distinct().withColumn("hops", F.lit(length)))
+        found = hit if found is None else found.unionByName(hit)
+        open_ends = cut(open_ends.join(hit, ["community", "vertex"], "left_anti"))
+        frontier = cut(reached.join(open_ends.select("community").distinct(), "community", "left_semi"))
+        seen = seen.unionByName(frontier)
+    return found
+
+
+def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
+    """``known`` (community, vertex, edge_exist, friends_measure, both degrees, ...) with shortest_path, -1 where there is none.
+
+    A positive friends measure means 3, a degree of 0 means no path. For the other rows the communities within reach grow hop by
+    hop, over communities that share members, until they border on the row's own or nothing new is reached, however long that
+    takes; each hop is cut from its lineage. ``m``, ``known`` and ``shared`` are read in every hop, so they should be kept tables.
+    """
+    simple = F.when(F.col("friends_measure") > 0, 3).when((F.col("vertex_1_degree") == 0) | (F.col("vertex_2_degree") == 0), -1)
+    known = known.withColumn("shortest_path", simple)
+    open_rows = cut(known.where("shortest_path IS NULL").select("community", "vertex", "edge_exist"))
+    links = shared.select("c1", "c2")
+    parts = [
+        _hops_of_links(open_rows.where("edge_exist = 1").drop("edge_exist"), m, links),
+        _hops_of_non_links(open_rows.where("edge_exist <> 1").drop("edge_exist"), m, links),
+    ]
+    found = [p.withColumn("edge_exist", F.lit(e)) for p, e in zip(parts, (1, 0)) if p is not None]
+    if not found:
         return known.withColumn("shortest_path", F.coalesce("shortest_path", F.lit(-1)))
-    return known.join(found, ["community", "vertex"], "left").withColumn("shortest_path", F.coalesce("shortest_path", "hops", F.lit(-1))).drop("hops")
+    joined = known.join(reduce(DataFrame.unionByName, found), ["community", "vertex", "edge_exist"], "left")
+    return joined.withColumn("shortest_path", F.coalesce("shortest_path", "hops", F.lit(-1))).drop("hops")
 
 
 def topological_features(m: DataFrame, sample: DataFrame) -> DataFrame:
-    """(community, vertex, FEATURES, edge_exist) of every link of the sample."""
-    shared = both_ways(overlap(m))
-    base = with_degrees(m, sample).join(friends_measure(m, sample, shared).select("community", "vertex", "friends_measure"), ["community", "vertex"])
+    """(community, vertex, FEATURES, edge_exist) of every link of the sample.
+
+    The overlap table is made once and kept; friends measure and paths read it.
+    """
+    shared = keep(both_ways(overlap(m)), "overlap")
+    friends = friends_measure(m, sample, shared).select("community", "vertex", "edge_exist", "friends_measure")
+    base = keep(with_degrees(m, sample).join(friends, ["community", "vertex", "edge_exist"]), "features")
     return shortest_paths(m, base, shared).select("community", "vertex", *FEATURES, "edge_exist")

@@ -12,7 +12,7 @@ from kithloom.operators.features import topological_features
 from kithloom.operators.linkpred import LinkPredictor, fit_links
 from kithloom.operators.membership import bipartite
 from kithloom.operators.sampling import negative_sample, positive_sample
-from kithloom.session import cut
+from kithloom.session import cut, keep
 from kithloom.sources import readers, writers
 
 
@@ -30,7 +30,7 @@ def labelled_features(m: DataFrame, max_edges: int | None = None, negatives: boo
     """Features of the links, and of as many non-links (stages 3 and 4)."""
     sample = positive_sample(m, max_edges, seed)
     if negatives:
-        sample = sample.unionByName(negative_sample(m, sample.count(), seed))
+        sample = keep(sample.unionByName(negative_sample(m, sample.count(), seed)), "sample")
     return topological_features(m, sample)
 
 
@@ -47,8 +47,8 @@ def detect(
     seed: int = 0, save_to: str | None = None,
 ) -> Detection:
     """The whole way from (community, vertex) of train and test communities (M6); features are kept under ``save_to`` if given."""
-    train = labelled_features(bipartite(train_members), max_edges, True, seed)
-    test = labelled_features(bipartite(test_members), max_edges, False, seed)
+    train = labelled_features(keep(bipartite(train_members), "train"), max_edges, True, seed)
+    test = labelled_features(keep(bipartite(test_members), "test"), max_edges, False, seed)
     if save_to is not None:
         writers.write_features(train, test, save_to)
         train, test = readers.read_features(train.sparkSession, save_to)

@@ -103,10 +103,10 @@ def _r(expression: str, name: str, places: int = 6) -> str:
     return f"round({expression}, {places}) + 0.0::DOUBLE AS {name}"
 
 
-_PATHS = """, w AS (SELECT ft.community, ft.vertex, b.community AS loc, 3 AS d FROM ft JOIN m b ON b.vertex = ft.vertex AND b.community <> ft.community WHERE f = 0 AND d1 > 0 AND d2 > 0{0}
-  UNION SELECT w.community, w.vertex, ov.c2, d + 2 FROM w JOIN ov ON ov.c1 = w.loc AND ov.c2 <> w.community WHERE d < 15),
-fst AS (SELECT community, vertex, loc, min(d) AS d FROM w GROUP BY 1, 2, 3),
-sp AS (SELECT fst.community, fst.vertex, min(d) AS d FROM fst JOIN ov ON ov.c1 = fst.loc AND ov.c2 = fst.community WHERE d > 3 GROUP BY 1, 2)"""
+_PATHS = """, w(community, vertex, loc, d) USING KEY (community, vertex, loc) AS (SELECT ft.community, ft.vertex, b.community, 3 FROM ft JOIN m b ON b.vertex = ft.vertex AND b.community <> ft.community WHERE f = 0 AND d1 > 0 AND d2 > 0{0}
+  UNION SELECT w.community, w.vertex, ov.c2, min(w.d) + 2 FROM w JOIN ov ON ov.c1 = w.loc AND ov.c2 <> w.community LEFT JOIN recurring.w r ON r.community = w.community AND r.vertex = w.vertex AND r.loc = ov.c2
+  WHERE r.loc IS NULL GROUP BY 1, 2, 3),
+sp AS (SELECT w.community, w.vertex, min(d) AS d FROM w JOIN ov ON ov.c1 = w.loc AND ov.c2 = w.community WHERE d > 3 GROUP BY 1, 2)"""
 _PATH = "CASE WHEN f > 0 THEN 3 WHEN d1 = 0 OR d2 = 0 THEN -1 ELSE coalesce(d, -1) END"
 _U = f"('0x' || substr(md5('{q.SEED}:' || {{0}}), 1, 12))::BIGINT"
 

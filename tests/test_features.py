@@ -1,10 +1,12 @@
 import random
 from collections import deque
 
+import duckdb
 import pytest
 
 from kithloom.operators import features as X, sampling as S
 from kithloom.operators.membership import bipartite
+from kithloom.plans import graph_queries, graph_sql
 
 ROWS = [("A", "1"), ("A", "2"), ("A", "3"), ("B", "2"), ("B", "3"), ("B", "4"), ("C", "4"), ("C", "5"), ("D", "6")]
 KNOWN = """A 1 2 0 0 -1 2 0 1
@@ -63,13 +65,36 @@ def test_against_brute_force(frame, seed):
 
 
 def test_paths_of_any_length(frame):
-    # a chain of communities, each with one member of the next: from c0 to the last vertex it is 2 * 10 + 1 steps
-    edges = {(f"c{i}", f"v{j}") for i in range(11) for j in (i, i + 1)} | {("far", "w")}
-    sample = [("c0", "v9", 0), ("c0", "v8", 0), ("c0", "v11", 0), ("c0", "w", 0), ("c10", "v0", 0)]
+    # a chain of communities, each with one member of the next: from c0 to the last vertex it is 2 * 11 + 1 steps
+    edges = {(f"c{i}", f"v{j}") for i in range(12) for j in (i, i + 1)} | {("far", "w")}
+    sample = [("c0", "v9", 0), ("c0", "v8", 0), ("c0", "v12", 0), ("c0", "w", 0), ("c11", "v0", 0)]
     m = bipartite(frame(list(edges), "community string, vertex string"))
     got = {(r.community, r.vertex): r.shortest_path for r in X.topological_features(m, frame(sample, "community string, vertex string, edge_exist int")).collect()}
     assert got == {(c, v): brute(edges, c, v)[3] for c, v, _ in sample}
-    assert sorted(got.values()) == [-1, 15, 17, 21, 21]
+    assert sorted(got.values()) == [-1, 15, 17, 23, 23]
+
+
+def test_links_of_a_ring(frame):
+    # every link of a ring of communities has one way round; the link itself doesn't count
+    edges = {(f"c{i:02d}", f"v{j % 12:02d}") for i in range(12) for j in (i, i + 1)} | {("c03", "v09"), ("tail", "v00"), ("tail", "end")}
+    m = bipartite(frame(list(edges), "community string, vertex string"))
+    got = X.topological_features(m, frame([(*e, 1) for e in edges], "community string, vertex string, edge_exist int")).collect()
+    assert {(r.community, r.vertex): r.shortest_path for r in got} == {e: brute(edges, *e)[3] for e in edges}
+    assert {-1, 11} <= {r.shortest_path for r in got}
+
+
+def test_sql_searches_as_far(spark, tmp_path):
+    rows = [(f"c{i:02d}", f"v{j:02d}") for i in range(12) for j in (i, i + 1)] + [("far", "w"), ("far", "v11x"), ("d", "v00"), ("d", "y")]
+    spark.createDataFrame(rows, "community string, __id string").write.parquet(str(tmp_path / "vertices.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW vertices AS SELECT * FROM '{tmp_path}/vertices.parquet/*.parquet'")
+    for name in ("topological_features", "shortest_path"):
+        got = graph_queries.QUERIES[name](spark, str(tmp_path))
+        want = duck.sql(graph_sql.ORACLE[name])
+        at = [want.columns.index(c) for c in got.columns]
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+        if name == "topological_features":
+            assert max(r.shortest_path for r in got.collect()) > 15
 
 
 def test_negatives(frame):
