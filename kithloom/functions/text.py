@@ -18,6 +18,11 @@ def parse_edge_key(key: Column, vertex_first: bool = False) -> tuple[Column, Col
     return (rest, head) if vertex_first else (head, rest)
 
 
+def numeric_id(vertex: Column) -> Column:
+    """A vertex made of digits alone as a number, null for any other."""
+    return F.when(vertex.rlike("^[0-9]+$"), vertex.try_cast("long"))
+
+
 def padded_name(prefix: str, number: Column, total: Column) -> Column:
     """``prefix`` with the number, zero-padded to one digit more than ``total`` has."""
     width = F.length(total.cast("string")) + 1

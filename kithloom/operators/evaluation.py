@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kithloom.operators.measures import ASCENDING as TURNED, MEASURES
+
 
 def label_anomalous(results: DataFrame, names: DataFrame) -> DataFrame:
     """results with is_anomalous 1 or 0."""
@@ -11,13 +13,25 @@ def label_anomalous(results: DataFrame, names: DataFrame) -> DataFrame:
     return results.join(known, "community", "left").fillna(0, ["is_anomalous"])
 
 
-def pr_curve(results: DataFrame, keys: list[str], higher_is_anomalous: bool = False) -> DataFrame:
+def high_is_anomalous(algorithm: Column, baselines_high: bool = True, ours_high: bool = False) -> Column:
+    """Which end of an algorithm's scores is the anomalous one, as a condition.
+
+    ``ours_high`` speaks of the meta-features, ``baselines_high`` of the structural measures; average degree and normality are turned
+    the other way than the rest of these.
+    """
+    turned = algorithm.isin(*TURNED)
+    base = ~turned if baselines_high else turned
+    return F.when(algorithm.isin(*MEASURES), base).otherwise(F.lit(ours_high))
+
+
+def pr_curve(results: DataFrame, keys: list[str], higher_is_anomalous: bool | Column = False) -> DataFrame:
     """(keys, threshold, n, n_pos, precision, recall) for each distinct score, the most anomalous first.
 
-    ``results`` has keys, score and is_anomalous. A low score is anomalous unless told otherwise; rows without a score come
-    after all others.
+    ``results`` has keys, score and is_anomalous. A low score is anomalous unless told otherwise, for all rows or by a condition on
+    them; rows without a score come after all others.
     """
-    level = F.col("score") if higher_is_anomalous else -F.col("score")
+    high = F.lit(higher_is_anomalous) if isinstance(higher_is_anomalous, bool) else higher_is_anomalous
+    level = F.when(high, F.col("score")).otherwise(-F.col("score"))
     points = results.groupBy(*keys, level.alias("threshold")).agg(F.count("*").alias("__k"), F.sum(F.col("is_anomalous").cast("long")).alias("__p"))
     order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("threshold"))
     run, everything = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
@@ -28,7 +42,7 @@ def pr_curve(results: DataFrame, keys: list[str], higher_is_anomalous: bool = Fa
     )
 
 
-def average_precision(results: DataFrame, keys: list[str], higher_is_anomalous: bool = False) -> DataFrame:
+def average_precision(results: DataFrame, keys: list[str], higher_is_anomalous: bool | Column = False) -> DataFrame:
     """(keys, ap): the sum over distinct scores of precision times the gain in recall; null without any anomaly."""
     curve = pr_curve(results, keys, higher_is_anomalous)
     return curve.groupBy(*keys).agg(F.sum(F.col("precision") * F.col("gain")).alias("ap"))
@@ -56,9 +70,9 @@ def prediction_summary(labels: DataFrame, predicted: str) -> DataFrame:
     return labels.agg(hit.alias("predicted_exist"), F.count_if(F.col(predicted) == 0).alias("predicted_not_exist"), F.try_divide(hit.cast("double"), F.count("*").cast("double")).alias("exist_ratio"))
 
 
-def precision_by_setting(results: DataFrame, keys: list[str], network: str = "network") -> DataFrame:
+def precision_by_setting(results: DataFrame, keys: list[str], network: str = "network", higher_is_anomalous: bool | Column = False) -> DataFrame:
     """(keys, mean_ap, std_ap, n_networks): average precision over a setting's networks, sample std."""
-    return average_precision(results, [*keys, network]).groupBy(*keys).agg(F.avg("ap").alias("mean_ap"), F.stddev_samp("ap").alias("std_ap"), F.count("ap").alias("n_networks"))
+    return average_precision(results, [*keys, network], higher_is_anomalous).groupBy(*keys).agg(F.avg("ap").alias("mean_ap"), F.stddev_samp("ap").alias("std_ap"), F.count("ap").alias("n_networks"))
 
 
 def compare(by_setting: DataFrame, rows: list[str], columns: str, values: list[str], value: str = "mean_ap") -> DataFrame:

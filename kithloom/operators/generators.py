@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kithloom.functions.hashing import key_of, unit
 from kithloom.functions.text import padded_name
 from kithloom.operators.graph import simple_graph
-from kithloom.operators.order import numbered
+from kithloom.operators.order import numbered, running_total
 from kithloom.operators.sampling import draw_names, uniform_int
 from kithloom.session import cut
 
 EDGES = "community string, src long, dst long"
-#: Communities of at most so many vertices are Barabasi-Albert networks grown by one task each.
-LARGEST_GROWN = 5_000_000
+#: Numbers of one chunk of a range.
+CHUNK = 1 << 16
+#: Fixed value: how names of infused communities begin.
+ANOMALOUS_PREFIX = "AnomComm"
 
 
 def offsets(sizes: DataFrame, first: int = 1) -> DataFrame:
     """sizes (idx, community, size) with ``start``, each community's first vertex number."""
-    before = F.sum("size").over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.withColumn("start", F.coalesce(before, F.lit(0)) + first)
+    return running_total(sizes, ["idx"], "size", "start").withColumn("start", F.col("start") - F.col("size") + first)
+
+
+def _spread(rows: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """A row for each whole number from ``low`` to ``high`` (at least low), in chunks, so that no range is an array of its length."""
+    chunks = rows.withColumn("__low", low).withColumn("__high", high).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__high") - F.col("__low")) / CHUNK))))
+    start = F.col("__low") + F.col("__chunk") * CHUNK
+    return chunks.withColumn(name, F.explode(F.sequence(start, F.least(F.col("__high"), start + CHUNK - 1)))).drop("__low", "__high", "__chunk")
 
 
 def community_vertices(placed: DataFrame) -> DataFrame:
     """(community, vertex): start, start + 1, ...."""
-    return placed.where("size > 0").select("community", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("vertex"))
+    return _spread(placed.where("size > 0"), F.col("start"), F.col("start") + F.col("size") - 1, "vertex").select("community", "vertex")
 
 
 def er_edges_hashed(placed: DataFrame, p: float, seed: int) -> DataFrame:
@@ -47,9 +56,7 @@ def er_edges(placed: DataFrame, p: float, seed: int) -> DataFrame:
     """Erdos-Renyi edges by geometric jumps from one neighbour of a vertex to the next: O(edges), vertices spread over all tasks."""
     if not 0 <= p <= 1:
         raise ValueError("p must lie within 0 and 1")
-    rows = placed.where("size > 1").select(
-        "community", F.explode(F.sequence("start", F.col("start") + F.col("size") - 2)).alias("src"), (F.col("start") + F.col("size") - 1).alias("last")
-    )
+    rows = _spread(placed.where("size > 1"), F.col("start"), F.col("start") + F.col("size") - 2, "src").select("community", "src", (F.col("start") + F.col("size") - 1).alias("last"))
     rows = rows.withColumn("seed", F.xxhash64(F.lit(seed), "community", "src"))
 
     def jump(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,30 +85,51 @@ def er_edges(placed: DataFrame, p: float, seed: int) -> DataFrame:
 def ba_edges(placed: DataFrame, m: int, seed: int) -> DataFrame:
     """Barabasi-Albert edges of each community: every new vertex joins m earlier ones, in proportion to their degrees.
 
-    Growth is sequential, so a community is one task's work, in O(edges) memory of numbers; the same seed serves all communities.
+    With m = 1 a vertex draws one of the ends of all earlier edges by hash. An end that is a new vertex is known by its place; an
+    end that is itself a drawn target is followed to the draw of its vertex, two on average. So every vertex is settled on its own
+    and the vertices of a community, however large, are spread over all tasks (the method is that of Sanders and Schulz, 2016).
+    With m > 1 targets must differ, which makes growth sequential: a community is one task's work, in 16 bytes an edge.
     """
     if m < 1:
         raise ValueError("m must be 1 or more")
-    if placed.where(F.col("size") > LARGEST_GROWN).limit(1).count():
-        raise ValueError(f"a community has more than {LARGEST_GROWN} vertices")
+    rows = placed.where("size > 1")
+    if m == 1:
+        numbers = _spread(rows.select("community", "start", "size"), F.lit(1).cast("long"), F.col("size") - 1, "v").select("community", "start", "v")
+        return numbers.repartition("community", "v").mapInPandas(lambda batches: _attached(batches, seed), EDGES)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         community, start, n = pdf["community"].iloc[0], int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
         rng = np.random.default_rng(seed)
-        first = min(m, max(n - 1, 0))
-        ends: list[int] = []  # each vertex as often as it has edges
-        src, dst = [], []
+        first = min(m, n - 1)
+        ends = np.empty(2 * m * n, np.int64)  # each vertex as often as it has edges: target, new vertex, target, ...
+        used = 0
         for v in range(first, n):
             targets = set(range(first)) if v == first else set()
             while len(targets) < min(m, v):
-                targets.add(ends[rng.integers(len(ends))])
+                targets.add(int(ends[rng.integers(used)]))
             for t in sorted(targets):
-                src.append(t)
-                dst.append(v)
-                ends += [t, v]
-        return pd.DataFrame({"community": community, "src": np.array(src, np.int64) + start, "dst": np.array(dst, np.int64) + start})
-
-    return placed.where("size > 1").groupBy("community").applyInPandas(grow, EDGES)
+                ends[used : used + 2] = t, v
+                used += 2
+        return pd.DataFrame({"community": community, "src": ends[:used:2] + start, "dst": ends[1:used:2] + start})
+
+    return rows.groupBy("community").applyInPandas(grow, EDGES)
+
+
+def _attached(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """The edge of each new vertex v = 1, 2, ... of a community to the earlier vertex that it draws."""
+    for pdf in batches:
+        targets = []
+        for community, v in zip(pdf["community"], pdf["v"]):
+            while v > 1:
+                # the ends so far: target and new vertex of the edge of each earlier vertex
+                end = int(hashlib.md5(f"{seed}:{community}:{v}".encode()).hexdigest()[:12], 16) % (2 * (v - 1))
+                v = end // 2 + 1
+                if end % 2:
+                    break
+            else:
+                v = 0
+            targets.append(v)
+        yield pd.DataFrame({"community": pdf["community"], "src": pdf["start"] + np.array(targets, np.int64), "dst": pdf["start"] + pdf["v"]})
 
 
 Generator = Callable[[DataFrame, float, int], DataFrame]
@@ -125,8 +153,7 @@ def _weighted(draws: DataFrame, choices: DataFrame, name: str, weight: str, grou
     into the other weights, and beyond the own span it is moved on by it; draws without another choice are left out.
     """
     keys = [group] if group else []
-    w = Window.partitionBy(*keys).orderBy(name) if keys else Window.orderBy(name)
-    spans = choices.where(F.col(weight) > 0).withColumn("hi", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = running_total(choices.where(F.col(weight) > 0), [name], weight, "hi", keys)
     spans = spans.withColumn("lo", F.col("hi") - F.col(weight))
     shape = choices.where(F.col(weight) > 0).groupBy(*keys).agg(F.sum(weight).alias("total"), F.count("*").alias("n"))
     shape = shape.withColumn("step", F.ceil(F.col("total") / F.col("n")).cast("long"))
@@ -184,11 +211,22 @@ class Network:
     communities: DataFrame
 
 
-def named_sizes(spark: SparkSession, normal: list[int], anomalous: list[int]) -> DataFrame:
-    """(idx, community, size, is_anomalous): normal communities first, then the anomalous ones."""
-    rows = [(i + 1, int(s), i >= len(normal)) for i, s in enumerate([*normal, *anomalous])]
-    frame = spark.createDataFrame(rows, "idx long, size long, is_anomalous boolean")
-    return frame.withColumn("community", padded_name("comm", F.col("idx"), F.lit(len(rows))))
+def _slots(spark: SparkSession, sizes: DataFrame | list[int]) -> DataFrame:
+    """(slot, size) of sizes given as such or as a list."""
+    if isinstance(sizes, DataFrame):
+        return sizes.select(F.col("slot").cast("long"), F.col("size").cast("long"))
+    return spark.createDataFrame([(i + 1, int(s)) for i, s in enumerate(sizes)], "slot long, size long")
+
+
+def named_sizes(spark: SparkSession, normal: DataFrame | list[int], anomalous: DataFrame | list[int]) -> DataFrame:
+    """(idx, community, size, is_anomalous): normal communities first, then the anomalous ones.
+
+    Sizes are a list, or a table (slot, size) with slots 1, 2, ..., which may be of any length.
+    """
+    plain, odd = _slots(spark, normal), _slots(spark, anomalous)
+    before, more = plain.count(), odd.count()
+    both = plain.select(F.col("slot").alias("idx"), "size", F.lit(False).alias("is_anomalous")).unionByName(odd.select((F.col("slot") + before).alias("idx"), "size", F.lit(True).alias("is_anomalous")))
+    return both.withColumn("community", padded_name("comm", F.col("idx"), F.lit(before + more)))
 
 
 def generate_network(
@@ -210,18 +248,17 @@ def generate_network(
     return Network(simple_graph(text(so_far.unionByName(out))), text(vertices.select(F.col("vertex").alias("id")).distinct()), membership, placed.select("community", "size", "is_anomalous"))
 
 
-def infuse(graph: DataFrame, membership: DataFrame, sizes: list[int], p: float, share: float, k: tuple[int, int], seed: int, anomalous: str | Generator = "er") -> Network:
+def infuse(graph: DataFrame, membership: DataFrame, sizes: DataFrame | list[int], p: float, share: float, k: tuple[int, int], seed: int, anomalous: str | Generator = "er") -> Network:
     """A real graph with generated anomalous communities added and linked into its communities.
 
     Vertices of the graph keep their ids; new ones are named GenNode..., new communities AnomComm....
     """
     spark = graph.sparkSession
-    rows = [(i + 1, int(s)) for i, s in enumerate(sizes)]
-    new = spark.createDataFrame(rows, "idx long, size long").withColumn("community", padded_name("AnomComm", F.col("idx"), F.lit(len(rows))))
-    placed = cut(offsets(new))
+    rows = cut(_slots(spark, sizes).withColumnRenamed("slot", "idx"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    placed = cut(offsets(rows.withColumn("community", padded_name(ANOMALOUS_PREFIX, F.col("idx"), F.lit(n)))))
     inner = cut(generator(anomalous)(placed, p, seed))
-    total = F.lit(sum(sizes))
-    named = lambda c: padded_name("GenNode", F.col(c), total)
+    named = lambda c: padded_name("GenNode", F.col(c), F.lit(total))
     own = community_vertices(placed)
     deg = graph.select(F.explode(F.array("src", "dst")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("degree"))
     weighted = membership.join(deg, "vertex").select(F.col("community").alias("to_community"), F.col("vertex").alias("target"), "degree")
@@ -237,12 +274,9 @@ def infuse(graph: DataFrame, membership: DataFrame, sizes: list[int], p: float,
     return Network(simple_graph(edges), nodes, joined.distinct(), communities)
 
 
-def population(spark: SparkSession, sizes: DataFrame) -> list[int]:
-    """Sizes as a list for the generator's parameters; sizes of a generated network are parameters, at most 100,000 of them."""
-    rows = sizes.orderBy("size").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 communities to generate")
-    return [int(r["size"]) for r in rows]
+def is_infused(community: Column) -> Column:
+    """Whether a community is one that infuse added, by its name."""
+    return F.coalesce(community.contains(ANOMALOUS_PREFIX), F.lit(False))
 
 
 def renumbered(vertices: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kithloom.operators.graph import boundary_degrees, degrees, inside_edges, nodes_of
+from kithloom.operators.order import ranked
 from kithloom.session import cut
 
 #: Measures whose lowest value comes first in a ranking; of the others the highest does.
@@ -100,5 +101,5 @@ def rank_measures(graph: DataFrame, m: DataFrame, names: tuple[str, ...] = MEASU
     counts = cut(community_counts(graph, m))
     scored = reduce(DataFrame.unionByName, [measure(name, graph, m, counts).withColumn("feature", F.lit(name)) for name in names])
     key = F.when(F.col("feature").isin(*ASCENDING), F.col("score")).otherwise(-F.col("score"))
-    order = Window.partitionBy("feature").orderBy(F.asc_nulls_last("key"), "community")
-    return scored.withColumn("key", F.round(key, 9)).select("feature", F.row_number().over(order).alias("rank"), "community", "score")
+    keyed = scored.withColumn("__key", F.round(key, 9)).withColumn("__none", F.col("__key").isNull())
+    return ranked(keyed, "feature", ["__none", "__key", "community"]).select("feature", "rank", "community", "score")

@@ -118,6 +118,11 @@ def split_communities(names: DataFrame, n_train: int, seed: int, anomalous: str
     return marked.withColumn("split", F.coalesce("split", F.lit("test")))
 
 
+def last_communities(m: DataFrame, k: int) -> DataFrame:
+    """The last ``k`` community names in their order, which for numbered names are the ones added last."""
+    return m.select("community").distinct().orderBy(F.desc("community")).limit(k)
+
+
 def distinct_users(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_users): exact number of ids at either end of the edges, without filters."""
     ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("id")).where("id IS NOT NULL").distinct()

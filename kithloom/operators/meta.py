@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kithloom.operators.order import ranked
 
 META = ("normality_prob_mean", "normality_prob_std", "normality_prob_median", "predicted_label_mean", "predicted_label_std", "weighted_sum")
 
@@ -36,8 +38,8 @@ def meta_features(probs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def rank_features(scores: DataFrame, columns: tuple[str, ...] = META) -> DataFrame:
     """(feature, rank, community, score): communities by falling score, nulls last, ties by name."""
     long = scores.unpivot("community", list(columns), "feature", "score")
-    order = Window.partitionBy("feature").orderBy(F.desc_nulls_last("score"), "community")
-    return long.select("feature", F.row_number().over(order).alias("rank"), "community", "score")
+    keyed = long.select("feature", "community", "score", F.col("score").isNull().alias("__none"), (-F.col("score")).alias("__key"))
+    return ranked(keyed, "feature", ["__none", "__key", "community"]).select("feature", "rank", "community", "score")
 
 
 def ranking_wide(ranking: DataFrame, columns: tuple[str, ...] = META) -> DataFrame:

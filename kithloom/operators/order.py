@@ -1,4 +1,4 @@
-"""Global numbering and top-k that no single task has to do."""
+"""Global numbering, ranks, running totals and top-k that no single task has to do."""
 
 from __future__ import annotations
 
@@ -35,3 +35,26 @@ def first_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     if k <= TOP_IN_ONE_TASK:
         return df.orderBy(*order).limit(k)
     return numbered(df, order, "__idx").where(F.col("__idx") <= k).drop("__idx")
+
+
+def ranked(df: DataFrame, group: str, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with ``name`` = 1, 2, ... within each value of ``group``, in the order of the columns ``order``, which must make its rows distinct.
+
+    All rows are numbered together, so few groups of many rows aren't few tasks; a group's first number is taken off.
+    """
+    placed = numbered(df, [group, *order], "__idx")
+    first = placed.groupBy(group).agg(F.min("__idx").alias("__first"))
+    return placed.join(first, group).withColumn(name, (F.col("__idx") - F.col("__first") + 1).cast("int")).drop("__idx", "__first")
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "hi", group: Sequence[str] = ()) -> DataFrame:
+    """df with ``name``, the sum of ``value`` up to and including the row in the order of the columns ``order``, for each ``group`` if any.
+
+    Rows are range-partitioned by group and order and added up per partition; what earlier partitions hold of a group is added.
+    """
+    kept = cut(df.repartitionByRange(*group, *order).withColumn("__pid", F.spark_partition_id()))
+    parts = kept.groupBy("__pid", *group).agg(F.sum(value).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
+    carried = parts.select("__pid", *group, F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn("__inside", inside).join(carried, ["__pid", *group]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__pid", "__inside", "__before")

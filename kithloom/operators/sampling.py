@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.functions.hashing import key_of, unit, whole
-from kithloom.operators.order import first_rows, numbered
+from kithloom.operators.order import first_rows, numbered, running_total
 from kithloom.session import cut
 
 #: Candidates drawn for each non-link wanted, before links and repeats are taken out.
@@ -16,9 +17,11 @@ SIZE_GROUPS = ("min", "quantile10", "quartile1", "median", "mean", "random")
 
 
 def positive_sample(m: DataFrame, max_edges: int | None = None, seed: int = 0) -> DataFrame:
-    """(community, vertex, edge_exist = 1): all links, or ``max_edges`` of them in md5 order."""
+    """(community, vertex, edge_exist = 1): all links, or ``max_edges`` of them in md5 order, with a warning where there are fewer."""
     if max_edges is None:
         return m.select("community", "vertex", F.lit(1).alias("edge_exist"))
+    if (there := m.count()) < max_edges:
+        warnings.warn(f"{max_edges} links asked for, {there} exist", stacklevel=2)
     drawn = first_rows(m.withColumn("k", key_of(seed, "community", "vertex")), ["k", "community", "vertex"], max_edges)
     return drawn.select("community", "vertex", F.lit(1).alias("edge_exist"))
 
@@ -84,8 +87,7 @@ def weighted_pick(draws: DataFrame, choices: DataFrame, draw: str, name: str, we
     the span's start, for which both sides are put into buckets of equal width.
     """
     spans = choices.select(name, F.col(weight).cast("double").alias("w")).where("w > 0")
-    running = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-    ends = spans.withColumn("hi", F.sum("w").over(running)).withColumn("lo", F.col("hi") - F.col("w"))
+    ends = running_total(spans, [name], "w").withColumn("lo", F.col("hi") - F.col("w"))
     total = spans.agg(F.sum("w").alias("t")).first()["t"]
     if not total:
         raise ValueError("no weights to draw from")

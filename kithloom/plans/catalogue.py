@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithloom.plans import graph_queries, graph_sql, scale
+from kithloom.plans import graph_queries, graph_sql, io_queries, scale
 
-QUERIES = {**graph_queries.QUERIES, **scale.QUERIES}
-ORACLE = {**graph_sql.ORACLE, **scale.ORACLE}
+QUERIES = {**graph_queries.QUERIES, **io_queries.QUERIES, **scale.QUERIES}
+ORACLE = {**graph_sql.ORACLE, **io_queries.ORACLE, **scale.ORACLE}

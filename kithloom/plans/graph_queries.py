@@ -372,8 +372,7 @@ def inter_community_edges(spark, d):
 
 
 def infused_network(spark, d):
-    sizes = generators.population(spark, anomalous_sizes(spark, d))
-    return generators.infuse(cut(simple(spark, d)), cut(members(spark, d)), sizes, ER_P, 0.2, (1, 2), SEED).edges
+    return generators.infuse(cut(simple(spark, d)), cut(members(spark, d)), anomalous_sizes(spark, d), ER_P, 0.2, (1, 2), SEED).edges
 
 
 # --- keys and learning ----------------------------------------------------------------------------------------------------

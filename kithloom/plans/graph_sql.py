@@ -110,6 +110,18 @@ sp AS (SELECT w.community, w.vertex, min(d) AS d FROM w JOIN ov ON ov.c1 = w.loc
 _PATH = "CASE WHEN f > 0 THEN 3 WHEN d1 = 0 OR d2 = 0 THEN -1 ELSE coalesce(d, -1) END"
 _U = f"('0x' || substr(md5('{q.SEED}:' || {{0}}), 1, 12))::BIGINT"
 
+_SHARE = f"(('0x' || substr(md5('{{0}}:' || draw || ':' || v), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE"
+_GROWN = f""", ch AS (SELECT community, v, w, CASE WHEN w > 1 THEN {_U.format("community || ':' || w")} % (2 * (w - 1)) END AS e FROM (SELECT community, unnest(generate_series(1, size - 1)) AS v, v AS w FROM pl)
+  UNION ALL SELECT community, v, e // 2 + 1, CASE WHEN e // 2 > 0 THEN {_U.format("community || ':' || (e // 2 + 1)")} % (2 * (e // 2)) END FROM ch WHERE e % 2 = 0),
+ba AS (SELECT community, start + CASE WHEN e IS NULL THEN 0 ELSE e // 2 + 1 END AS src, start + v AS dst FROM ch JOIN pl USING (community) WHERE e IS NULL OR e % 2 = 1)"""
+_BETWEEN = f""", ik AS (SELECT pv.community, v, count(*) AS k FROM pv JOIN (SELECT src AS x FROM ba UNION ALL SELECT dst FROM ba) ON x = v GROUP BY 1, 2),
+iw AS (SELECT community, v, k, sum(k) OVER (PARTITION BY community ORDER BY v) AS hi, sum(k) OVER (PARTITION BY community) AS total FROM ik),
+iz AS (SELECT community, size, sum(size) OVER (ORDER BY community) AS hi, sum(size) OVER () AS total FROM pl),
+ir AS (SELECT community, v FROM (SELECT pv.community, v, size, row_number() OVER (PARTITION BY pv.community ORDER BY {_U.format("pv.community || ':' || v")}, v) AS i FROM pv JOIN pl USING (community)) WHERE i <= round_even(size * 0.075::DOUBLE, 0)),
+iu AS (SELECT v, draw, hi - size AS lo, size, floor({_SHARE.format(q.SEED + 10)} * (total - size)) AS u FROM (SELECT *, 1 AS draw FROM ir) JOIN iz USING (community)),
+iv AS (SELECT v, draw, iz.community AS other FROM (SELECT v, draw, u + CASE WHEN u >= lo THEN size ELSE 0 END AS pos FROM iu) JOIN iz ON pos >= iz.hi - iz.size AND pos < iz.hi),
+ix AS (SELECT v, other, floor({_SHARE.format(q.SEED + 2)} * total) AS u FROM iv JOIN (SELECT DISTINCT community, total FROM iw) t ON t.community = other)"""
+
 ORACLE = {
     "membership_edges": _with("m", "SELECT community, vertex FROM m"),
     "bipartite_properties": _with("m", "SELECT count(DISTINCT community) AS n_communities, count(DISTINCT vertex) AS n_vertices, count(DISTINCT community) + count(DISTINCT vertex) AS n_nodes, count(*) AS n_edges FROM m"),
@@ -178,5 +190,7 @@ ORACLE = {
       JOIN (SELECT community, size::DOUBLE AS w, sum(size::DOUBLE) OVER (ORDER BY community ROWS UNBOUNDED PRECEDING) AS hi FROM sz) ON u >= hi - w AND u < hi"""),
     "er_community_edges": _with("pv", f"""SELECT a.community, a.v AS src, b.v AS dst FROM pv a JOIN pv b ON a.community = b.community AND a.v < b.v
       WHERE ({_U.format("a.community || ':' || a.v || ':' || b.v")}::DOUBLE + 0.5) / 281474976710656.0::DOUBLE < {q.ER_P}"""),
+    "ba_community_edges": _with("pl", "SELECT community, src, dst FROM ba", _GROWN),
+    "inter_community_edges": _with("pl pv", "SELECT ix.v AS src, iw.v AS dst FROM ix JOIN iw ON iw.community = ix.other AND u >= hi - k AND u < hi", _GROWN + _BETWEEN),
     "edge_key_roundtrip": _with("m", "SELECT '(' || community || ', ' || vertex || ')' AS key, split_part(community || ', ' || vertex, ', ', 1) AS community_head, substr(community || ', ' || vertex, length(split_part(community || ', ' || vertex, ', ', 1)) + 3) AS vertex_rest FROM m"),
 }

@@ -1,11 +1,17 @@
+import random
+
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.sql import functions as F
 
 from kithloom.operators import generators as N, sampling as S
+from kithloom.operators.evaluation import average_precision, label_anomalous
 from kithloom.operators.graph import nodes_of
 from kithloom.operators.measures import MEASURES
 from kithloom.operators.meta import META
 from kithloom.plans import experiment
 from kithloom.plans.detector import detect
+from kithloom.sources import readers
 
 
 @pytest.fixture
@@ -90,20 +96,87 @@ def test_grid():
     assert len(experiment.grid([0.1, 0.2], [0.01], ["min", "median"], range(5))) == 20
 
 
-def test_detection_beats_chance(spark):
-    """Injected random communities score less normal than grown ones."""
-    train = N.generate_network(N.named_sizes(spark, [40] * 8, []), seed=1)
-    test = N.generate_network(N.named_sizes(spark, [40] * 10, [30] * 3), p=0.2, anomalous_share=0.4, seed=2)
-    found = detect(train.membership, test.membership, seed=3)
-    assert found.predictor.validation.first().acc > 0.5
-    ranking = found.ranking.where("feature = 'normality_prob_mean'").orderBy("rank").collect()
-    assert len(ranking) == 13 and found.probabilities.where("prob < 0 OR prob > 1").count() == 0
+def test_detection_finds_injected_communities(spark):
+    """Communities that many of their members share with others score less normal than the rest."""
+    rng = random.Random(1)
+    sizes = spark.createDataFrame([(f"c{i}", int(30 * 50 ** (0.6 * rng.random() ** 2))) for i in range(200)], "community string, size long")
+    setting = experiment.Setting(0.4, 0.05, "median", 1, 5)
+    prepared = experiment.prepare(spark, sizes, setting, n_normal=60, n_anomalous=6, n_train=20)
+    found = detect(prepared.train, prepared.test, seed=5)
+    assert found.predictor.validation.first().acc > 0.7 and found.probabilities.where("prob < 0 OR prob > 1").count() == 0
+    judged = label_anomalous(found.ranking, prepared.communities.where("is_anomalous"))
+    ap = {r.feature: r.ap for r in average_precision(judged, ["feature"]).collect()}
+    assert ap["normality_prob_mean"] > 0.8 and ap["predicted_label_mean"] > 0.8  # 6 of 46 by chance
+    last = found.ranking.where("feature = 'predicted_label_mean' AND rank > 40")
+    assert last.join(prepared.communities.where("is_anomalous"), "community").count() >= 4
 
 
-def test_one_setting_of_the_grid(spark, frame):
+def test_one_setting_of_the_grid(spark, frame, tmp_path):
     sizes = frame([(f"c{i}", 20 + i) for i in range(30)], "community string, size long")
-    setting = experiment.grid([0.3], [0.2], ["median"], [1])[0]
-    got = experiment.run(spark, sizes, setting, n_normal=10, n_anomalous=3, n_train=4).cache()
+    setting = experiment.grid([0.3], [0.2], ["median"], [1])
+    got = experiment.run_grid(spark, sizes, setting, str(tmp_path / "kept"), n_normal=10, n_anomalous=3, n_train=4).cache()
     assert {r.algorithm for r in got.select("algorithm").distinct().collect()} == {*META, *MEASURES}
     by = got.groupBy("algorithm").agg({"is_anomalous": "sum", "community": "count"}).collect()
     assert all(r["sum(is_anomalous)"] == 3 and r["count(community)"] == 9 for r in by)
+    again = spark.read.parquet(str(tmp_path / "kept"))
+    assert again.count() == got.count() and again.first().enumeration == 1
+    judged = {r.algorithm: r.mean_ap for r in experiment.precision(got).collect()}
+    turned = {r.algorithm: r.mean_ap for r in experiment.precision(got, baselines_high=False).collect()}
+    high = average_precision(got, ["algorithm"], True).collect()
+    low = average_precision(got, ["algorithm"], False).collect()
+    for rows, one, two in ((high, judged, turned), (low, turned, judged)):
+        for r in rows:
+            if r.algorithm in MEASURES:
+                assert (two if r.algorithm in ("avg_degree", "unattr_amen") else one)[r.algorithm] == pytest.approx(r.ap)
+    assert all(judged[a] == turned[a] == pytest.approx(r.ap) for r in low for a in [r.algorithm] if a in META)
+
+
+def test_experiments_over_files(spark, tmp_path):
+    setting = experiment.grid([0.3], [0.2], ["min"], [1])[0]
+    folder = experiment.folder_of(str(tmp_path), "Alg", setting)
+    for i in range(2):
+        net = N.generate_network(N.named_sizes(spark, [20] * 6, [15] * 2), p=0.3, seed=i)
+        members = net.membership
+        train = members.where("community < 'comm03'")
+        graph = net.edges
+        experiment.write_data(experiment.Prepared(train, members.where("community >= 'comm03'"), graph, net.communities), folder, "min", f"Net_{i}")
+    (tmp_path / "Raw_data").mkdir()
+    fast = DecisionTreeClassifier(labelCol="edge_exist", maxDepth=2)
+    assert experiment.run_folders(spark, str(tmp_path), 0, 1, size_groups=["min"], n_anomalous=2, max_experiments=1, measured=("avg_degree",), classifier=fast) == 1
+    assert experiment.run_folders(spark, str(tmp_path), 1, 3, size_groups=["min"]) == 0
+    out = readers.literal(f"{folder}/ResultsAndLogs/min")
+    ours = readers.read_results(spark, out, "OurResults", META)
+    assert {r.experiment for r in ours.select("experiment").distinct().collect()} == {"OurResults_0"} and ours.count() == 6 * len(META)
+    assert readers.read_results(spark, out, "BaselineResults", ("avg_degree",)).count() == 6
+    logs = readers.read_logs(spark, out, lines=True)
+    assert sorted(r["size"] for r in readers.log_sizes(logs).where("is_anomalous").collect()) == [15, 15]
+    assert readers.log_members(logs).where("split = 'train'").count() == train.count()
+
+
+def test_real_networks_with_infused_communities(spark):
+    net = N.generate_network(N.named_sizes(spark, [30] * 6, []), seed=1)
+    got = experiment.prepare_infused(net.edges, net.membership, experiment.grid([0.3], [0.3], ["min"], [1])[0], n_anomalous=3, n_train=2)
+    odd = {r.community for r in got.communities.where("is_anomalous").collect()}
+    assert len(odd) == 3 and {r.community for r in got.test.where(N.is_infused(F.col("community"))).collect()} == odd
+    assert got.train.where(N.is_infused(F.col("community"))).count() == 0 and got.graph.count() > 0
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_ranges_come_in_chunks(frame, monkeypatch, chunk):
+    monkeypatch.setattr(N, "CHUNK", chunk)
+    placed = N.offsets(frame([(1, "a", 100), (2, "b", 1), (3, "c", 50)], "idx long, community string, size long", 1))
+    assert sorted(r.vertex for r in N.community_vertices(placed).collect()) == list(range(1, 152))
+    edges = N.ba_edges(placed, 1, 4).collect()
+    assert sorted(r.dst for r in edges) == [*range(2, 101), *range(103, 152)] and all(r.src < r.dst for r in edges)
+
+
+def test_attachment_prefers_high_degrees(spark):
+    placed = N.offsets(spark.createDataFrame([(1, "a", 20_000)], "idx long, community string, size long"))
+    degree = {}
+    for r in N.ba_edges(placed, 1, 1).collect():
+        for v in (r.src, r.dst):
+            degree[v] = degree.get(v, 0) + 1
+    # of such a network a part 4 / (k (k + 1) (k + 2)) of all vertices has degree k
+    for k, part in ((1, 2 / 3), (2, 1 / 6), (3, 1 / 15)):
+        assert abs(sum(d == k for d in degree.values()) / 20_000 - part) < 0.015
+    assert max(degree.values()) > 60

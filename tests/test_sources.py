@@ -68,22 +68,56 @@ def test_results_logs_rankings(spark, tmp_path, frame):
     assert R.read_logs(spark, str(tmp_path)).first().bipart_train_part == {"a": ["1"]}
     m = bipartite(frame([("a", "1"), ("b", "2")], "community string, vertex string"))
     known = frame([("a", 5, False), ("b", 3, False), ("z", 9, True)], "community string, size long, is_anomalous boolean")
-    W.write_log(str(tmp_path / "log"), 4, known, m.where("community = 'a'"), m.where("community = 'b'"))
-    log = spark.read.schema(R.LOG).json(str(tmp_path / "log"))
-    assert [tuple(r)[:5] for r in log.collect()] == [(4, [3, 5], [9], {"a": ["1"]}, {"b": ["2"]})]
-    W.write_ranking(frame([(2, "b", 0.5), (1, "a", 1.5)], "rank int, community string, score double"), str(tmp_path / "rank"))
-    assert [tuple(r) for r in R.read_ranking(spark, str(tmp_path / "rank")).collect()] == [(1, "a", 1.5), (2, "b", 0.5)]
+    W.write_log(str(tmp_path / "logs/NetworkLog_4.json"), 4, known, m.where("community = 'a'"), m.where("community = 'b'"))
+    for log, n in ((R.read_logs(spark, str(tmp_path / "logs"), lines=True), 4), (R.read_logs(spark, str(tmp_path)), 3)):
+        want = {4: ({(4, False, 3), (4, False, 5), (4, True, 9)}, {(4, "train", "a", "1"), (4, "test", "b", "2")}), 3: ({(3, False, 1), (3, True, 2)}, {(3, "train", "a", "1")})}[n]
+        assert ({tuple(r) for r in R.log_sizes(log).collect()}, {tuple(r) for r in R.log_members(log).collect()}) == want
+    ranking = frame([(2, "b", 0.5), (1, "a", 1.5), (3, "c, d", None)], "rank int, community string, score double")
+    for lines in (False, True):
+        path = W.write_ranking(ranking, str(tmp_path / f"rank{lines}"), lines, with_time=lines)
+        assert sorted(tuple(r) for r in R.read_ranking(spark, path, lines).collect()) == [(1, "a", 1.5), (2, "b", 0.5), (3, "c, d", None)]
     assert {os.path.basename(r.path) for r in R.list_files(spark, str(tmp_path), "Results").collect()} == {"OurResults_3.csv"}
 
 
-def test_results_guard(tmp_path, frame):
+def test_lines_hold_parts_of_a_community(spark, tmp_path, frame):
+    m = frame([("big", str(i)) for i in range(500)] + [("a, b", "x\ty"), ("é/ü", "z")], "community string, vertex string")
+    lists = W.member_lists(m, 40).collect()
+    assert max(len(r.members) for r in lists) < 100 and len(lists) > 10
+    W.write_partition_map(m, str(tmp_path / "lines"), lines=True)
+    assert sorted(tuple(r) for r in R.read_partition_map(spark, str(tmp_path / "lines"), lines=True).collect()) == sorted(tuple(r) for r in m.collect())
+    W.write_vertices(m, str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in R.read_vertices(spark, str(tmp_path / "csv"), partitioned=True).collect()) == sorted(tuple(r) for r in m.collect())
+
+
+def test_names_of_folders(spark, tmp_path):
+    put(tmp_path, "a b+c, d/a b+c, d.edges.csv", "__src_id,__dst_id,weight,mindate,maxdate\n1,2,3,a,b\n")
+    assert [r.community for r in R.read_edges(spark, str(tmp_path)).collect()] == ["a b+c, d"]
+
+
+def test_one_document_is_bounded(frame, monkeypatch, tmp_path):
+    monkeypatch.setattr(W, "LARGEST_DOCUMENT", 3)
+    m = frame([("a", str(i)) for i in range(4)], "community string, vertex string")
+    with pytest.raises(ValueError, match="lines"):
+        W.write_partition_map(m, str(tmp_path / "x"))
+
+
+def test_triples_by_stem(spark, tmp_path):
+    for name in ("maps/N_2_train_partition.json", "maps/N_2_test_partition.json", "maps/N_1_test_partition.json", "maps/N_1_train_partition.json", "maps/N_0_train_partition.json", "maps/Raw_data/N_0_test_partition.json"):
+        put(tmp_path, name, "{}")
+    for name in ("N_2", "N_1", "N_0"):
+        put(tmp_path, f"nets/{name}_network.adjlist", "a b")
+    got = R.file_triples(spark, str(tmp_path / "maps"), str(tmp_path / "nets")).orderBy("enumeration").collect()
+    assert [(r.enumeration, r.stem, os.path.basename(r.test)) for r in got] == [(0, "N_1", "N_1_test_partition.json"), (1, "N_2", "N_2_test_partition.json")]
+
+
+def test_results_guard(spark, tmp_path, frame):
     r = frame([("min", 1, "a", 0.5)], "size_group string, enumeration int, community string, score double")
     W.write_results(r, str(tmp_path / "out"))
     with pytest.raises(Exception, match="exist"):
         W.write_results(r, str(tmp_path / "out"))
     W.write_results(r, str(tmp_path / "out"), replace=True)
-    W.write_config({"generator": test_results_guard, "p": 0.1}, str(tmp_path / "c.json"))
-    assert json.loads((tmp_path / "c.json").read_text())["generator"] == "test_results_guard"
+    W.write_config(spark, {"generator": test_results_guard, "p": 0.1}, str(tmp_path / "c.json"))
+    assert tuple(spark.read.json(str(tmp_path / "c.json")).select("generator", "p").first()) == ("test_results_guard", 0.1)
 
 
 def test_labels_and_names(frame):
@@ -93,6 +127,8 @@ def test_labels_and_names(frame):
         text.padded_name("comm", F.col("i"), F.col("n")).alias("name"), text.edge_key(F.lit("a"), F.lit("b, c")).alias("k")
     )
     assert r.first().name == "comm0007"
+    ids = frame([("007",), ("x7",), (None,), ("9" * 30,)], "v string")
+    assert {x.v: x.n for x in ids.select("v", text.numeric_id(F.col("v")).alias("n")).collect()} == {"007": 7, "x7": None, None: None, "9" * 30: None}
     head, rest = text.parse_edge_key(F.col("k"))
     assert tuple(r.select(head, rest).first()) == ("a", "b, c")
     assert text.setting_name("Alg", 0.05, (1, 1), 0.01) == "Alg_p0.05_k[1,1]_m0.01"
