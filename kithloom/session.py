@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Folders made by fresh_dir in this process, in their order.
+_made: list[str] = []
+
 
 def build_session(app: str = "kithloom", **conf: str) -> SparkSession:
     """A session with DEFAULTS; conf (dots as double underscores) overrides them."""
@@ -27,11 +32,14 @@ def build_session(app: str = "kithloom", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests, local mode) a folder of this machine is made and set for the session.
+    Where that setting is absent a local master (tests) gets a folder of this machine; a cluster raises, as its executors wouldn't
+    share such a folder.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="kithloom-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,13 +53,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def kept_folders(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the folders that ``keep`` and ``fresh_dir`` made within it; results must be written or collected by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        made, _made[before:] = _made[before:], []
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
     """df, computed once and written as a table in the shared folder: columnar, so later steps read only what they need.
 
-    For larger results than ``cut``; as with that, the folder is the caller's to empty when the job is over.
+    For larger results than ``cut``; as with that, the folder is the caller's to empty when the job is over, for which there is ``kept_folders``.
     """
     path = fresh_dir(df.sparkSession, purpose)
     df.write.parquet(path)
