@@ -12,66 +12,96 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kithloom.session import cut
+
 #: Counters of the frequent-items sketch; its error is below 3.5 / SKETCH_COUNTERS of the rows.
 SKETCH_COUNTERS = 8192
 #: A key with at least this share of the rows is processed as heavy.
 HEAVY_SHARE = 0.01
+#: Tasks' sketches are combined in so many groups first, and then those of the groups.
+GROUPS = 1024
+#: Stands for a key of several columns.
+TAG = "__kl_key"
+
+
+def _names(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _mark(key: str | Sequence[str]) -> Column:
+    """A key as one value, null if any part is null; keys of several columns that share a hash are heavy or not together."""
+    names = _names(key)
+    if len(names) == 1:
+        return F.col(names[0])
+    return F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names]), F.xxhash64(*names))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str | Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
     """The values of ``key`` that may hold ``share`` of the non-null rows: one column ``key``, at most 2 / share rows.
 
     Every value with at least ``share`` is among them, as the sketch's error stays below half of ``share``; an empty
     table gives none, nulls are no value. ``share`` must be 0.001 or more, which keeps the result small enough to broadcast.
+    Of a key of several columns the hashes of its values come out, as the column TAG. Sketches are combined in two steps, so the
+    last task gets GROUPS of them and not one from each task.
     """
     if not 0.001 <= share <= 1:
         raise ValueError("share must lie between 0.001 and 1")
-    most = int(2 / share)
-    found = df.select(F.col(key).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {most}, {SKETCH_COUNTERS})").alias("top"), F.count("k").alias("n")
+    most, name = int(2 / share), _names(key)[0] if len(_names(key)) == 1 else TAG
+    by_group = (
+        df.select(_mark(key).alias("k"), F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g"))
+        .groupBy("g")
+        .agg(F.expr(f"approx_top_k_accumulate(k, {SKETCH_COUNTERS})").alias("s"), F.count("k").alias("n"))
     )
+    found = by_group.groupBy(F.lit("all").alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {SKETCH_COUNTERS}), {most})").alias("top"), F.sum("n").alias("n"))
     return (
         found.select("n", F.explode("top").alias("t"))
         .where(F.col("t.item").isNotNull() & (F.col("t.count") >= share / 2 * F.col("n")))
-        .select(F.col("t.item").alias(key))
+        .select(F.col("t.item").alias(name))
     )
 
 
-def split_heavy(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> tuple[DataFrame, DataFrame]:
+def split_heavy(df: DataFrame, key: str | Sequence[str], share: float = HEAVY_SHARE) -> tuple[DataFrame, DataFrame]:
     """(rows of heavy keys, all other rows). The second part holds the rows whose key is null."""
-    keys = F.broadcast(heavy_keys(df, key, share))
-    return df.join(keys, key, "left_semi"), df.join(keys, key, "left_anti")
+    names = _names(key)
+    # cut: at most 2 / share rows, which both parts read; else each would sketch all rows
+    found = F.broadcast(cut(heavy_keys(df, key, share)))
+    if len(names) == 1:
+        return df.join(found, names, "left_semi"), df.join(found, names, "left_anti")
+    tagged = df.withColumn(TAG, _mark(key))
+    return tagged.join(found, TAG, "left_semi").drop(TAG), tagged.join(found, TAG, "left_anti").drop(TAG)
 
 
-def key_counts(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """(key, n_rows) for every key, null included as a key of its own.
+def key_counts(df: DataFrame, key: str | Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
+    """(key, n_rows) for every key of one or several columns, null included as a key of its own.
 
     Heavy keys: counted per task beside the broadcast, so only one small row per task and key is shuffled.
     """
-    heavy, rest = split_heavy(df.select(key), key, share)
-    return heavy.groupBy(key).agg(F.count("*").alias("n_rows")).unionByName(rest.groupBy(key).agg(F.count("*").alias("n_rows")))
+    names = _names(key)
+    heavy, rest = split_heavy(df.select(*names), key, share)
+    return heavy.groupBy(*names).agg(F.count("*").alias("n_rows")).unionByName(rest.groupBy(*names).agg(F.count("*").alias("n_rows")))
 
 
 def key_profile(
-    df: DataFrame, key: str, distinct: Sequence[str] = (), measures: Sequence[Column] = (), share: float = HEAVY_SHARE
+    df: DataFrame, key: str | Sequence[str], distinct: Sequence[str] = (), measures: Sequence[Column] = (), share: float = HEAVY_SHARE
 ) -> DataFrame:
-    """(key, n_rows, n_<column> for each of ``distinct``, the aliased decomposable ``measures``) for every key.
+    """(key, n_rows, n_<column> for each of ``distinct``, the aliased decomposable ``measures``) for every key of one or several columns.
 
     Exact distinct counts can't be combined on the map side by key alone. For heavy keys the (key, value) pairs are
     spread over all tasks by both columns and counted per task; for the other keys Spark's own two-phase plan serves.
     Null is a key of its own and no value. ``measures`` must be min, max, count or sum expressions.
     """
-    if key in distinct:
+    names = _names(key)
+    if set(names) & set(distinct):
         raise ValueError("a key can't be counted within itself")
     heavy, rest = split_heavy(df, key, share)
     plain = [F.count("*").alias("n_rows"), *measures]
     counts = [F.count_distinct(F.col(c)).alias(f"n_{c}") for c in distinct]
-    light = rest.groupBy(key).agg(*plain, *counts)
-    parts = [heavy.groupBy(key).agg(*plain)]
+    light = rest.groupBy(*names).agg(*plain, *counts)
+    parts = [heavy.groupBy(*names).agg(*plain)]
     for c in distinct:
-        pairs = heavy.select(key, c).where(F.col(c).isNotNull()).distinct()
-        parts.append(pairs.groupBy(key).agg(F.count("*").alias(f"n_{c}")))
-    joined = reduce(lambda a, b: a.join(b, key, "left"), parts)
+        pairs = heavy.select(*names, c).where(F.col(c).isNotNull()).distinct()
+        parts.append(pairs.groupBy(*names).agg(F.count("*").alias(f"n_{c}")))
+    joined = reduce(lambda a, b: a.join(b, names, "left"), parts)
     if distinct:
         joined = joined.fillna(0, subset=[f"n_{c}" for c in distinct])
     return joined.select(light.columns).unionByName(light)
@@ -91,11 +121,11 @@ def skew_join(
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     if clash:
         raise ValueError(f"columns of both tables: {sorted(clash)}")
-    tag, salt = "__kl_key", "__kl_salt"
-    # concat_ws would skip nulls and mix up ("a", null) with (null, "a")
+    tag, salt = TAG, "__kl_salt"
+    # a hash also of a single key: concat_ws would skip nulls and mix up ("a", null) with (null, "a")
     mark = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.xxhash64(*keys))
     a, b = left.withColumn(tag, mark), right.withColumn(tag, mark)
-    hot = F.broadcast(heavy_keys(a, tag, share))
+    hot = F.broadcast(cut(heavy_keys(a, tag, share)))
     on = [*keys, tag, salt]
     rows = F.monotonically_increasing_id() % F.lit(salts)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))

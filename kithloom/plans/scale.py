@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithloom.functions.canonical import canonical_id, canonical_name
 from kithloom.operators import skew
-from kithloom.session import fresh_dir
+from kithloom.session import cut, fresh_dir
 from kithloom.streaming import compactor
 
 #: A key counts as holding a large part with 1 row in so many.
@@ -20,32 +20,24 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _both_keys(edges: DataFrame) -> DataFrame:
+    """Each row once for its community and once for its source: (key_field, key_value, other columns)."""
+    keys = F.array(F.struct(F.lit("community").alias("f"), F.col("community").alias("v")), F.struct(F.lit("__src_id").alias("f"), F.col("src").alias("v")))
+    return edges.select(F.explode(keys).alias("k"), "dst", "mindate").select(F.col("k.f").alias("key_field"), F.col("k.v").alias("key_value"), "dst", "mindate")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of community and of __src_id with at least 2.5 percent of all rows."""
-    edges = _keyed(spark, sf_dir)
-    total = edges.agg(F.count("*").alias("n")).scalar()
-    parts = []
-    for field, column in (("community", "community"), ("__src_id", "src")):
-        counts = skew.key_counts(edges, column)
-        parts.append(
-            counts.where(F.col(column).isNotNull() & (F.col("n_rows") * P2_ONE_IN >= total)).select(F.lit(field).alias("key_field"), F.col(column).alias("key_value"))
-        )
-    return parts[0].unionByName(parts[1])
+    counts = cut(skew.key_counts(_both_keys(_keyed(spark, sf_dir)), ["key_field", "key_value"]))
+    total = counts.where("key_field = 'community'").agg(F.sum("n_rows").alias("n")).scalar()  # rows without a value are counted too
+    return counts.where(F.col("key_value").isNotNull() & (F.col("n_rows") * P2_ONE_IN >= total)).select("key_field", "key_value")
 
 
 def p2_key_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every community and every source: rows, distinct partners, first and last interaction."""
-    edges = _keyed(spark, sf_dir)
     measures = [F.min("mindate").alias("first_at"), F.max("mindate").alias("last_at")]
-    parts = []
-    for field, column in (("community", "community"), ("__src_id", "src")):
-        found = skew.key_profile(edges, column, ["dst"], measures)
-        parts.append(
-            found.where(F.col(column).isNotNull()).select(
-                F.lit(field).alias("key_field"), F.col(column).alias("key_value"), "n_rows", F.col("n_dst").alias("n_partners"), "first_at", "last_at"
-            )
-        )
-    return parts[0].unionByName(parts[1])
+    found = skew.key_profile(_both_keys(_keyed(spark, sf_dir)), ["key_field", "key_value"], ["dst"], measures)
+    return found.where(F.col("key_value").isNotNull()).select("key_field", "key_value", "n_rows", F.col("n_dst").alias("n_partners"), "first_at", "last_at")
 
 
 def p2_listed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,22 @@ def test_empty_and_all_null(frame):
     assert skew.key_profile(frame([], SCHEMA).drop("n_rows"), "k", ["v"]).count() == 0
 
 
+def test_keys_of_several_columns(frame):
+    data = [(f, k, i, "") for i, (k, v, *_) in enumerate(rows()) for f, k in (("k", k), ("v", v))]
+    df = frame(data, SCHEMA.replace("v string", "w string")).withColumnsRenamed({"k": "f", "w": "k"}).drop("n_rows")
+    want = Counter((f, k) for f, k, *_ in data)
+    assert {(r.f, r.k): r.n_rows for r in skew.key_counts(df, ["f", "k"], 0.02).collect()} == want
+    got = skew.key_profile(df, ["f", "k"], ["at"], [F.max("at").alias("last")], 0.02).collect()
+    assert {(r.f, r.k): (r.n_rows, r.n_at) for r in got} == {k: (n, n) for k, n in want.items()}
+    assert 2 <= skew.heavy_keys(df, ["f", "k"], 0.05).count() <= 40
+
+
+def test_sketches_are_combined_in_groups(frame, monkeypatch):
+    monkeypatch.setattr(skew, "GROUPS", 2)
+    df = frame(rows(), SCHEMA, 9)
+    assert "hot" in {r.k for r in skew.heavy_keys(df, "k", 0.05).collect()}
+
+
 def test_ties_are_all_heavy(frame):
     data = [(f"k{i % 4}", None, i, "") for i in range(400)]
     assert skew.heavy_keys(frame(data, SCHEMA), "k", 0.25).count() == 4
