@@ -1,14 +1,18 @@
 """Checkpointed streaming compactor of tiny per-community CSV deliveries.
 
-A file-source stream discovers every input file once (its checkpoint remembers them), takes what is available in
-micro-batches of bounded bytes, and writes each batch under its batch id with mode overwrite: a retried batch
-replaces its own earlier output. Three datasets come out:
+A file-source stream discovers every input file once (its checkpoint remembers them), takes what is available in micro-batches of
+bounded bytes, parses them and writes each batch as landed/batch=N with mode overwrite: a retried batch replaces its own earlier
+output. No batch looks at another one, so 100,000 batches cost as much as their bytes.
 
-  deliveries/batch=N   one row per delivery: file_id, community, file_kind, n_records, fingerprint
-  edges/batch=N, vertices/batch=N   the records of the deliveries that count, every field as delivered
+When the stream has taken all there was, the landed batches become one generation of three datasets:
 
-A delivery counts unless an earlier batch, or a delivery of smaller file_id in the same batch, has the same community,
-kind and records (as a multiset of header-named fields).
+  deliveries/generation=G   one row per delivery: file_id, community, file_kind, n_records, fingerprint
+  edges/generation=G, vertices/generation=G   the records of the deliveries that count, every field as delivered
+
+A delivery counts unless an earlier generation, or a delivery of smaller file_id in the same one, has the same community, kind and
+records (as a multiset of header-named fields). Files are sized by what the landed batches take on disk, for each kind. Generations
+too small for a file of the aimed-at size are taken into a later one, so a trickle of deliveries doesn't leave small files for ever.
+A generation counts when its commit file, written last, names it; a broken attempt is overwritten by the next one.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import json
 import math
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +30,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kithloom.functions.canonical import canonical_name
 from kithloom.operators.skew import skew_join
+from kithloom.session import keep
 
-#: Input bytes a micro-batch takes at most (a single larger file is a batch of its own).
-BATCH_BYTES = 1 << 30
-#: Aimed-at bytes of text in one output file.
+#: Input bytes that a micro-batch takes for each task that can run at once.
+TASK_BYTES = 256 << 20
+#: Aimed-at bytes of one output file.
 TARGET_BYTES = 128 << 20
+#: So many generations too small for one file of that size are taken together.
+MERGE_AFTER = 8
 EDGE_FIELDS = ("__src_id", "__dst_id", "weight", "mindate", "maxdate")
 VERTEX_FIELDS = ("__id",)
+KINDS = {"edges": EDGE_FIELDS, "vertices": VERTEX_FIELDS}
 DELIVERY_KEYS = ("community", "file_kind", "fingerprint")
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in (*EDGE_FIELDS, *VERTEX_FIELDS)])
 PARSED = T.StructType(
@@ -47,7 +55,9 @@ PARSED = T.StructType(
     ]
 )
 MANIFEST = T.StructType([f for f in PARSED.fields if f.name not in ("records", "n_chars")])
-BATCH = T.StructField("batch", T.LongType())
+#: A landed delivery: its batch and place in it identify it, as file_id may be null or repeated.
+PLACE = ("batch", "place")
+LANDED = T.StructType([*PARSED.fields, T.StructField("place", T.LongType()), T.StructField("batch", T.LongType())])
 
 
 def parse_records(body: str | None) -> list[dict[str, str]]:
@@ -110,28 +120,51 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_deliveries(files: DataFrame) -> DataFrame:
-    """PARSED rows of (file_id, community, file_kind, body); other columns are ignored, communities come out in canonical spelling."""
+    """PARSED rows of (file_id, community, file_kind, body); other columns are ignored, communities come out in canonical spelling, bytes that aren't UTF-8 as U+FFFD."""
     needed = files.select(
-        F.col("file_id").cast("long"), canonical_name("community").alias("community"), F.lower(F.btrim("file_kind")).alias("file_kind"), F.col("body").cast("string")
+        F.col("file_id").cast("long"), F.make_valid_utf8(canonical_name("community")).alias("community"), F.lower(F.btrim("file_kind")).alias("file_kind"), F.make_valid_utf8(F.col("body").cast("string")).alias("body")
     )
     return needed.mapInArrow(_parse, PARSED)
 
 
 def counting(deliveries: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """file_id of the deliveries that count: with records, the smallest file_id of their keys, and no such keys in ``before``."""
-    firsts = deliveries.where("n_records > 0").groupBy(*DELIVERY_KEYS).agg(F.min("file_id").alias("file_id"))
+    """(PLACE, file_kind, n_chars) of the deliveries that count: with records, the smallest file_id of their keys, and no such keys in ``before``."""
+    first = F.struct(F.col("file_id").isNull(), "file_id", *PLACE, "n_chars")
+    firsts = deliveries.where("n_records > 0").groupBy(*DELIVERY_KEYS).agg(F.min(first).alias("first"))
     if before is not None:
         known = before.where("n_records > 0").select(*DELIVERY_KEYS).distinct()
-        on = [firsts[c].eqNullSafe(known[c]) for c in DELIVERY_KEYS]
-        firsts = firsts.join(known, on, "left_anti")
-    return firsts.select("file_id")
+        firsts = firsts.join(known, [firsts[c].eqNullSafe(known[c]) for c in DELIVERY_KEYS], "left_anti")
+    return firsts.select(*(F.col(f"first.{c}").alias(c) for c in PLACE), "file_kind", "first.n_chars")
+
+
+class _Files:
+    """The file system of a folder."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.system = self.make(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def status(self, path: str):
+        """The entry of a path without wildcards; None where there is none."""
+        return self.system.getFileStatus(self.make(path)) if self.system.exists(self.make(path)) else None
+
+    def names(self, path: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.system.listStatus(self.make(path))) if self.status(path) else []
 
+    def bytes(self, path: str) -> int:
+        return self.system.getContentSummary(self.make(path)).getLength() if self.status(path) else 0
 
-def _status(spark: SparkSession, where: str):
-    """The file system's entry of a path without wildcards; None where there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.getFileStatus(path) if files.exists(path) else None
+    def delete(self, path: str) -> None:
+        self.system.delete(self.make(path), True)
+
+    def put(self, path: str, text: str) -> None:
+        """Writes a small file so that it is there as a whole or not at all."""
+        out = self.system.create(self.make(path + ".tmp"), True)
+        out.write(text.encode())
+        out.close()
+        self.system.delete(self.make(path), False)
+        if not self.system.rename(self.make(path + ".tmp"), self.make(path)):
+            raise OSError(f"can't write {path}")
 
 
 @dataclass(frozen=True)
@@ -141,73 +174,113 @@ class Compacted:
     spark: SparkSession
     root: str
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        kept = f"{self.root}/{name}"
-        if not _status(self.spark, kept):
+    def state(self) -> dict:
+        """The last commit: its number, the generations that count, and the last batch that they hold."""
+        kept = [n for n in _Files(self.spark, self.root).names(f"{self.root}/commits") if n.endswith(".json")]
+        if not kept:
+            return {"generation": -1, "generations": [], "batch": -1}
+        return json.loads(self.spark.read.text(f"{self.root}/commits/{kept[-1]}", wholetext=True).first()[0])
+
+    def read(self, name: str, generations: list[int] | None = None) -> DataFrame:
+        """A dataset, or some of its generations."""
+        schema = MANIFEST if name == "deliveries" else _sink_schema(KINDS[name])
+        chosen = self.state()["generations"] if generations is None else generations
+        if not chosen:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(T.StructType([*schema.fields, BATCH])).parquet(kept).drop("batch")
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/generation={g}" for g in chosen))
 
     def deliveries(self) -> DataFrame:
-        return self._read("deliveries", MANIFEST)
+        return self.read("deliveries")
 
     def edges(self) -> DataFrame:
-        return self._read("edges", _sink_schema(EDGE_FIELDS))
+        return self.read("edges")
 
     def vertices(self) -> DataFrame:
-        return self._read("vertices", _sink_schema(VERTEX_FIELDS))
+        return self.read("vertices")
 
 
 def _sink_schema(fields: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField("file_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("community", *fields))])
 
 
-def _write_batch(root: str, target_bytes: int):
+def _land(root: str):
+    """Writes a micro-batch, parsed, under its number."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = Compacted(spark, root)
-        own = f"{root}/deliveries/batch={batch_id}"
-        parsed = parse_deliveries(batch).persist()
-        try:
-            total = parsed.agg(F.sum("n_chars")).first()[0] or 0
-            parts = max(1, math.ceil(total / target_bytes))
-            earlier = None
-            if batch_id:  # only batches before this one: a retry sees what the first attempt saw
-                earlier = spark.read.schema(T.StructType([*MANIFEST.fields, BATCH])).parquet(f"{root}/deliveries").where(F.col("batch") < batch_id)
-            keep = counting(parsed, earlier)
-            records = parsed.join(keep, "file_id", "left_semi").select("file_id", "community", "file_kind", F.explode("records").alias("r"))
-            for kind, fields in (("edges", EDGE_FIELDS), ("vertices", VERTEX_FIELDS)):
-                rows = records.where(F.col("file_kind") == kind).select("file_id", "community", *(F.col(f"r.{c}").alias(c) for c in fields))
-                rows.repartition(parts).write.mode("overwrite").parquet(f"{done.root}/{kind}/batch={batch_id}")
-            # last: what this batch saw becomes known to later ones when its records are in place
-            parsed.select(*MANIFEST.names).coalesce(parts).write.mode("overwrite").parquet(own)
-        finally:
-            parsed.unpersist()
+        parsed = parse_deliveries(batch).withColumn("place", F.monotonically_increasing_id())
+        parsed.write.mode("overwrite").parquet(f"{root}/landed/batch={batch_id}")
 
     return write
 
 
+def settle(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES) -> Compacted:
+    """Makes the landed batches that no generation holds yet into one; nothing to do where there are none.
+
+    The records are moved once, to the task that writes them; which deliveries count is settled before on their keys alone.
+    """
+    done, files = Compacted(spark, root), _Files(spark, root)
+    state = done.state()
+    fresh = [n for n in files.names(f"{root}/landed") if n.startswith("batch=") and int(n[6:]) > state["batch"]]
+    if not fresh:
+        return done
+    number, kept = state["generation"] + 1, state["generations"]
+    landed = spark.read.schema(LANDED).option("basePath", f"{root}/landed").parquet(*(f"{root}/landed/{n}" for n in fresh))
+    manifest = landed.drop("records")
+    chosen = keep(counting(manifest, done.deliveries() if kept else None), "counting")
+    chars = {r.file_kind: r.n for r in chosen.groupBy("file_kind").agg(F.sum("n_chars").alias("n")).collect()}
+    total = manifest.agg(F.sum("n_chars")).first()[0] or 0
+    per_char = sum(files.bytes(f"{root}/landed/{n}") for n in fresh) / max(total, 1)
+    size = {g: sum(files.bytes(f"{root}/{kind}/generation={g}") for kind in KINDS) for g in kept}
+    small = [g for g in kept if size[g] < target_bytes]
+    small = small if len(small) >= MERGE_AFTER else []
+    for kind, fields in KINDS.items():
+        earlier = sum(files.bytes(f"{root}/{kind}/generation={g}") for g in small)
+        parts = max(1, math.ceil((chars.get(kind, 0) * per_char + earlier) / target_bytes))
+        ours = landed.where(F.col("file_kind") == kind).repartition(parts, *PLACE)
+        counted = ours.join(chosen.where(F.col("file_kind") == kind).select(*PLACE).repartition(parts, *PLACE), list(PLACE), "left_semi")
+        rows = counted.select("file_id", "community", F.explode("records").alias("r")).select("file_id", "community", *(F.col(f"r.{c}").alias(c) for c in fields))
+        if small:
+            rows = rows.unionByName(done.read(kind, small)).repartition(parts)
+        rows.write.mode("overwrite").parquet(f"{root}/{kind}/generation={number}")
+    known = manifest.select(*MANIFEST.names)
+    if small:
+        known = known.unionByName(done.read("deliveries", small))
+    share = (total * per_char + sum(files.bytes(f"{root}/deliveries/generation={g}") for g in small)) / target_bytes
+    known.coalesce(max(1, math.ceil(share))).write.mode("overwrite").parquet(f"{root}/deliveries/generation={number}")
+    last = max(int(n[6:]) for n in fresh)
+    files.put(f"{root}/commits/{number:010d}.json", json.dumps({"generation": number, "generations": [g for g in kept if g not in small] + [number], "batch": last}))
+    for n in fresh:
+        files.delete(f"{root}/landed/{n}")
+    for g in small:
+        for name in ("deliveries", *KINDS):
+            files.delete(f"{root}/{name}/generation={g}")
+    return done
+
+
 def compact(
-    spark: SparkSession, source: str, root: str, checkpoint: str, batch_bytes: int = BATCH_BYTES, target_bytes: int = TARGET_BYTES
+    spark: SparkSession, source: str, root: str, checkpoint: str, batch_bytes: int | None = None, target_bytes: int = TARGET_BYTES
 ) -> Compacted:
-    """Takes all files below ``source`` that this ``checkpoint`` hasn't seen and appends them to the datasets in ``root``.
+    """Takes all files below ``source`` that this ``checkpoint`` hasn't seen and adds them to the datasets in ``root``.
 
     ``source`` is a Parquet folder, file or glob of deliveries (file_id, community, file_kind, body, ...). It may be called
-    again after more files have landed, or after a failure: batches are replaced, never repeated.
+    again after more files have landed, or after a failure: batches and generations are replaced, never repeated. A micro-batch
+    takes ``batch_bytes``, by default TASK_BYTES for each task that the cluster runs at once.
     """
     where = source.rstrip("/")
-    found = _status(spark, where)
+    found = _Files(spark, where).status(where)
     if found is not None and found.isFile():
         where = f"{where[:-1]}[{where[-1]}]"  # the file source takes folders and patterns only
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxBytesPerTrigger", batch_bytes).parquet(where)
+    most = TASK_BYTES * spark.sparkContext.defaultParallelism if batch_bytes is None else batch_bytes
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxBytesPerTrigger", most).parquet(where)
     query = (
         stream.select("file_id", "community", "file_kind", "body")
-        .writeStream.foreachBatch(_write_batch(root, target_bytes))
+        .writeStream.foreachBatch(_land(root))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return Compacted(spark, root)
+    return settle(spark, root, target_bytes)
 
 
 def repeats(deliveries: DataFrame) -> DataFrame:

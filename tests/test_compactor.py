@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -72,15 +73,52 @@ def test_batches_add_up_and_nothing_is_taken_twice(spark, tmp_path):
 
 
 def test_a_retried_batch_replaces_its_output(spark, tmp_path):
-    write = C._write_batch(str(tmp_path / "out"), C.TARGET_BYTES)
+    land, root = C._land(str(tmp_path / "out")), str(tmp_path / "out")
     files = spark.createDataFrame(ROWS, SCHEMA)
     first, second = files.where("file_id < 6"), files.where("file_id >= 6")
-    write(first, 0)
-    write(second, 1)
-    write(second, 1)
-    write(first, 0)
-    done = C.Compacted(spark, str(tmp_path / "out"))
+    for batch, n in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        land(batch, n)
+    done = C.settle(spark, root)
     assert done.deliveries().count() == len(ROWS) and done.edges().count() == 7 and done.vertices().count() == 4
+    assert C.settle(spark, root).edges().count() == 7 and not os.listdir(tmp_path / "out/landed")
+
+
+def test_a_broken_generation_is_made_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    C._land(root)(spark.createDataFrame(ROWS, SCHEMA), 0)
+    put, delete = C._Files.put, C._Files.delete
+
+    def broken(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(C._Files, "put", broken)
+    with pytest.raises(OSError):
+        C.settle(spark, root)
+    assert C.Compacted(spark, root).edges().count() == 0
+    monkeypatch.setattr(C._Files, "put", put)
+    monkeypatch.setattr(C._Files, "delete", broken)
+    with pytest.raises(OSError):
+        C.settle(spark, root)
+    monkeypatch.setattr(C._Files, "delete", delete)
+    done = C.settle(spark, root)
+    assert done.deliveries().count() == len(ROWS) and done.edges().count() == 7 and done.vertices().count() == 4
+
+
+def test_small_generations_are_taken_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "MERGE_AFTER", 3)
+    done = run(spark, tmp_path, [[(i, "c", "vertices", "p", 1, f"__id\nu{i % 4}\n")] for i in range(8)])
+    assert done.state()["generations"] == [6, 7] and sorted(os.listdir(tmp_path / "out/vertices")) == ["generation=6", "generation=7"]
+    assert done.deliveries().count() == 8 and sorted(r["__id"] for r in done.vertices().collect()) == ["u0", "u1", "u2", "u3"]
+    assert {r.file_id for r in C.repeats(done.deliveries()).collect()} == {4, 5, 6, 7}
+    assert len(list((tmp_path / "out/vertices/generation=6").glob("part-*.parquet"))) == 1
+
+
+def test_null_ids_and_bytes_that_are_no_text(spark, tmp_path):
+    rows = [(None, "c", "vertices", "p", 1, "__id\nu1\n"), (None, "c", "vertices", "p", 1, "__id\nu2\n"), (1, "c", "vertices", "p", 1, "__id\nu2\n"), (1, "c", "vertices", "p", 1, "__id\nu3\n")]
+    bad = spark.createDataFrame(rows, SCHEMA).unionByName(spark.sql("SELECT 9L file_id, 'c' community, 'vertices' file_kind, 'p' file_path, 1L n_bytes, concat('__id\n', cast(unhex('FFFE41') AS string)) body"))
+    bad.coalesce(1).write.parquet(str(tmp_path / "in"))
+    done = C.compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted((r.file_id or 0, r["__id"]) for r in done.vertices().collect()) == [(0, "u1"), (1, "u2"), (1, "u3"), (9, "\ufffd\ufffdA")]
 
 
 def test_against_brute_force(spark, tmp_path):
@@ -109,8 +147,8 @@ def test_empty_table(spark, tmp_path):
     assert done.deliveries().count() == done.edges().count() == C.repeats(done.deliveries()).count() == 0
 
 
-@pytest.mark.parametrize("target", [1, 1 << 20])
+@pytest.mark.parametrize("target", [200, 1 << 20])
 def test_number_of_files_follows_the_target(spark, tmp_path, target):
     run(spark, tmp_path, [[(i, "c", "vertices", "p", 1, f"__id\nu{i}\n") for i in range(40)]], target_bytes=target)
-    files = list((tmp_path / "out" / "vertices" / "batch=0").glob("part-*.parquet"))
-    assert len(files) == 1 if target > 1 else len(files) > 10
+    files = list((tmp_path / "out" / "vertices" / "generation=0").glob("part-*.parquet"))
+    assert len(files) == 1 if target > 200 else len(files) > 10
