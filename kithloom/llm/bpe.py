@@ -97,11 +97,13 @@ class BytePairEncoder:
         """Ids of a text; null and empty give none. Characters that UTF-8 can't hold become U+FFFD."""
         if not text:
             return []
+        if not text.isascii() and regex.search(r"[\ud800-\udfff]", text):
+            text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
         memory, ids = self.memory, []
         for piece in self.pieces(text):
             known = memory.get(piece)
             if known is None:
-                known = self.merge(piece.encode("utf-8", "replace"))
+                known = self.merge(piece.encode())
                 if len(piece) <= REMEMBERED_CHARS:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
@@ -119,7 +121,8 @@ def encoder(path: str) -> BytePairEncoder:
 def encode_texts(docs: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids ARRAY<INT>) of each row: the ids of ``text`` without special tokens; null and empty texts give an empty list.
 
-    The text of special tokens is ordinary text. Other columns are ignored; repeated rows come out as often as they go in.
+    The text of special tokens is ordinary text; bytes that aren't UTF-8 are read as U+FFFD. Other columns are ignored; repeated rows
+    come out as often as they go in.
     """
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -134,7 +137,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(key, F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, keys: list[str], text: str, path: str = BYTE_BPE_50K) -> DataFrame:
@@ -147,4 +150,4 @@ def count_tokens(docs: DataFrame, keys: list[str], text: str, path: str = BYTE_B
             counts = [len(code.encode(x)) for x in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(counts, pa.int64())], names=[*keys, "n_tokens"])
 
-    return docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keys, F.make_valid_utf8(F.col(text).cast("string")).alias("__text")).mapInArrow(run, schema)

@@ -200,12 +200,13 @@ def _listed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that stay short of their target share even when repeated as often as allowed."""
-    sized = bpe.count_tokens(_listed_docs(spark, sf_dir), ["source"], "text")
-    return _plan(spark, sf_dir, sized).where("is_short").select("source")
+    """Sources that stay short of their target share in the mixture even though it repeats them as often as allowed."""
+    copies, plan = _mixture(spark, sf_dir)
+    return mixture.short_sources(mixture.reached_shares(copies, plan)).select("source")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the copies with their sizes, the plan)."""
     sized = cut(bpe.count_tokens(_listed_docs(spark, sf_dir), ["doc_id", "source"], "text"))
     plan = cut(_plan(spark, sf_dir, sized))
     return mixture.replicate(sized, "doc_id", plan, P7_SEED), plan
@@ -213,9 +214,9 @@ def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture itself in its shuffled order: every copy of every document, with its text."""
-    copies, _ = _mixture(spark, sf_dir)
-    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixture.shuffled(copies.join(texts, "doc_id"), ["doc_id", "copy"], P7_SEED)
+    docs = _listed_docs(spark, sf_dir)
+    plan = cut(_plan(spark, sf_dir, bpe.count_tokens(docs, ["source"], "text")))
+    return mixture.shuffled(mixture.replicate(docs, "doc_id", plan, P7_SEED), ["doc_id", "copy"], P7_SEED)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -454,7 +454,7 @@ def verdict(text: str | None, covered: float = COVERED) -> str | None:
 def judge(docs: DataFrame, key: str, text: str, covered: float = COVERED) -> DataFrame:
     """(key, verdict STRING) of each row: 'placeholder', 'residue' or null.
 
-    Null, empty and blank texts have null; texts are read whole; repeated rows come out as often as they go in; other columns are ignored.
+    Null, empty and blank texts have null; texts are read whole, bytes that aren't UTF-8 as U+FFFD; repeated rows come out as often as they go in; other columns are ignored.
     """
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("verdict", T.StringType())])
 
@@ -463,4 +463,4 @@ def judge(docs: DataFrame, key: str, text: str, covered: float = COVERED) -> Dat
             found = [verdict(x, covered) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[key, "verdict"])
 
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(key, F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(run, schema)

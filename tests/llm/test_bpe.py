@@ -88,3 +88,11 @@ def test_other_vocabulary(frame):
     own = bpe.BytePairEncoder(path)
     for text in TEXTS:
         assert own.encode(text) == other.encode_ordinary(text)
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, cast(unhex('41FFFE42') AS string) AS text UNION ALL SELECT 2L, 'A\ufffd\ufffdB'")
+    got = {r.doc_id: r.ids for r in bpe.encode_texts(rows, "doc_id", "text").collect()}
+    assert got[1] == got[2]
+    assert {r.doc_id: r.n_tokens for r in bpe.count_tokens(rows, ["doc_id"], "text").collect()} == {1: len(got[1]), 2: len(got[2])}
+    assert bpe.encoder(bpe.BYTE_BPE_50K).encode("A\ud800B") == bpe.encoder(bpe.BYTE_BPE_50K).encode("A\ufffdB")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from kithloom.llm import mixture as X
@@ -54,11 +55,50 @@ def test_partitioning_and_order_change_nothing(frame):
     assert {(r.doc_id, r["copy"]) for r in a} != {(r.doc_id, r["copy"]) for r in X.replicate(d, "doc_id", plan, 4).collect()} or other != len(a)
 
 
-@pytest.mark.parametrize("rate, cap", [(0.0, 3), (0.01, 1), (0.5, 1), (0.999, 1), (1.7, 2), (3.0, 3), (2.5, 100), (99.0, 100)])
+@pytest.mark.parametrize(
+    "rate, cap",
+    [(0.01, 1), (0.5, 1), (0.999, 1), (1.7, 2), (2.5, 100), (99.0, 100), (99.999999, 100), (900.0, 1000), (1500.0, 2000), (900.0, 2000), (10_000.0, 10_001), (10_000.0, 20_000), (9_000.0, 10**9), (1e-9, 5)],
+)
 def test_cut_poisson_has_the_wanted_mean(rate, cap):
-    below = X.cut_poisson(rate, cap)
-    assert len(below) == cap and below == sorted(below)
-    assert sum(1 - p for p in below) == pytest.approx(rate, abs=1e-6)
+    assert X._cut_mean(X.uncut_mean(rate, cap), cap) == pytest.approx(rate, rel=1e-9, abs=1e-12)
+    u = (np.arange(200_000) + 0.5) / 200_000
+    copies = X.draw_copies(u, rate, cap)
+    assert 0 <= copies.min() and copies.max() <= cap and (np.diff(copies) >= 0).all()
+    assert copies.mean() == pytest.approx(rate, rel=1e-3, abs=1e-5)
+
+
+def test_probabilities_are_those_of_the_distribution():
+    first, p = X._poisson(3.5, 6)
+    want = [math.exp(-3.5) * 3.5**k / math.factorial(k) for k in range(6)]
+    assert first == 0 and p == pytest.approx([*want, 1 - sum(want)])
+
+
+def test_no_copies_and_all_copies():
+    u = np.array([1e-9, 0.5, 1 - 1e-9])
+    assert list(X.draw_copies(u, 0.0, 3)) == [0, 0, 0] and list(X.draw_copies(u, 3.0, 3)) == [3, 3, 3] and list(X.draw_copies(u, 0.5, 0)) == [0, 0, 0]
+
+
+def test_plans_of_many_sources(frame, monkeypatch):
+    d = docs(frame, 40)
+    plan = X.mixture_plan(d, targets(frame)).cache()
+    few = sorted(tuple(r) for r in X.replicate(d, "doc_id", plan, 3).select("doc_id", "source", "copy").collect())
+    monkeypatch.setattr(X, "BROADCAST_SOURCES", 1)
+    assert sorted(tuple(r) for r in X.replicate(d, "doc_id", plan, 3).select("doc_id", "source", "copy").collect()) == few
+
+
+def test_null_and_repeated_keys_stay(frame):
+    d = frame([(None, "big", 5, ""), (None, "big", 5, ""), (7, "big", 5, ""), (7, "big", 6, "")], DOCS).drop("copy")
+    plan = X.mixture_plan(d, frame([("big", 1.0, 3)], TARGETS))
+    got = X.replicate(d, "doc_id", plan.withColumn("rate", plan.max_repeats.cast("double")), 1).groupBy("doc_id", "n_tokens").count().collect()
+    assert {(r.doc_id, r.n_tokens): r["count"] for r in got} == {(None, 5): 6, (7, 5): 3, (7, 6): 3}
+
+
+def test_short_sources_are_those_of_the_plan(frame):
+    d = docs(frame, 20)
+    t = targets(frame, [("nowhere", 0.2, 5), ("none", 0.0, 1)])
+    plan = X.mixture_plan(d, t).cache()
+    shares = X.reached_shares(X.replicate(d, "doc_id", plan, 3), plan)
+    assert {r.source for r in X.short_sources(shares).collect()} == {r.source for r in plan.where("is_short").collect()} == {"small", "nowhere"}
 
 
 def test_no_tokens_no_sources_and_empty_tables(frame):

@@ -106,3 +106,8 @@ def test_frames(frame):
     got = sorted((r.doc_id or 0, r.verdict or "") for r in R.judge(df, "doc_id", "text").collect())
     assert got == [(0, "placeholder"), (1, "residue"), (1, "residue"), (2, ""), (3, ""), (4, "")]
     assert R.judge(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, concat(cast(unhex('FFFE') AS string), ' Dear {{ name }}') AS text UNION ALL SELECT 2L, cast(unhex('FFFE') AS string)")
+    assert {r.doc_id: r.verdict for r in R.judge(rows, "doc_id", "text").collect()} == {1: "placeholder", 2: None}
