@@ -487,7 +487,7 @@ def phrases() -> dict[str, str]:
 
 @lru_cache(maxsize=1)
 def _messages() -> ahocorasick.Automaton:
-    """Messages alone: most texts hold none and are done with this."""
+    """Messages, and the mark of details."""
     made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for words in [*phrases(), _DETAILS.strip()]:
         made.add_word(words)
@@ -496,14 +496,12 @@ def _messages() -> ahocorasick.Automaton:
 
 
 @lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
-    """Messages, and what stands beside them: (length, whether it is a message)."""
-    made = ahocorasick.Automaton()
+def _beside() -> ahocorasick.Automaton:
+    """What stands beside messages."""
+    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for words in [*_entries(BESIDE), *(_words(w) for w in FUNCTION_WORDS.split())]:
         if words:
-            made.add_word(words, (len(words), False))
-    for words in [*phrases(), _DETAILS.strip()]:
-        made.add_word(words, (len(words), True))
+            made.add_word(words)
     made.make_automaton()
     return made
 
@@ -564,20 +562,17 @@ def _one_script(a: str, b: str) -> bool:
     return a.isalnum() and b.isalnum() and a < "฀" and b < "฀"
 
 
+def _whole(words: str, start: int, end: int) -> bool:
+    """Whether no word is cut at either end of a match."""
+    return not (start and _one_script(words[start - 1], words[start]) or end + 1 < len(words) and _one_script(words[end], words[end + 1]))
+
+
 def _covered(words: str) -> bytearray:
-    """A mark for each character: 1 where a message, or a run of filler words, covers it, 2 where only words do that stand beside messages."""
-    marks, beside = bytearray(len(words)), []
-    for end, (n, message) in _automaton().iter(words):
-        start = end - n + 1
-        if start and _one_script(words[start - 1], words[start]) or end + 1 < len(words) and _one_script(words[end], words[end + 1]):
-            continue
-        if message:
-            marks[start : end + 1] = b"\1" * n
-        else:
-            beside.append((start, end + 1))
-    if any(marks):
-        for a, b in beside:
-            marks[a:b] = bytes(m or 2 for m in marks[a:b])
+    """A mark of 1 for each character that a message, a run of filler words or a number beside these covers."""
+    marks = bytearray(len(words))
+    for end, n in _messages().iter(words):
+        if _whole(words, end - n + 1, end):
+            marks[end - n + 1 : end + 1] = b"\1" * n
     _, lorem, mash = _lists()
     at, run, typed = 0, [], False
     for word in [*words.split(" "), ""]:
@@ -590,12 +585,29 @@ def _covered(words: str) -> bytearray:
                     marks[a:b] = b"\1" * (b - a)
             run, typed = [], False
         at += len(word) + 1
-    # numbers beside a message belong to it: codes, line numbers
+    if any(marks):
+        _number(words, marks)
+    return marks
+
+
+def _number(words: str, marks: bytearray) -> None:
+    """Marks numbers beside what is marked: codes, line numbers."""
     for m in re.finditer(r"\b(?:[0-9a-f]*\d[0-9a-f]*|[a-f]{3,8})\b", words):
         a, b = m.span()
-        if a > 1 and marks[a - 2] or b + 1 < len(words) and marks[b + 1]:
-            marks[a:b] = b"\1" * (b - a)
-    return marks
+        near = [x for x in ((marks[a - 2] if a > 1 else 0), (marks[b + 1] if b + 1 < len(words) else 0)) if x]
+        if near:
+            marks[a:b] = bytes(x or min(near) for x in marks[a:b])
+
+
+def _with_beside(words: str, marks: bytearray) -> bytearray:
+    """The marks, and 2 where only words cover that stand beside messages."""
+    full = bytearray(marks)
+    for end, n in _beside().iter(words):
+        start = end - n + 1
+        if 0 in full[start : end + 1] and _whole(words, start, end):
+            full[start : end + 1] = bytes(m or 2 for m in full[start : end + 1])
+    _number(words, full)
+    return full
 
 
 def _with_messages(line: str, part: str, own: bytearray) -> bytearray:
@@ -638,23 +650,26 @@ def _cover_in(text: str) -> float:
     if not any(marks):
         return 0.0
     menus = _lists()[0]
-    said = left = at = titles = core = 0
+    at, titles, core, kept = 0, 0, 0, []
     for line, part in zip(lines, parts):
-        own = marks[at : at + len(part)]
-        at += len(part) + 1
-        covered = own.count(1)
+        covered = marks[at : at + len(part)].count(1)
         size = len(part.replace(" ", ""))
+        start, at = at, at + len(part) + 1
         if covered < size and _only(line, menus):  # covered menu entries are parts of a message that runs over lines
             continue
         if not covered and titles < TITLES and len(part.split()) <= TITLE_WORDS and not re.search(r"[.!?;:。！？]\s*$|\d", line):
             titles += 1
             continue
-        own = _with_messages(line, part, own)
-        hit = sum(1 for c, m in zip(part, own) if m and c != " ")
-        said += hit
+        kept.append((line, part, start, size))
         core += covered
-        left += size - hit
-    return said / (said + left) if core > SAID * (said + left) else 0.0
+    whole = sum(size for *_, size in kept)
+    if core <= SAID * whole:
+        return 0.0
+    marks, said = _with_beside(words, marks), 0
+    for line, part, start, _ in kept:
+        own = _with_messages(line, part, marks[start : start + len(part)])
+        said += sum(1 for c, m in zip(part, own) if m and c != " ")
+    return said / whole
 
 
 def _filler(words: str) -> bool:
