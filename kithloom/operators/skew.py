@@ -20,6 +20,8 @@ SKETCH_COUNTERS = 8192
 HEAVY_SHARE = 0.01
 #: Tasks' sketches are combined in so many groups first, and then those of the groups.
 GROUPS = 1024
+#: Rows of a table that lookup_join broadcasts.
+LOOKUP_ROWS = 200_000
 #: Stands for a key of several columns.
 TAG = "__kl_key"
 
@@ -132,3 +134,13 @@ def skew_join(
     heavy = a.join(hot, tag, "left_semi").withColumn(salt, rows).join(b.join(hot, tag, "left_semi").withColumn(salt, each), on, how)
     light = a.join(hot, tag, "left_anti").join(b.join(hot, tag, "left_anti"), [*keys, tag], how)
     return heavy.drop(tag, salt).unionByName(light.drop(tag))
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", most: int = LOOKUP_ROWS) -> DataFrame:
+    """``left`` joined to a table that is mostly short: broadcast if it has at most ``most`` rows, by count; else skew_join.
+
+    ``right`` is read for the count, so it should be a kept table.
+    """
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), list(keys), how)
+    return skew_join(left, right, keys, how)

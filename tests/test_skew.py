@@ -77,6 +77,14 @@ def test_join_equals_ordinary_join(frame, how):
     assert sorted(map(repr, skew.skew_join(left, right, ["k"], how, 4, 0.05).select(left.join(right, ["k"], how).columns).collect())) == want
 
 
+@pytest.mark.parametrize("most", [10, 3])
+def test_lookups(frame, most):
+    left = frame(rows(), SCHEMA)
+    right = frame([("hot", "x"), ("hot", "y"), ("k1", "z"), (None, "n")], "k string, w string")
+    want = left.join(right, ["k"])
+    assert sorted(map(repr, skew.lookup_join(left, right, ["k"], most=most).select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_bad_arguments(frame):
     df = frame(rows(n=10), SCHEMA)
     with pytest.raises(ValueError):
