@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.operators.order import numbered
+from kithloom.operators.skew import lookup_join
+from kithloom.session import cut
 
 #: Hashes a sketch holds.
 SKETCH = 512
@@ -55,33 +57,67 @@ def merged_estimate(a: Column, b: Column, n_a: Column, n_b: Column, k: int = SKE
     return union, shared, union * shared
 
 
+def shared_bounds(fraction: Column, n_a: Column, n_b: Column, k: int = SKETCH, sigmas: float = SIGMAS) -> tuple[Column, Column]:
+    """The least and the most items that two sets of known sizes share by the shared fraction of their merged sketch.
+
+    A fraction f of the union is n_a + n_b items, the shared ones counted twice: shared = f (n_a + n_b) / (1 + f). The fraction is off
+    by at most ``sigmas`` standard deviations of k draws; of sets held whole it is exact.
+    """
+    spread = sigmas * F.sqrt(F.greatest(fraction, F.lit(sigmas * sigmas / k)) / k)
+    spread = F.when((n_a <= k) & (n_b <= k), 1e-9).otherwise(spread)
+    low, high = F.greatest(F.lit(0.0), fraction - spread), F.least(F.lit(1.0), fraction + spread)
+    return low * (n_a + n_b) / (1 + low), high * (n_a + n_b) / (1 + high)
+
+
+def estimate_pairs(members: DataFrame, pairs: DataFrame, k: int = SKETCH) -> DataFrame:
+    """(a, b, n_a, n_b, union_est, fraction_est, shared_est) of given pairs (a, b) of sets, from their merged sketches; no bounds.
+
+    Repeated pairs come out once; a set without members has size 0 and shares nothing.
+    """
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"))
+    arrays = bottom_k(members, k).groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    held = sizes.join(arrays, "g")
+    asked = pairs.select("a", "b").dropna().distinct()
+    for side in ("a", "b"):
+        asked = asked.join(held.select(F.col("g").alias(side), F.col("n").alias(f"n_{side}"), F.col("hs").alias(f"hs_{side}")), side, "left")
+    none = F.array().cast("array<bigint>")
+    asked = asked.fillna(0, ["n_a", "n_b"]).withColumn("hs_a", F.coalesce("hs_a", none)).withColumn("hs_b", F.coalesce("hs_b", none))
+    estimates = merged_estimate(F.col("hs_a"), F.col("hs_b"), F.col("n_a"), F.col("n_b"), k)
+    names = ("union_est", "fraction_est", "shared_est")
+    return asked.select("a", "b", "n_a", "n_b", *(F.coalesce(e, F.lit(0.0)).alias(n) for e, n in zip(estimates, names)))
+
+
 def overlapping_pairs(
     members: DataFrame, min_shared: int, min_part: float, k: int = SKETCH, hot: int = HOT_DEGREE, sigmas: float = SIGMAS
 ) -> DataFrame:
     """Pairs of sets that may share ``min_shared`` items and the part ``min_part`` of the smaller set's items.
 
-    From distinct (g, x): (small, large, n_small, n_large, union_est, fraction_est, shared_est), one row per pair; small has
+    From distinct (g, x): (small, large, n_small, n_large, union_est, fraction_est, shared_est, surely), one row per pair; small has
     fewer items (of equal sets, the first by name). Every pair that meets both bounds is among them, but for chances below
-    1e-8 a pair; some that fall a little short are too, so that an exact count of these pairs can follow.
+    1e-8 a pair. ``surely`` says that a sketch leaves no doubt that it does: the small set's as a sample, of which so many are found
+    in the large set, or the merged one. The others may fall a little short and want an exact count.
 
     A set's sketch must meet the other set in at least ``need`` hashes: all that the bounds ask for where the sketch is the
     whole set, else the expected number less ``sigmas`` standard deviations. Hashes found in more than ``hot`` sets are left
     out of the lookup as long as fewer than ``need`` of a set's hashes are; what is left out is allowed for, so no pair
-    depends on them. A set with more hot hashes than that keeps the less common of them.
+    depends on them. A set with more hot hashes than that keeps the less common of them; the rows of such a hash are spread by
+    the small set, over a task for each ``hot`` sets that hold it.
     """
     if min_shared < 1 or not 0 < min_part <= 1 or not 8 <= k <= 1000:
         raise ValueError("min_shared must be 1 or more, min_part within (0, 1], k within 8 to 1000")
-    sizes = members.groupBy("g").agg(F.count("*").alias("n"))
+    sizes = cut(members.groupBy("g").agg(F.count("*").alias("n")))
     hashed = members.select("g", F.xxhash64("x").alias("h"))
-    common = hashed.groupBy("h").agg(F.count("*").alias("d")).where("d > 1")
-    sketch = bottom_k(members, k)
-    # of n items at least s are shared; of k sampled ones at least k s / n, less the deviation of that draw
+    common = hashed.groupBy("h").agg(F.count("*").alias("d")).where("d > 1").withColumn("spread", F.ceil(F.col("d") / hot))
+    sketch = cut(bottom_k(members, k))
+    # of n items at least s are shared; of k sampled ones about k s / n, give or take the deviation of that draw
     part = F.greatest(F.lit(float(min_part)), F.lit(float(min_shared)) / F.col("n"))
     whole_need = F.greatest(F.lit(min_shared), F.ceil(F.col("n") * F.lit(float(min_part)) - 1e-9))
-    drawn_need = F.floor(k * part - sigmas * math.sqrt(k) * F.sqrt(part * F.greatest(F.lit(0.0), 1 - part)))
+    deviation = sigmas * math.sqrt(k) * F.sqrt(part * F.greatest(F.lit(0.0), 1 - part))
+    is_whole = F.col("n") <= k
     needs = (
         sizes.where(F.col("n") >= min_shared)
-        .withColumn("need", F.greatest(F.lit(1), F.when(F.col("n") <= k, whole_need).otherwise(drawn_need)).cast("long"))
+        .withColumn("need", F.greatest(F.lit(1), F.when(is_whole, whole_need).otherwise(F.floor(k * part - deviation))).cast("long"))
+        .withColumn("enough", F.when(is_whole, whole_need).otherwise(F.ceil(k * part + deviation)).cast("long"))
         .withColumnRenamed("n", "n_small")
     )
     ranked = Window.partitionBy("g").orderBy(F.desc("d"), "h")
@@ -91,33 +127,40 @@ def overlapping_pairs(
         .withColumn("left_out", (F.row_number().over(ranked) < F.col("need")) & (F.col("d") > hot))
         .withColumn("n_out", F.sum(F.col("left_out").cast("long")).over(Window.partitionBy("g")))
         .where(~F.col("left_out"))
-        .select(F.col("g").alias("small"), "n_small", "h", (F.col("need") - F.col("n_out")).alias("to_meet"))
+        .select(
+            F.col("g").alias("small"), "n_small", "h", F.pmod(F.xxhash64("g"), F.col("spread")).alias("salt"), (F.col("need") - F.col("n_out")).alias("to_meet"), "enough"
+        )
+    )
+    index = lookup_join(hashed.join(common, "h"), sizes, ["g"]).select(
+        F.col("g").alias("large"), F.col("n").alias("n_large"), "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)).alias("salt")
     )
-    index = hashed.join(common.select("h"), "h", "left_semi").join(sizes, "g").select(F.col("g").alias("large"), F.col("n").alias("n_large"), "h")
     bigger = (F.col("n_large") > F.col("n_small")) | ((F.col("n_large") == F.col("n_small")) & (F.col("large") > F.col("small")))
     met = (
-        probe.join(index, "h")
+        probe.join(index, ["h", "salt"])
         .where(bigger)
-        .groupBy("small", "large", "n_small", "n_large", "to_meet")
+        .groupBy("small", "large", "n_small", "n_large", "to_meet", "enough")
         .agg(F.count("*").alias("n_met"))
         .where(F.col("n_met") >= F.col("to_meet"))
-        .drop("n_met", "to_meet")
+        .withColumn("found", F.col("n_met") >= F.col("enough"))
+        .drop("n_met", "to_meet", "enough")
     )
     arrays = sketch.groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("hs"))
     with_arrays = met.join(arrays.select(F.col("g").alias("small"), F.col("hs").alias("hs_a")), "small").join(
         arrays.select(F.col("g").alias("large"), F.col("hs").alias("hs_b")), "large"
     )
     union, fraction, shared = merged_estimate(F.col("hs_a"), F.col("hs_b"), F.col("n_small"), F.col("n_large"), k)
-    out = with_arrays.select("small", "large", "n_small", "n_large", union.alias("union_est"), fraction.alias("fraction_est"), shared.alias("shared_est"))
-    # the merged sketch may rule a pair out: by its exact figure, or by the most that its estimate leaves possible
-    spread = sigmas * F.sqrt(F.greatest(F.col("fraction_est"), F.lit(sigmas * sigmas / k)) / k)
-    most = F.when(F.col("n_large") <= k, F.col("shared_est") + 1e-6).otherwise(F.col("union_est") * 1.3 * (F.col("fraction_est") + spread))
-    return out.where((most >= min_shared) & (most >= min_part * F.col("n_small")))
+    out = with_arrays.select("small", "large", "n_small", "n_large", union.alias("union_est"), fraction.alias("fraction_est"), shared.alias("shared_est"), "found")
+    # the merged sketch may rule a pair out, or in
+    least, most = shared_bounds(F.col("fraction_est"), F.col("n_small"), F.col("n_large"), k, sigmas)
+    wanted = F.greatest(F.lit(float(min_shared)), F.lit(float(min_part)) * F.col("n_small"))
+    near = F.lit(1e-6)
+    return out.where(most >= wanted - near).withColumn("surely", F.col("found") | (least >= wanted + near)).drop("found")
 
 
 def exact_shared(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with n_shared, the exact number of items in both sets; pairs without any are left out."""
-    ours = members.withColumnRenamed("g", "small").join(pairs.select("small", "large"), "small")
+    pairs = cut(pairs)
+    ours = lookup_join(members.withColumnRenamed("g", "small"), pairs.select("small", "large"), ["small"])
     theirs = members.withColumnRenamed("g", "large")
     counts = ours.join(theirs, ["large", "x"], "left_semi").groupBy("small", "large").agg(F.count("*").alias("n_shared"))
     return pairs.join(counts, ["small", "large"])
