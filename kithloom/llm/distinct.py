@@ -53,20 +53,20 @@ def estimate(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     slices; with BITS = 16384 it stays below 0.9 percent at any size, and below 0.4 percent up to some 25,000 ids.
     """
     level = F.floor(F.col("slot") / WORDS)
-    filled = [F.coalesce(F.sum(F.when(level == i, F.bit_count("bits"))), F.lit(0)).alias(f"s{i}") for i in range(SLICES)]
-    seen = sketches.groupBy(*keys).agg(*filled).select(*keys, F.array(*(F.least(F.col(f"s{i}"), F.lit(BITS - 1)) for i in range(SLICES))).alias("s"))
-    base = F.array_max(F.transform("s", lambda x, i: F.when((x > SATURATED) & (i < SLICES - 1), i + 1).otherwise(0)))
-    loads = F.transform(F.slice("s", F.col("base") + 1, SLICES), lambda x: F.log(F.lit(float(BITS)) / (BITS - x)))
-    ids = BITS * F.aggregate("loads", F.lit(0.0), lambda a, t: a + t)
-    coincide = BITS * F.aggregate("loads", F.lit(0.0), lambda a, t: a + F.exp(t) - t - 1)
+    filled = [F.coalesce(F.sum(F.when(level == i, F.bit_count("bits"))), F.lit(0)).alias(f"__s{i}") for i in range(SLICES)]
+    seen = sketches.groupBy(*keys).agg(*filled).select(*keys, F.array(*(F.least(F.col(f"__s{i}"), F.lit(BITS - 1)) for i in range(SLICES))).alias("__s"))
+    base = F.array_max(F.transform("__s", lambda x, i: F.when((x > SATURATED) & (i < SLICES - 1), i + 1).otherwise(0)))
+    loads = F.transform(F.slice("__s", F.col("__base") + 1, SLICES), lambda x: F.log(F.lit(float(BITS)) / (BITS - x)))
+    ids = BITS * F.aggregate("__loads", F.lit(0.0), lambda a, t: a + t)
+    coincide = BITS * F.aggregate("__loads", F.lit(0.0), lambda a, t: a + F.exp(t) - t - 1)
     return (
-        seen.withColumn("base", base)
-        .withColumn("loads", loads)
-        .withColumn("part", ids)
-        .withColumn("scale", F.pow(F.lit(2.0), F.col("base")))
+        seen.withColumn("__base", base)
+        .withColumn("__loads", loads)
+        .withColumn("__part", ids)
+        .withColumn("__scale", F.pow(F.lit(2.0), F.col("__base")))
         .select(
             *keys,
-            (F.col("part") * F.col("scale")).alias("n_est"),
-            (F.sqrt(coincide + F.col("part") * (1 - 1 / F.col("scale"))) / F.col("part")).alias("rel_error"),
+            (F.col("__part") * F.col("__scale")).alias("n_est"),
+            (F.sqrt(coincide + F.col("__part") * (1 - 1 / F.col("__scale"))) / F.col("__part")).alias("rel_error"),
         )
     )

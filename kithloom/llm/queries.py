@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithloom.functions.canonical import canonical_name, known_account
 from kithloom.llm import bpe, cooccurrence, distinct, mixture, overlap, residue
+from kithloom.operators import skew
 from kithloom.session import cut, keep
 
 #: p1: least records of a pair, and how much more often than by chance.
@@ -126,43 +125,42 @@ def _slice_id():
     return F.xxhash64("a", F.coalesce("b", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has at most P5_BROADCAST rows, by count; else as it is, for an ordinary join."""
-    return F.broadcast(df) if df.limit(P5_BROADCAST + 1).count() <= P5_BROADCAST else df
+def _part_id(c, day):
+    """A part's id by community and day, either of which may stand for all."""
+    return F.xxhash64(F.coalesce(c, F.lit("\0")), F.coalesce(day.cast("string"), F.lit("\0")))
 
 
 def _parts(slices: DataFrame) -> DataFrame:
-    """A row (sid, c, day) for each community of a slice; c null stands for all rows, day null for the whole period."""
-    return slices.select("sid", "day", F.explode(F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", "b"))).alias("c"))
+    """A row (sid, part) for each community of a slice."""
+    each = slices.select("sid", "day", F.explode(F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", "b"))).alias("c"))
+    return each.select("sid", _part_id(F.col("c"), F.col("day")).alias("part"))
 
 
-def _slice_kinds(parts: DataFrame):
-    """((key columns of the rows, the parts that have just these keys), ...)."""
-    yield ["c", "day"], parts.where("c IS NOT NULL AND day IS NOT NULL").select("sid", "c", "day")
-    yield ["c"], parts.where("c IS NOT NULL AND day IS NULL").select("sid", "c")
-    yield ["day"], parts.where("c IS NULL AND day IS NOT NULL").select("sid", "day")
-    yield ["whole"], parts.where("c IS NULL AND day IS NULL").select("sid", F.lit(1).alias("whole"))
+def _users_of_parts(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
+    """(part, id) of the users of the parts that are asked for, from one reading of all rows: each counts for its community and day, for either, and for everything."""
+    users = _seen_users(spark, sf_dir)
+    c, day, none = F.col("community"), F.col("day"), F.lit(None)
+    own = F.array(
+        F.when(c.isNotNull() & day.isNotNull(), _part_id(c, day)), F.when(c.isNotNull(), _part_id(c, none)), F.when(day.isNotNull(), _part_id(none, day)), _part_id(none, none)
+    )
+    asked = cut(parts.select("part").distinct())
+    return skew.lookup_join(users.select("id", F.explode(F.array_compact(own)).alias("part")), asked, ["part"], "left_semi", P5_BROADCAST)
 
 
-def _estimated_slices(users: DataFrame, slices: DataFrame) -> DataFrame:
-    """(sid, n_est, rel_error) of each slice with users. Only what slices ask for is sketched; unions merge their communities' sketches."""
-    found = []
-    for keys, parts in _slice_kinds(_parts(slices)):
-        of_unions = parts.join(slices.where("b IS NOT NULL").select("sid"), "sid", "left_semi")
-        asked = users.join(_small(parts.select(*keys).distinct()), keys, "left_semi")
-        base = distinct.sketch(asked, keys, F.col("id"))
-        found.append(distinct.estimate(base, keys).join(parts, keys).join(slices.where("b IS NULL").select("sid"), "sid", "left_semi").select("sid", "n_est", "rel_error"))
-        if "c" in keys:
-            merged = distinct.merge(base.join(of_unions, keys).select("sid", "slot", "bits"), ["sid"])
-            found.append(distinct.estimate(merged, ["sid"]))
-    return reduce(DataFrame.unionByName, found)
+def _estimated_slices(spark: SparkSession, sf_dir: str, slices: DataFrame) -> DataFrame:
+    """(sid, n_est, rel_error) of each slice with users. Only parts that slices ask for are sketched, once; unions merge their communities' sketches."""
+    parts = cut(_parts(slices))
+    base = keep(distinct.sketch(_users_of_parts(spark, sf_dir, parts), ["part"], F.col("id")), "sketches")
+    unions = slices.where("b IS NOT NULL").select("sid")
+    single = distinct.estimate(base, ["part"]).join(parts.join(unions, "sid", "left_anti"), "part").select("sid", "n_est", "rel_error")
+    merged = distinct.merge(base.join(parts.join(unions, "sid", "left_semi"), "part").select("sid", "slot", "bits"), ["sid"])
+    return single.unionByName(distinct.estimate(merged, ["sid"]))
 
 
 def p5_union_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated distinct users, with standard error, of each union of two communities that sizes are recorded for, of the day where one is named; 0 without any."""
     unions = cut(_slices(_table(spark, sf_dir, "reddit_comm_sizes")).where("b IS NOT NULL").withColumn("sid", _slice_id()).select("sid", "a", "b", "day").distinct())
-    users = _seen_users(spark, sf_dir).withColumnRenamed("community", "c").withColumn("whole", F.lit(1))
-    found = unions.join(_estimated_slices(users, unions), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
+    found = unions.join(_estimated_slices(spark, sf_dir, unions), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
     return found.select(F.col("a").alias("community"), F.col("b").alias("with_community"), "day", "n_est", "rel_error")
 
 
@@ -173,16 +171,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     stated = cut(_slices(_table(spark, sf_dir, "reddit_comm_sizes").where("num_users IS NOT NULL")).withColumn("sid", _slice_id()))
     slices = stated.select("sid", "a", "b", "day").distinct()
-    users = _seen_users(spark, sf_dir).withColumnRenamed("community", "c").withColumn("whole", F.lit(1))
-    judged = stated.join(_estimated_slices(users, slices), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
+    judged = stated.join(_estimated_slices(spark, sf_dir, slices), "sid", "left").fillna(0.0, ["n_est", "rel_error"])
     doubt = F.col("n_est") * F.col("rel_error") * P5_SIGMAS + F.when(F.col("n_est") > 0, P5_HIDDEN).otherwise(0.0)
     low, high, n = F.col("n_est") - doubt, F.col("n_est") + doubt, F.col("num_users")
     surely_wrong = (n > high * (1 + P5_OFF)) | (n < low * (1 - P5_OFF))
     surely_right = (n <= low * (1 + P5_OFF)) & (n >= high * (1 - P5_OFF))
     judged = cut(judged.select("size_id", "sid", "a", "b", "day", "num_users", surely_wrong.alias("wrong"), (~surely_wrong & ~surely_right).alias("open")))
     open_slices = judged.where("open").select("sid", "a", "b", "day").distinct()
-    members = reduce(DataFrame.unionByName, [users.join(_small(parts), keys).select("sid", "id") for keys, parts in _slice_kinds(_parts(open_slices))])
-    counted = members.distinct().groupBy("sid").agg(F.count("*").alias("d"))
+    open_parts = cut(_parts(open_slices))
+    members = _users_of_parts(spark, sf_dir, open_parts).distinct().join(open_parts, "part")
+    counted = members.select("sid", "id").distinct().groupBy("sid").agg(F.count("*").alias("d"))
     off = F.abs(F.col("num_users") - F.col("d")) * 100 > F.col("d") * round(100 * P5_OFF)
     settled = judged.where("open").join(counted, "sid").where(off).select("size_id")
     return judged.where("wrong").select("size_id").unionByName(settled)

@@ -35,3 +35,10 @@ def test_null_keys_and_ids(frame):
 
 def test_empty(frame):
     assert D.estimate(D.sketch(frame([], SCHEMA), ["c"], F.col("id")), ["c"]).count() == 0
+
+
+@pytest.mark.parametrize("key", ["part", "base", "s", "scale", "loads", "level"])
+def test_keys_of_any_name(frame, key):
+    df = frame([(k, str(i)) for k in "ab" for i in range(50)], f"{key} string, id string")
+    got = {r[key]: r.n_est for r in D.estimate(D.sketch(df, [key], F.col("id")), [key]).collect()}
+    assert set(got) == {"a", "b"} and all(abs(n - 50) < 1 for n in got.values())
