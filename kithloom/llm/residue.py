@@ -79,7 +79,7 @@ IF_FIELD = (
     rf"&lt;{_NAME}&gt;",
     rf"<<{_NAME}>>",
     rf"\[{_NAME}(?:[ _]{_NAME}){{0,4}}\]",
-    rf"(?<![\w$#@^\\{{]){{{_NAME}}}(?!\}})",
+    rf"(?<![A-Za-z0-9_$#@^\\{{]){{{_NAME}}}(?!\}})",
     rf"(?<=(?:err|rau|ear|eur|ame|llo|iss|mrs|ola|ado|ber|ebe) )«{_NAME}»",
 )
 #: What the fields of letters, shops and pages are called.
@@ -105,18 +105,25 @@ VALUE_AFTER = re.compile(
     re.I,
 )
 VALUE_BEFORE = re.compile(r"^(?:様|さん|先生|女士|님| left\b| per (?:person|night|month|day)\b| (?:auf lager|en stock|pro person|par personne|por persona)\b)", re.I)
-#: Elements of HTML, which pages write about.
+#: What transcripts, news and boards set in capitals and brackets; other words of six letters or more there are fields.
+DIRECTIONS = frozenset(
+    "and applause laughter laughs laughing music playing cheers cheering clapping silence pause inaudible unintelligible indistinct crosstalk whispers whispering screams screaming crying sobbing coughs coughing"
+    " sighs sighing gasps chuckles shouting singing ringing knocking barking thunder background noise chatter foreign speaking speaks language continues begins resumes stops censored exclusive breaking opinion"
+    " advertisement sponsored promoted repost solved closed locked pinned archived spoiler warning announcement discussion question answered request update official confirmed explicit remastered instrumental"
+    " translated translation transcript english german french spanish italian russian chinese japanese korean arabic".split()
+)
+#: Elements of HTML, which pages write about, but for those that are also called like fields.
 TAGS = frozenset(
-    "a abbr address area article aside audio b base blockquote body br button canvas caption cite code col data dd del details dialog div dl dt em embed fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " head header hr html i iframe img input ins kbd label legend li link main map mark menu meta nav noscript object ol option p param picture pre progress q s samp script section select small source span"
-    " strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track u ul var video".split()
+    "a abbr area article aside audio b base blockquote body br button canvas cite col data dd del details dialog div dl dt em embed fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    " head header hr html i iframe img input ins kbd legend li main map mark menu meta nav noscript object ol option p param picture pre progress q s samp script section select small source span"
+    " strong style sub sup svg table tbody td template textarea tfoot th thead tr track u ul var video".split()
 )
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in CERTAIN) + "|(?P<open>" + "|".join(f"(?:{p})" for p in IF_FIELD) + ")")
 #: One of these is in every text with a placeholder.
 _SIGNS = re.compile(rf"[{{\[%$@#~_«]|\*\||&lt;|<[%?<]|[<(]{_PROMPT}[ _]|undefined")
 #: Words of sentences about placeholders, in which they are a subject.
 ABOUT = re.compile(
-    r"\b(?:templates?|templating|jinja\d?|mustache|handlebars|liquid|twig|smarty|freemarker|thymeleaf|syntax|deprecated|escaped?|escaping|dialects?|placeholders?|(?-i:tags?)|engines?|layout files?|data files?|swapped|replaced"
+    r"\b(?:templates?|templating|jinja\d?|mustache|handlebars|liquid|twig|smarty|freemarker|thymeleaf|syntax|deprecated|escaped?|escaping|dialects?|html\d?|placeholders?|(?-i:tags?)|engines?|layout files?|data files?|swapped|replaced"
     r"|substitut\w+|interpolat\w+|denotes?|loops?|rendered|renderer|compil\w+|parser|markup|source code|run the build|answer: put|for example|such as"
     r"|vorlagen?|platzhalter|syntax|veraltet|schablonen?|gabarits?|syntaxe|obsol\w+|balises?|plantillas?|sintaxis|etiquetas?|marcador\w*"
     r"|modell[oi]|sintassi|segnaposto|modelos?|sintaxe|szablon\w*|składni\w*|sjablo\w+|syntaxis)\b|шаблон|синтаксис|заполнител|模板|占位符|语法|テンプレート|プレースホルダ|構文",
@@ -429,7 +436,7 @@ def _field(sign: str) -> bool:
     if any(w.casefold() in _fields() for w in words):
         return True
     if sign[0] == "[" and sign[1] != "[":
-        return False
+        return sign.isupper() and any(len(w) >= 6 and w.casefold() not in DIRECTIONS for w in words)
     if sign[0] == "[" and inner != inner.lower():  # wiki links join words so, too
         return bool(re.match(r"[a-z]{3,}[A-Z]", inner))
     return bool(re.search(r"[^\W\d_][_.][^\W\d_]|[a-z][A-Z]", inner))
@@ -441,7 +448,10 @@ def _value_belongs(sign: str, before: str, after: str) -> bool:
         return False
     if sign.startswith("&lt;") and sign[4:-4].casefold() in TAGS:
         return False
-    labelled = before.rstrip().endswith((":", "：")) and (sign[0] != "[" or sign[1] == "[")
+    labelled = before.rstrip().endswith((":", "："))
+    if labelled and sign[0] == "[" and sign[1] != "[":
+        label = re.findall(r"\w+", before[-40:])
+        labelled = bool(label) and label[-1].casefold() in _fields()
     return bool(labelled or VALUE_AFTER.search(before) or VALUE_BEFORE.match(after))
 
 
