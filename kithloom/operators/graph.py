@@ -10,6 +10,8 @@ from kithloom.session import keep
 
 #: A member of more communities than this is a hub.
 HUB = 32
+#: Counting by sets of hubs pays where a set stands for at least so many vertices.
+FEW_SETS = 2
 
 
 def clean_edges(edges: DataFrame, min_weight: int | None = None) -> DataFrame:
@@ -78,19 +80,22 @@ def boundary_degrees(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFram
     A vertex next to a hub, a member of more than ``hub`` communities, is in the boundary of nearly all of them, which makes the
     boundaries themselves as large as vertices times communities. So vertices are counted by the set of hubs they touch: all
     vertices with the same set reach the same communities through it. Taken off are those that are members there, added those that
-    only an ordinary vertex joins to a community.
+    only an ordinary vertex joins to a community. Sets are known by a 128-bit hash; where there are nearly as many as vertices, which
+    leaves nothing to be gained, the boundaries are listed after all.
     """
     deg, pairs = degrees(graph), both_directions(graph)
     hubs = m.groupBy("vertex").agg(F.count("*").alias("n")).where(F.col("n") > hub).select(F.col("vertex").alias("src"))
-    near = pairs.join(hubs, "src", "left_anti").join(m.withColumnRenamed("vertex", "src"), "src").select("community", F.col("dst").alias("vertex")).distinct()
     touched = pairs.join(hubs, "src", "left_semi").groupBy(F.col("dst").alias("vertex")).agg(F.array_sort(F.collect_list("src")).alias("hubs"))
-    touched = keep(touched.join(deg, "vertex"), "touched")
-    reached = touched.select("hubs").distinct().select("hubs", F.explode("hubs").alias("vertex")).join(m, "vertex").select("hubs", "community").distinct()
-    reached = keep(reached, "reached")
-    by_hub = touched.groupBy("hubs", "degree").agg(F.count("*").alias("n")).join(reached, "hubs").select("community", "degree", "n")
-    own = m.join(touched, "vertex").join(reached, ["hubs", "community"], "left_semi").select("community", "degree", F.lit(-1).cast("long").alias("n"))
-    only_near = near.join(m, ["community", "vertex"], "left_anti").join(deg, "vertex").join(touched.select("vertex", "hubs"), "vertex", "left")
-    extra = only_near.join(reached, ["hubs", "community"], "left_anti").select("community", "degree", F.lit(1).cast("long").alias("n"))
+    touched = keep(touched.withColumn("set", F.md5(F.to_json("hubs"))).join(deg, "vertex"), "touched")
+    sets = touched.groupBy("set").agg(F.any_value("hubs").alias("hubs"))
+    if sets.count() * FEW_SETS > touched.count():
+        return boundary(graph, m).join(deg, "vertex").groupBy("community", "degree").agg(F.count("*").alias("n"))
+    near = pairs.join(hubs, "src", "left_anti").join(m.withColumnRenamed("vertex", "src"), "src").select("community", F.col("dst").alias("vertex")).distinct()
+    reached = keep(sets.select("set", F.explode("hubs").alias("vertex")).join(m, "vertex").select("set", "community").distinct(), "reached")
+    by_hub = touched.groupBy("set", "degree").agg(F.count("*").alias("n")).join(reached, "set").select("community", "degree", "n")
+    own = m.join(touched.drop("hubs"), "vertex").join(reached, ["set", "community"], "left_semi").select("community", "degree", F.lit(-1).cast("long").alias("n"))
+    only_near = near.join(m, ["community", "vertex"], "left_anti").join(deg, "vertex").join(touched.select("vertex", "set"), "vertex", "left")
+    extra = only_near.join(reached, ["set", "community"], "left_anti").select("community", "degree", F.lit(1).cast("long").alias("n"))
     counted = by_hub.unionByName(own).unionByName(extra).groupBy("community", "degree").agg(F.sum("n").alias("n"))
     return counted.where("n > 0")
 

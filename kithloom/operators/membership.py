@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kithloom.functions.hashing import key_of
 from kithloom.operators.graph import clean_edges
 from kithloom.operators.order import first_rows
+from kithloom.operators.pairs import shared_counts
+from kithloom.session import keep
 
 
 def bipartite(members: DataFrame, community: str = "community", vertex: str = "vertex") -> DataFrame:
@@ -71,9 +73,9 @@ def size_between(counts: DataFrame, low: int, high: int, column: str = "size") -
 
 
 def overlap(m: DataFrame) -> DataFrame:
-    """(c1, c2, n), c1 < c2: members that two communities share, for all pairs that share any."""
-    a, b = m.withColumnRenamed("community", "c1"), m.withColumnRenamed("community", "c2")
-    return a.join(b, "vertex").where("c1 < c2").groupBy("c1", "c2").agg(F.count("*").alias("n"))
+    """(c1, c2, n), c1 < c2: members that two communities share, for all pairs that share any (J5, U5); ``m`` is read several times, so it should be a kept table."""
+    found = shared_counts(m.select(F.col("community").alias("g"), F.col("vertex").alias("x")))
+    return found.select(F.col("a").alias("c1"), F.col("b").alias("c2"), F.col("n_shared").alias("n"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def fetch_overlapping(edges: DataFrame, low: int, high: int, min_weight: int | N
     """
     ends = clean_edges(edges, min_weight).select("community", F.explode(F.array("src", "dst")).alias("vertex"))
     m = bipartite(ends)
-    m = m.join(size_between(sizes(m), low, high).select("community"), "community", "left_semi")
+    m = keep(m.join(size_between(sizes(m), low, high).select("community"), "community", "left_semi"))
     names = overlapping_names(overlapping_pairs(m, min_common, min_pairs))
     drawn = first_rows(names.withColumn("k", key_of(seed, "community")), ["k", "community"], n)
     return m.join(drawn.select("community"), "community", "left_semi")

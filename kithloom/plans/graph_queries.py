@@ -13,7 +13,7 @@ from kithloom.functions.text import edge_key, parse_edge_key
 from kithloom.operators import evaluation, features, generators, graph, membership, meta, measures, sampling
 from kithloom.operators.linkpred import fit_links
 from kithloom.plans.detector import detect, labelled_features
-from kithloom.session import cut
+from kithloom.session import cut, keep
 
 MIN_WEIGHT, SEED = 3, 11
 MIN_COMMON, MIN_PAIRS = 3, 3
@@ -96,15 +96,15 @@ def size_range_having(spark, d):
 
 
 def community_overlap(spark, d):
-    return membership.overlap(members(spark, d))
+    return membership.overlap(keep(members(spark, d)))
 
 
 def overlapping_pairs(spark, d):
-    return membership.overlapping_pairs(members(spark, d), MIN_COMMON, MIN_PAIRS)
+    return membership.overlapping_pairs(keep(members(spark, d)), MIN_COMMON, MIN_PAIRS)
 
 
 def overlapping_names(spark, d):
-    return membership.overlapping_names(membership.overlapping_pairs(members(spark, d), MIN_COMMON, MIN_PAIRS))
+    return membership.overlapping_names(membership.overlapping_pairs(keep(members(spark, d)), MIN_COMMON, MIN_PAIRS))
 
 
 def overlapping_fetch(spark, d):
@@ -156,7 +156,7 @@ def positive_sample(spark, d):
 
 
 def negative_sample(spark, d):
-    m = cut(members(spark, d))
+    m = keep(members(spark, d))
     return sampling.negative_sample(m, m.count(), SEED)
 
 
@@ -171,22 +171,22 @@ def total_friends(spark, d):
 
 
 def friends_measure(spark, d):
-    m = members(spark, d)
+    m = keep(members(spark, d))
     return features.friends_measure(m, sampling.positive_sample(m)).select("community", "vertex", "friends_measure")
 
 
 def shortest_path(spark, d):
-    m = cut(members(spark, d))
+    m = keep(members(spark, d))
     return features.topological_features(m, sampling.positive_sample(m)).select("community", "vertex", "shortest_path")
 
 
 def topological_features(spark, d):
-    m = cut(members(spark, d))
+    m = keep(members(spark, d))
     return features.topological_features(m, _sample(m))
 
 
 def _probs(spark, d):
-    m = members(spark, d)
+    m = keep(members(spark, d))
     sample = sampling.positive_sample(m)
     base = features.with_degrees(m, sample).join(features.friends_measure(m, sample).select("community", "vertex", "friends_measure"), ["community", "vertex"])
     return meta.closed_form_probability(base)
@@ -237,18 +237,18 @@ def most_anomalous_tail(spark, d):
 
 def _measured(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _rounded(measures.measure(name, simple(spark, d), members(spark, d)))
+        return _rounded(measures.measure(name, keep(simple(spark, d)), keep(members(spark, d))))
 
     return query
 
 
 def amen_normality(spark, d):
-    parts = measures.unattr_amen(simple(spark, d), members(spark, d), parts=True)
+    parts = measures.unattr_amen(keep(simple(spark, d)), keep(members(spark, d)), parts=True)
     return _rounded(parts.withColumn("score", F.col("consistency") + F.col("separability")))
 
 
 def baseline_ranking_all(spark, d):
-    return _rounded(measures.rank_measures(cut(simple(spark, d)), cut(members(spark, d))))
+    return _rounded(measures.rank_measures(keep(simple(spark, d)), keep(members(spark, d))))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------------
@@ -269,7 +269,7 @@ def pr_curve(spark, d):
 
 
 def confusion_metrics(spark, d):
-    m = cut(members(spark, d))
+    m = keep(members(spark, d))
     sample = _sample(m)
     base = features.with_degrees(m, sample).join(features.friends_measure(m, sample).select("community", "vertex", "friends_measure"), ["community", "vertex"])
     labels = meta.closed_form_probability(base).join(sample, ["community", "vertex"]).withColumn("predicted", meta.predicted_label(F.col("prob"), 0.1))
@@ -385,7 +385,7 @@ def edge_key_roundtrip(spark, d):
 
 
 def _halves(spark, d):
-    m = cut(members(spark, d))
+    m = keep(members(spark, d))
     train = _chosen(m)
     return m.join(train, "community", "left_semi"), m.join(train, "community", "left_anti")
 
