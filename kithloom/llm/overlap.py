@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kithloom.operators.order import numbered
+from kithloom.operators.pairs import BLOCK, shared_counts
 from kithloom.operators.skew import lookup_join
 from kithloom.session import cut
 
@@ -22,8 +22,6 @@ from kithloom.session import cut
 SKETCH = 512
 #: A member of more sets than this isn't used to discover pairs, as far as the pairs' own margin allows it.
 HOT_DEGREE = 64
-#: Sets of a block when hot members are counted; two blocks are paired at a time.
-BLOCK = 256
 #: Standard deviations a sketch's finding may be off before a pair is given up.
 SIGMAS = 6.0
 
@@ -169,39 +167,10 @@ def exact_shared(members: DataFrame, pairs: DataFrame) -> DataFrame:
 def all_shared(members: DataFrame, hot: int = HOT_DEGREE, block: int = BLOCK) -> DataFrame:
     """(a, b, n_a, n_b, n_shared) of every pair of sets with a common item, a < b, all exact; from distinct (g, x).
 
-    Items of at most ``hot`` sets give their pairs of sets one by one. The others are numbered, the commonest first, and are bits
-    of 64-bit words of each set: two sets share as many of them as their words have common bits, so 64 such items cost a pair of
-    sets one row. Sets are paired block by block, so no group holds more than two blocks.
+    See shared_counts: items of very many sets are bits of words, so that 64 of them cost a pair of sets one row.
     """
-    sized = members.join(members.groupBy("g").agg(F.count("*").alias("n")), "g")
-    degree = members.groupBy("x").agg(F.count("*").alias("d")).where("d > 1")
-    listed = sized.join(degree.where(F.col("d") <= hot), "x").groupBy("x").agg(F.sort_array(F.collect_list(F.struct("g", "n"))).alias("s"))
-    each = F.transform("s", lambda p, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda q: F.struct(p.alias("p"), q.alias("q"))))
-    cold = listed.select(F.explode(F.flatten(each)).alias("e")).select("e.p.g", "e.p.n", F.col("e.q.g").alias("g2"), F.col("e.q.n").alias("n2"), F.lit(1).alias("k"))
-
-    places = numbered(degree.where(F.col("d") > hot).select("x", (-F.col("d")).alias("d")), ["d", "x"], "at").select("x", F.col("at").cast("long"))
-    words = (
-        sized.join(places, "x")
-        .select("g", "n", F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bits"))
-        .groupBy("g", "n", "w")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
-    blocks = words.groupBy("w").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = words.join(blocks, "w").withColumn("c", F.pmod(F.xxhash64("g"), "blocks"))
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = placed.withColumn("o", F.explode(F.sequence("c", F.col("blocks") - 1))).select("w", F.col("c").alias("i"), F.col("o").alias("j"), "g", "n", "bits")
-    right = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), "c"))).select(
-        "w", F.col("o").alias("i"), F.col("c").alias("j"), F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("bits").alias("bits2")
-    )
-    both = F.bit_count(F.col("bits").bitwiseAND(F.col("bits2")))
-    met = left.repartition(parts, "w", "i", "j").join(right.repartition(parts, "w", "i", "j"), ["w", "i", "j"]).where("(i < j OR g < g2) AND bits & bits2 <> 0")
-    turn = F.col("g") > F.col("g2")
-    warm = met.select(
-        F.least("g", "g2").alias("g"), F.when(turn, F.col("n2")).otherwise(F.col("n")).alias("n"),
-        F.greatest("g", "g2").alias("g2"), F.when(turn, F.col("n")).otherwise(F.col("n2")).alias("n2"), both.alias("k"),
-    )
-    return (
-        cold.unionByName(warm)
-        .groupBy(F.col("g").alias("a"), F.col("g2").alias("b"))
-        .agg(F.min("n").alias("n_a"), F.min("n2").alias("n_b"), F.sum("k").alias("n_shared"))
-    )
+    sizes = cut(members.groupBy("g").agg(F.count("*").alias("n")))
+    found = shared_counts(members, hot, block)
+    for side in ("a", "b"):
+        found = lookup_join(found, sizes.select(F.col("g").alias(side), F.col("n").alias(f"n_{side}")), [side])
+    return found.select("a", "b", "n_a", "n_b", "n_shared")
