@@ -1,11 +1,15 @@
-"""Queries over the sources and sinks: each writes whole tables in a format below the shared folder, reads them back, and has the SQL of what was written."""
+"""Queries over the sources and sinks: each writes whole tables in a format below the shared folder, reads them back, and has the SQL of what was written.
+
+Beside them: evaluation of real rankings, and what generated networks and a learnt ranking must keep whatever is drawn.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kithloom.operators import evaluation, features, graph, measures, membership, meta, sampling
+from kithloom.operators import evaluation, features, generators, graph, measures, membership, meta, sampling
 from kithloom.plans import graph_queries as q, graph_sql
+from kithloom.plans.detector import detect
 from kithloom.session import cut, fresh_dir, keep
 from kithloom.sources import readers as R, writers as W
 
@@ -161,9 +165,45 @@ def comparison_p_by_m(spark, d):
     return q._rounded(evaluation.compare(chosen, ["size_group", "p"], "m", ["0.01", "0.02"]))
 
 
+# --- what draws and learning must keep, whatever they draw ----------------------------------------------------------------
+
+
+def er_density(spark, d):
+    """Of each community's pairs about a part ER_P are edges, within six standard deviations, all inside it and in order."""
+    placed = cut(q._placed(spark, d))
+    found = generators.er_edges(placed, q.ER_P, q.SEED).join(placed.select("community", "start", "size"), "community")
+    fits = (F.col("src") >= F.col("start")) & (F.col("src") < F.col("dst")) & (F.col("dst") < F.col("start") + F.col("size"))
+    per = found.groupBy("community").agg(F.count("*").alias("n"), F.count_distinct("src", "dst").alias("n_distinct"), F.bool_and(fits).alias("fits"))
+    joined = placed.join(per, "community", "left").fillna(0, ["n", "n_distinct"])
+    pairs = F.col("size") * (F.col("size") - 1) / 2
+    close = F.abs(F.col("n") - q.ER_P * pairs) <= 6 * F.sqrt(pairs * q.ER_P * (1 - q.ER_P)) + 1
+    return joined.select("community", pairs.cast("long").alias("n_pairs"), (close & F.coalesce("fits", F.lit(True)) & (F.col("n") == F.col("n_distinct"))).alias("as_expected"))
+
+
+def infused_counts(spark, d):
+    """All edges of the real graph stay, every new node is there, and the stated part of each new community reaches out."""
+    real = keep(q.simple(spark, d))
+    net = generators.infuse(real, keep(q.members(spark, d)), q.anomalous_sizes(spark, d), q.ER_P, 0.2, (1, 2), q.SEED)
+    edges = keep(net.edges)
+    kept = edges.join(real, ["src", "dst"], "left_semi").agg(F.count("*").alias("n_edges_kept"))
+    nodes = net.nodes.agg(F.count_if(F.col("id").startswith("GenNode")).alias("n")).scalar()
+    first, second = F.col("src").startswith("GenNode"), F.col("dst").startswith("GenNode")
+    out = edges.where(first != second).agg(F.count_distinct(F.when(first, F.col("src")).otherwise(F.col("dst"))).alias("n")).scalar()
+    infused = net.membership.where(generators.is_infused(F.col("community"))).agg(F.count_distinct("community").alias("n")).scalar()
+    return kept.select("n_edges_kept", nodes.alias("n_new_nodes"), out.alias("n_reaching_out"), infused.alias("n_communities"))
+
+
+def detection_ranks(spark, d):
+    """Every meta-feature ranks all test communities, each once."""
+    train, test = q._halves(spark, d)
+    ranking = detect(train, test, seed=q.SEED).ranking
+    return ranking.groupBy("feature").agg(F.count_distinct("community").alias("n_communities"), F.max("rank").cast("long").alias("last"), F.count("score").alias("n_scores"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        er_density, infused_counts, detection_ranks,
         partition_map_roundtrip, size_list_roundtrip, size_map_roundtrip, edges_csv_roundtrip, vertices_csv_roundtrip, adjacency_roundtrip, bipartite_roundtrip, features_roundtrip,
         feature_csv_roundtrip, results_roundtrip, log_roundtrip, ranking_roundtrip, config_roundtrip, file_triples, map_real_scores, baseline_comparison_real, comparison_p_by_m,
     )
@@ -184,6 +224,9 @@ def _baseline_rank(where: str = "TRUE") -> str:
 
 
 ORACLE = {
+    "er_density": _w("pl", "SELECT community, CAST(size * (size - 1) / 2 AS BIGINT) AS n_pairs, TRUE AS as_expected FROM pl"),
+    "infused_counts": _w("g pl", "SELECT (SELECT count(*) FROM g) AS n_edges_kept, sum(size)::BIGINT AS n_new_nodes, sum(floor(size * 0.2::DOUBLE))::BIGINT AS n_reaching_out, count(*) AS n_communities FROM pl"),
+    "detection_ranks": _w("sz", "SELECT feature, n AS n_communities, n AS last, n AS n_scores FROM (SELECT count(*) AS n FROM sz WHERE md5(community) >= '8'), (SELECT unnest([" + ", ".join(f"'{f}'" for f in meta.META) + "]) AS feature)"),
     "partition_map_roundtrip": _w("m", "SELECT community, vertex FROM m"),
     "size_list_roundtrip": _w("sz", "SELECT size, count(*) AS n FROM sz GROUP BY size"),
     "size_map_roundtrip": _w("sz i", "SELECT community, size FROM (SELECT DISTINCT community FROM i WHERE community IS NOT NULL) LEFT JOIN sz USING (community)"),
