@@ -102,4 +102,4 @@ def rank_measures(graph: DataFrame, m: DataFrame, names: tuple[str, ...] = MEASU
     scored = reduce(DataFrame.unionByName, [measure(name, graph, m, counts).withColumn("feature", F.lit(name)) for name in names])
     key = F.when(F.col("feature").isin(*ASCENDING), F.col("score")).otherwise(-F.col("score"))
     keyed = scored.withColumn("__key", F.round(key, 9)).withColumn("__none", F.col("__key").isNull())
-    return ranked(keyed, "feature", ["__none", "__key", "community"]).select("feature", "rank", "community", "score")
+    return ranked(keyed, ["feature"], ["__none", "__key", "community"]).select("feature", "rank", "community", "score")

@@ -39,7 +39,7 @@ def rank_features(scores: DataFrame, columns: tuple[str, ...] = META) -> DataFra
     """(feature, rank, community, score): communities by falling score, nulls last, ties by name."""
     long = scores.unpivot("community", list(columns), "feature", "score")
     keyed = long.select("feature", "community", "score", F.col("score").isNull().alias("__none"), (-F.col("score")).alias("__key"))
-    return ranked(keyed, "feature", ["__none", "__key", "community"]).select("feature", "rank", "community", "score")
+    return ranked(keyed, ["feature"], ["__none", "__key", "community"]).select("feature", "rank", "community", "score")
 
 
 def ranking_wide(ranking: DataFrame, columns: tuple[str, ...] = META) -> DataFrame:

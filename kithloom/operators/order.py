@@ -37,14 +37,14 @@ def first_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     return numbered(df, order, "__idx").where(F.col("__idx") <= k).drop("__idx")
 
 
-def ranked(df: DataFrame, group: str, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """df with ``name`` = 1, 2, ... within each value of ``group``, in the order of the columns ``order``, which must make its rows distinct.
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with ``name`` = 1, 2, ... within each combination of the non-null columns ``group``, in the order of the columns ``order``, which must make its rows distinct.
 
     All rows are numbered together, so few groups of many rows aren't few tasks; a group's first number is taken off.
     """
-    placed = numbered(df, [group, *order], "__idx")
-    first = placed.groupBy(group).agg(F.min("__idx").alias("__first"))
-    return placed.join(first, group).withColumn(name, (F.col("__idx") - F.col("__first") + 1).cast("int")).drop("__idx", "__first")
+    placed = numbered(df, [*group, *order], "__idx")
+    first = placed.groupBy(*group).agg(F.min("__idx").alias("__first"))
+    return placed.join(first, list(group)).withColumn(name, (F.col("__idx") - F.col("__first") + 1).cast("int")).drop("__idx", "__first")
 
 
 def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "hi", group: Sequence[str] = ()) -> DataFrame:

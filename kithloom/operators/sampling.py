@@ -8,7 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.functions.hashing import key_of, unit, whole
-from kithloom.operators.order import first_rows, numbered, running_total
+from kithloom.operators.order import first_rows, numbered, ranked, running_total
 from kithloom.session import cut
 
 #: Candidates drawn for each non-link wanted, before links and repeats are taken out.
@@ -61,9 +61,10 @@ def candidate_slots(n: int, n_m: int, n_c: int, n_v: int) -> int:
 
 
 def draw_names(df: DataFrame, group: list[str], name: str, k: Column | int, seed: int) -> DataFrame:
-    """``k`` names of each group without replacement."""
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(key_of(seed, *group, name), name))
-    return df.withColumn("__at", at).where(F.col("__at") <= k).drop("__at")
+    """``k`` names of each group without replacement (R3); no task sorts a whole group."""
+    keyed = df.withColumn("__key", key_of(seed, *group, name))
+    placed = ranked(keyed, group, ["__key", name], "__at") if group else numbered(keyed, ["__key", name], "__at")
+    return placed.where(F.col("__at") <= k).drop("__at", "__key")
 
 
 def draw_slots(spark, n: int, seed: int, population: int, name: str = "idx") -> DataFrame:

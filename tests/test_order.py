@@ -6,10 +6,10 @@ from kithloom.operators import order as O
 def test_ranks_within_groups(frame):
     rng = random.Random(1)
     rows = [(rng.choice("abc"), rng.randrange(20), i) for i in range(300)]
-    got = O.ranked(frame(rows, "g string, v int, i int", 7), "g", ["v", "i"]).collect()
+    got = O.ranked(frame(rows, "g string, v int, i int", 7), ["g"], ["v", "i"]).collect()
     want = {r: n for g in "abc" for n, r in enumerate(sorted(x for x in rows if x[0] == g), 1)}
     assert {(r.g, r.v, r.i): r["rank"] for r in got} == want and len(got) == 300
-    assert O.ranked(frame([], "g string, v int", 1), "g", ["v"]).count() == 0
+    assert O.ranked(frame([], "g string, v int", 1), ["g"], ["v"]).count() == 0
 
 
 def test_running_totals(frame):
