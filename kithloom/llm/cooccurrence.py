@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kithloom.session import keep
+from kithloom.operators.skew import lookup_join
+from kithloom.session import cut, keep
 
 #: Items of one record that a task pairs with each other; larger records are cut into chunks of about this size.
 CHUNK = 256
@@ -38,11 +39,12 @@ def item_pairs(rows: DataFrame, record: Sequence[str], item: str, min_count: int
     useful = held.groupBy("__x").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_count)
     if min_lift:
         useful = useful.where(F.col("__n") * min_lift <= total)
-    kept = held.join(useful, "__x")
-    large = kept.groupBy(*keys).agg(F.count("*").alias("__m")).where(F.col("__m") > chunk)
+    # an item may be in most records, a record may hold most rows: both joins are by broadcast where that is small, else with heavy keys spread
+    kept = lookup_join(held, cut(useful), ["__x"])
+    large = cut(kept.groupBy(*keys).agg(F.count("*").alias("__m")).where(F.col("__m") > chunk))
     chunks = F.coalesce(F.ceil(F.col("__m") / chunk), F.lit(1))
     placed = (
-        kept.join(large, keys, "left")
+        lookup_join(kept, large, keys, "left")
         .withColumn("__k", chunks)
         .withColumn("__c", F.pmod(F.xxhash64("__x"), F.col("__k")))
         .select(*keys, F.struct("__x", "__n").alias("__v"), "__c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)).alias("__o"))
