@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kithloom.operators.membership import both_ways, overlap, sizes, vertex_degrees
+from kithloom.operators.pairs import HOT, set_words
+from kithloom.operators.skew import lookup_join
 from kithloom.session import cut, keep
 
 FEATURES = ("total_friends", "preferential_attachment_score", "friends_measure", "shortest_path", "vertex_1_degree", "vertex_2_degree")
@@ -21,17 +23,97 @@ def with_degrees(m: DataFrame, sample: DataFrame) -> DataFrame:
     )
 
 
-def friends_measure(m: DataFrame, sample: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+def with_vertex_degree(m: DataFrame) -> DataFrame:
+    """m with the degree of its vertex, kept as a table."""
+    return keep(m.withColumn("degree", F.count("*").over(Window.partitionBy("vertex"))), "members")
+
+
+def _hub_bound(flat: DataFrame) -> int:
+    """Vertices of more communities than this are hubs: the power of two from HOT on for which friends cost the fewest rows.
+
+    Without hubs a vertex costs the square of its degree. With them a community costs the square of its hubs, and each pair of
+    communities of an ordinary vertex the second one's hubs.
+    """
+    most = flat.agg(F.max("degree").alias("d")).first()["d"] or 0
+    bounds = [HOT]
+    while bounds[-1] < most:
+        bounds.append(bounds[-1] * 2)
+    if len(bounds) == 1:
+        return HOT
+    below = [F.sum(F.when(F.col("degree") <= t, F.col("degree")).otherwise(0)).cast("double").alias(f"s{t}") for t in bounds]
+    above = [F.count_if(F.col("degree") > t).cast("double").alias(f"h{t}") for t in bounds]
+    each = flat.where("degree > 1").groupBy("community").agg(*below, *above)
+    cost = each.agg(*(F.sum(F.col(f"s{t}") * (1 + F.col(f"h{t}")) + F.col(f"h{t}") * F.col(f"h{t}")).alias(str(t)) for t in bounds)).first()
+    return min(bounds, key=lambda t: cost[str(t)])
+
+
+def _met(flat: DataFrame, lists: DataFrame, rows: DataFrame, own: DataFrame, bound: int) -> DataFrame:
+    """(community, vertex, edge_exist, friends_measure) of the rows that meet friends: ``rows`` (community, vertex, edge_exist, at) of ordinary vertices, ``own`` without ``at`` of hubs.
+
+    Members that two communities share are either ordinary vertices, whose pairs of communities are listed, or hubs, which are bits
+    of words of each community. A hub's own rows need no pairs of its communities: ordinary members are added up over the listed
+    pairs whose second community has the hub, other hubs by how many communities two hubs share.
+    """
+    key = ["community", "vertex", "edge_exist"]
+    pairs = lists.select("at", F.explode("at").alias("community")).select("community", F.explode("at").alias("c2")).where("c2 <> community").groupBy("community", "c2").agg(F.count("*").alias("n"))
+    hubs = cut(flat.where(F.col("degree") > bound))
+    some = not hubs.isEmpty()
+    if some:
+        pairs = keep(pairs, "pairs")
+    others = rows.select(*key, F.explode("at").alias("c2")).where("c2 <> community")
+    # a link's vertex is an ordinary member of each such pair, so what is taken off for it belongs here
+    parts = [others.join(pairs, ["community", "c2"]).select(*key, (F.col("n") - F.col("edge_exist")).alias("n"))]
+    if some:
+        words = cut(set_words(hubs.select(F.col("community").alias("g"), F.col("vertex").alias("x")), hubs.select(F.col("vertex").alias("x"), F.col("degree").alias("d")).distinct()))
+        ours = words.select(F.col("g").alias("community"), "w", "bits")
+        theirs = words.select(F.col("g").alias("c2"), "w", F.col("bits").alias("bits2"))
+        common = lookup_join(lookup_join(others, ours, ["community"]), theirs, ["c2", "w"])
+        parts.append(common.select(*key, F.bit_count(F.col("bits").bitwiseAND(F.col("bits2"))).cast("long").alias("n")))
+
+        own = cut(own.select(*key))
+        other, member = hubs.select("community", F.col("vertex").alias("u")), hubs.select("community", "vertex")
+        together = member.join(other, "community").where("u <> vertex").groupBy("vertex", "u").agg(F.count("*").alias("k"))
+        parts.append(own.join(other, "community").where("u <> vertex").join(together, ["vertex", "u"]).select(*key, (F.col("k") - F.col("edge_exist")).alias("n")))
+        by_pairs = lookup_join(pairs, member.withColumnRenamed("community", "c2"), ["c2"]).groupBy("community", "vertex").agg(F.sum("n").alias("n"))
+        parts.append(own.join(by_pairs, ["community", "vertex"]).select(*key, "n"))
+    return reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.sum("n").alias("friends_measure"))
+
+
+def linked(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """sample (community, vertex, edge_exist), or all links of ``m``, with degrees after the link's removal, their sum and product, and the friends measure."""
+    flat = with_vertex_degree(m)
+    bound = _hub_bound(flat)
+    lists = flat.where((F.col("degree") > 1) & (F.col("degree") <= bound)).groupBy("vertex").agg(F.collect_list("community").alias("at"), F.first("degree").alias("degree"))
+    lists = keep(lists, "lists")
+    if sample is None:
+        rows = flat.withColumn("edge_exist", F.lit(1))
+        near, own = lists.select("vertex", F.explode("at").alias("community"), F.lit(1).alias("edge_exist"), "at"), rows.where(F.col("degree") > bound)
+    else:
+        lone = flat.where("degree = 1").select("vertex", F.array("community").alias("at"), "degree")
+        hubs = flat.where(F.col("degree") > bound).select("vertex", F.lit(None).cast("array<string>").alias("at"), "degree").distinct()
+        rows = keep(sample.join(lists.unionByName(lone).unionByName(hubs), "vertex", "left").fillna(0, ["degree"]), "rows")
+        linking = rows.where(F.col("degree") > F.col("edge_exist"))
+        near, own = linking.where("at IS NOT NULL"), linking.where("at IS NULL")
+        rows = rows.drop("at")
+    found = _met(flat, lists, near, own, bound)
+    alone = F.col("degree") <= F.col("edge_exist")
+    rest = rows.where(~alone).join(found, ["community", "vertex", "edge_exist"], "left").fillna(0, ["friends_measure"])
+    both = rows.where(alone).withColumn("friends_measure", F.lit(0).cast("long")).unionByName(rest)
+    counted = cut(sizes(flat))
+    joined = lookup_join(both, counted, ["community"], "left").fillna(0, ["size"])
+    a, b = F.col("size") - F.col("edge_exist"), F.col("degree") - F.col("edge_exist")
+    return joined.select(
+        "community", "vertex", "edge_exist", (a + b).alias("total_friends"), (a * b).alias("preferential_attachment_score"), "friends_measure", a.alias("vertex_1_degree"), b.alias("vertex_2_degree")
+    )
+
+
+def friends_measure(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(community, vertex, edge_exist, friends_measure): links between the two nodes' neighbourhoods.
 
     Sum, over the vertex's other communities, of the members shared with this one; the vertex itself, which a present link puts
-    into both, isn't counted. ``shared`` is the overlap table if it is already there.
+    into both, isn't counted.
     """
-    shared = both_ways(overlap(m)) if shared is None else shared
-    others = sample.join(m.withColumnRenamed("community", "c2"), "vertex").where("c2 <> community")
-    met = others.join(shared.withColumnRenamed("c1", "community"), ["community", "c2"])
-    found = met.groupBy("community", "vertex").agg(F.sum(F.col("n") - F.col("edge_exist")).alias("friends_measure"))
-    return sample.join(found, ["community", "vertex"], "left").fillna(0, ["friends_measure"])
+    return linked(m, sample).select("community", "vertex", "edge_exist", "friends_measure")
 
 
 def _other_communities(m: DataFrame, rows: DataFrame) -> DataFrame:
@@ -104,12 +186,8 @@ def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFra
     return joined.withColumn("shortest_path", F.coalesce("shortest_path", "hops", F.lit(-1))).drop("hops")
 
 
-def topological_features(m: DataFrame, sample: DataFrame) -> DataFrame:
-    """(community, vertex, FEATURES, edge_exist) of every link of the sample.
-
-    The overlap table is made once and kept; friends measure and paths read it.
-    """
+def topological_features(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """(community, vertex, FEATURES, edge_exist) of every link of the sample, or of all links."""
     shared = keep(both_ways(overlap(m)), "overlap")
-    friends = friends_measure(m, sample, shared).select("community", "vertex", "edge_exist", "friends_measure")
-    base = keep(with_degrees(m, sample).join(friends, ["community", "vertex", "edge_exist"]), "features")
+    base = keep(linked(m, sample), "features")
     return shortest_paths(m, base, shared).select("community", "vertex", *FEATURES, "edge_exist")

@@ -14,7 +14,8 @@ from kithloom.session import keep
 def bipartite(members: DataFrame, community: str = "community", vertex: str = "vertex") -> DataFrame:
     """Distinct (community, vertex) as text, without nulls: the edges of the bipartite network."""
     pairs = members.select(F.col(community).cast("string").alias("community"), F.col(vertex).cast("string").alias("vertex"))
-    return pairs.dropna().distinct()
+    # by vertex alone, so that what is asked of each vertex next needs no other shuffle
+    return pairs.dropna().repartition("vertex").distinct()
 
 
 def labelled(m: DataFrame, community_label: str, vertex_label: str) -> DataFrame:

@@ -13,6 +13,17 @@ HOT = 64
 BLOCK = 256
 
 
+def set_words(members: DataFrame, common: DataFrame) -> DataFrame:
+    """(g, w, bits): the items of ``common`` (x, d: in how many sets) as bits of 64-bit words of each set, the commonest first; from distinct (g, x)."""
+    places = numbered(common.select("x", (-F.col("d")).alias("d")), ["d", "x"], "at").select("x", F.col("at").cast("long"))
+    return (
+        members.join(places, "x")
+        .select("g", F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bits"))
+        .groupBy("g", "w")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+
+
 def shared_counts(members: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(a, b, n_shared) of every pair of sets with a common item, a < b, all exact; from distinct (g, x).
 
@@ -28,13 +39,7 @@ def shared_counts(members: DataFrame, hot: int = HOT, block: int = BLOCK) -> Dat
     if common.isEmpty():
         return cold.withColumnRenamed("k", "n_shared")
 
-    places = numbered(common.select("x", (-F.col("d")).alias("d")), ["d", "x"], "at").select("x", F.col("at").cast("long"))
-    words = (
-        members.join(places, "x")
-        .select("g", F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bits"))
-        .groupBy("g", "w")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
+    words = set_words(members, common.select("x", "d"))
     words = cut(words)
     blocks = words.groupBy("w").agg(F.ceil(F.count("*") / block).alias("blocks"))
     placed = words.join(blocks, "w").withColumn("c", F.pmod(F.xxhash64("g"), "blocks"))

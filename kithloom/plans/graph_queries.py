@@ -171,8 +171,7 @@ def total_friends(spark, d):
 
 
 def friends_measure(spark, d):
-    m = keep(members(spark, d))
-    return features.friends_measure(m, sampling.positive_sample(m)).select("community", "vertex", "friends_measure")
+    return features.friends_measure(members(spark, d)).select("community", "vertex", "friends_measure")
 
 
 def shortest_path(spark, d):
