@@ -185,10 +185,7 @@ def topological_features(spark, d):
 
 
 def _probs(spark, d):
-    m = keep(members(spark, d))
-    sample = sampling.positive_sample(m)
-    base = features.with_degrees(m, sample).join(features.friends_measure(m, sample).select("community", "vertex", "friends_measure"), ["community", "vertex"])
-    return meta.closed_form_probability(base)
+    return meta.closed_form_probability(features.linked(members(spark, d)))
 
 
 def edge_prob_closed_form(spark, d):

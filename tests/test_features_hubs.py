@@ -6,6 +6,7 @@ import pytest
 
 from kithloom.operators import features as X
 from kithloom.operators.membership import bipartite
+from kithloom.plans import graph_queries
 from tests.test_features import brute
 
 #: Of some 5,000 links; a row for each two communities of a hub is more than a million.
@@ -48,3 +49,10 @@ def test_hubs_against_brute_force(frame, monkeypatch, seed):
     assert {(r.community, r.vertex): (r.total_friends, r.preferential_attachment_score, r.friends_measure) for r in got} == {(c, v): brute(edges, c, v)[:3] for c, v, _ in sample}
     links = {(r.community, r.vertex): r.friends_measure for r in X.friends_measure(m).collect()}
     assert links == {e: brute(edges, *e)[2] for e in edges}
+
+
+def test_probabilities_follow_the_links(spark, network, tmp_path):
+    network.withColumnRenamed("vertex", "__id").write.parquet(str(tmp_path / "vertices.parquet"))
+    before = moved(spark)
+    assert graph_queries.QUERIES["meta_feature_ranking"](spark, str(tmp_path)).count() == 6 * 300
+    assert moved(spark) - before < LINKS_MB
