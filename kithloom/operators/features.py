@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kithloom.operators.membership import both_ways, overlap, sizes, vertex_degrees
+from kithloom.operators.membership import sizes, vertex_degrees
 from kithloom.operators.pairs import HOT, set_words
 from kithloom.operators.skew import lookup_join
 from kithloom.session import cut, keep
@@ -79,9 +79,12 @@ def _met(flat: DataFrame, lists: DataFrame, rows: DataFrame, own: DataFrame, bou
     return reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.sum("n").alias("friends_measure"))
 
 
-def linked(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """sample (community, vertex, edge_exist), or all links of ``m``, with degrees after the link's removal, their sum and product, and the friends measure."""
-    flat = with_vertex_degree(m)
+def linked(m: DataFrame, sample: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
+    """sample (community, vertex, edge_exist), or all links of ``m``, with degrees after the link's removal, their sum and product, and the friends measure.
+
+    ``flat`` is with_vertex_degree(m) if that is already there.
+    """
+    flat = with_vertex_degree(m) if flat is None else flat
     bound = _hub_bound(flat)
     lists = flat.where((F.col("degree") > 1) & (F.col("degree") <= bound)).groupBy("vertex").agg(F.collect_list("community").alias("at"), F.first("degree").alias("degree"))
     lists = keep(lists, "lists")
@@ -118,44 +121,61 @@ def friends_measure(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
 
 def _other_communities(m: DataFrame, rows: DataFrame) -> DataFrame:
     """(community, vertex, at): the communities each row's vertex has besides the row's own."""
-    return rows.join(m.withColumnRenamed("community", "at"), "vertex").where("at <> community").select("community", "vertex", "at")
+    return rows.join(m.select(F.col("community").alias("at"), "vertex"), "vertex").where("at <> community").select("community", "vertex", "at")
+
 
+def _next(frontier: DataFrame, bridges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, at): the communities that share a member with those of the frontier; of a row with a vertex, another member than that."""
+    ends = frontier.join(bridges.select(F.col("community").alias("at"), F.col("vertex").alias("via")), "at")
+    ends = ends.where("via <> vertex") if "vertex" in key else ends
+    return ends.select(*key, "via").distinct().join(bridges.select(F.col("vertex").alias("via"), F.col("community").alias("at")), "via").select(*key, "at").distinct()
 
-def _hops_of_links(rows: DataFrame, m: DataFrame, links: DataFrame) -> DataFrame | None:
+
+def _hops_of_links(rows: DataFrame, bridges: DataFrame) -> DataFrame | None:
     """(community, vertex, hops) of links without common friends, the link itself left out.
 
-    The only member that such a community shares with any other community of the vertex is the vertex itself, so what is reached
-    depends on the vertex: each row has its own frontier, from the vertex's other communities towards the row's own.
+    What is reached depends on the vertex: each row has its own frontier, from its community towards the vertex's others, never
+    through the vertex itself. It starts at the community, as a hub would begin with nearly all of them.
     """
-    frontier, found, length = cut(_other_communities(m, rows)), None, 3
-    seen = frontier
+    frontier, found, length = cut(rows.select("community", "vertex", F.col("community").alias("at"))), None, 1
+    seen, ends = frontier, bridges.withColumnRenamed("community", "at")
     while not frontier.isEmpty():
         length += 2
-        grown = frontier.join(links, F.col("at") == F.col("c1")).where("c2 <> community").select("community", "vertex", F.col("c2").alias("at")).distinct()
-        frontier = cut(grown.join(seen, ["community", "vertex", "at"], "left_anti"))
-        ends = frontier.join(links, (F.col("at") == F.col("c1")) & (F.col("community") == F.col("c2")), "left_semi").select("community", "vertex").distinct()
-        hit = cut(ends.withColumn("hops", F.lit(length)))
+        reached = cut(_next(frontier, bridges, ["community", "vertex"]).join(seen, ["community", "vertex", "at"], "left_anti"))
+        hit = cut(reached.join(ends, ["at", "vertex"], "left_semi").select("community", "vertex").distinct().withColumn("hops", F.lit(length)))
         found = hit if found is None else found.unionByName(hit)
-        frontier = cut(frontier.join(hit, ["community", "vertex"], "left_anti"))
+        frontier = cut(reached.join(hit, ["community", "vertex"], "left_anti"))
         seen = seen.unionByName(frontier)
     return found
 
 
-def _hops_of_non_links(rows: DataFrame, m: DataFrame, links: DataFrame) -> DataFrame | None:
+def _components(bridges: DataFrame) -> DataFrame:
+    """(community, part): communities that a path joins have the same part."""
+    parts = cut(bridges.select("community", F.col("community").alias("part")).distinct())
+    while True:
+        by_vertex = bridges.join(parts, "community").groupBy("vertex").agg(F.min("part").alias("part"))
+        grown = cut(bridges.join(by_vertex, "vertex").groupBy("community").agg(F.min("part").alias("part")))
+        if grown.join(parts, ["community", "part"], "left_anti").isEmpty():
+            return grown
+        parts = grown
+
+
+def _hops_of_non_links(rows: DataFrame, m: DataFrame, bridges: DataFrame) -> DataFrame | None:
     """(community, vertex, hops) of non-links without common friends.
 
-    What a community reaches doesn't depend on the vertex, so all its rows share one frontier of (community, at); a community whose
-    rows are all found leaves it.
+    Rows whose ends no path joins are left out at once. What a community reaches doesn't depend on the vertex, so all its rows share
+    one frontier of (community, at); a community whose rows are all found leaves it.
     """
-    open_ends = cut(_other_communities(m, rows))
-    starts = open_ends.select("community").distinct()
-    # without common friends no row is found among the neighbours of its community
-    frontier = cut(starts.join(links.withColumnRenamed("c1", "community"), "community").select("community", F.col("c2").alias("at")))
-    seen, found, length = starts.select("community", F.col("community").alias("at")).unionByName(frontier), None, 3
+    if rows.isEmpty():
+        return None
+    parts = _components(bridges)
+    ends = _other_communities(m, rows).join(parts, "community").join(parts.withColumnRenamed("community", "at"), ["at", "part"])
+    open_ends = cut(ends.select("community", "vertex", "at"))
+    frontier = cut(open_ends.select("community", F.col("community").alias("at")).distinct())
+    seen, found, length = frontier, None, 1
     while not frontier.isEmpty():
         length += 2
-        grown = frontier.join(links, F.col("at") == F.col("c1")).select("community", F.col("c2").alias("at")).distinct()
-        reached = cut(grown.join(seen, ["community", "at"], "left_anti"))
+        reached = cut(_next(frontier, bridges, ["community"]).join(seen, ["community", "at"], "left_anti"))
         hit = cut(open_ends.join(reached, ["community", "at"], "left_semi").select("community", "vertex").distinct().withColumn("hops", F.lit(length)))
         found = hit if found is None else found.unionByName(hit)
         open_ends = cut(open_ends.join(hit, ["community", "vertex"], "left_anti"))
@@ -164,20 +184,22 @@ def _hops_of_non_links(rows: DataFrame, m: DataFrame, links: DataFrame) -> DataF
     return found
 
 
-def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
+def shortest_paths(flat: DataFrame, known: DataFrame) -> DataFrame:
     """``known`` (community, vertex, edge_exist, friends_measure, both degrees, ...) with shortest_path, -1 where there is none.
 
     A positive friends measure means 3, a degree of 0 means no path. For the other rows the communities within reach grow hop by
-    hop, over communities that share members, until they border on the row's own or nothing new is reached, however long that
-    takes; each hop is cut from its lineage. ``m``, ``known`` and ``shared`` are read in every hop, so they should be kept tables.
+    hop, over members of several communities, until they hold the row's own or nothing new is reached, however long that takes; each
+    hop is cut from its lineage. ``flat``, which is with_vertex_degree(m), and ``known`` are read in every hop, so they should be kept tables.
     """
     simple = F.when(F.col("friends_measure") > 0, 3).when((F.col("vertex_1_degree") == 0) | (F.col("vertex_2_degree") == 0), -1)
     known = known.withColumn("shortest_path", simple)
     open_rows = cut(known.where("shortest_path IS NULL").select("community", "vertex", "edge_exist"))
-    links = shared.select("c1", "c2")
+    if open_rows.isEmpty():
+        return known
+    bridges = flat.where("degree > 1").select("community", "vertex")
     parts = [
-        _hops_of_links(open_rows.where("edge_exist = 1").drop("edge_exist"), m, links),
-        _hops_of_non_links(open_rows.where("edge_exist <> 1").drop("edge_exist"), m, links),
+        _hops_of_links(open_rows.where("edge_exist = 1").drop("edge_exist"), bridges),
+        _hops_of_non_links(open_rows.where("edge_exist <> 1").drop("edge_exist"), flat, bridges),
     ]
     found = [p.withColumn("edge_exist", F.lit(e)) for p, e in zip(parts, (1, 0)) if p is not None]
     if not found:
@@ -188,6 +210,6 @@ def shortest_paths(m: DataFrame, known: DataFrame, shared: DataFrame) -> DataFra
 
 def topological_features(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(community, vertex, FEATURES, edge_exist) of every link of the sample, or of all links."""
-    shared = keep(both_ways(overlap(m)), "overlap")
-    base = keep(linked(m, sample), "features")
-    return shortest_paths(m, base, shared).select("community", "vertex", *FEATURES, "edge_exist")
+    flat = with_vertex_degree(m)
+    base = keep(linked(m, sample, flat), "features")
+    return shortest_paths(flat, base).select("community", "vertex", *FEATURES, "edge_exist")

@@ -14,11 +14,11 @@ def predicted_label(prob: Column, threshold: float = 0.5) -> Column:
     return F.when(prob >= F.lit(threshold), 1).otherwise(0)
 
 
-def closed_form_probability(features: DataFrame) -> DataFrame:
-    """(community, vertex, prob): friends / (friends + 1 + difference of degrees), a stand-in for a classifier that SQL can check."""
+def closed_form_probability(features: DataFrame, *kept: str) -> DataFrame:
+    """(community, vertex, ``kept`` columns, prob): friends / (friends + 1 + difference of degrees), a stand-in for a classifier that SQL can check."""
     friends = F.col("friends_measure").cast("double")
     gap = F.abs(F.col("vertex_1_degree") - F.col("vertex_2_degree")).cast("double")
-    return features.select("community", "vertex", (friends / (friends + F.lit(1.0) + gap)).alias("prob"))
+    return features.select("community", "vertex", *kept, (friends / (friends + F.lit(1.0) + gap)).alias("prob"))
 
 
 def meta_features(probs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -8,8 +8,9 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.functions.hashing import key_of, unit, whole
-from kithloom.operators.order import first_rows, numbered, ranked, running_total
-from kithloom.session import cut
+from kithloom.operators.order import first_rows, nth_smallest, numbered, ranked, running_total
+from kithloom.operators.skew import lookup_join
+from kithloom.session import keep
 
 #: Candidates drawn for each non-link wanted, before links and repeats are taken out.
 CANDIDATES = 1.5
@@ -46,10 +47,13 @@ def negative_sample(m: DataFrame, n: int, seed: int = 0) -> DataFrame:
             (whole(key_of(seed, F.lit("c"), "id")) % n_c + 1).alias("ci"),
             (whole(key_of(seed, F.lit("v"), "id")) % n_v + 1).alias("vi"),
         )
-        pairs = drawn.join(communities, "ci").join(vertices, "vi").groupBy("community", "vertex").agg(F.min("slot").alias("slot"))
-        kept = cut(pairs.join(m, ["community", "vertex"], "left_anti"))
-        if kept.count() >= n:
-            return first_rows(kept, ["slot"], n).select("community", "vertex", F.lit(0).alias("edge_exist"))
+        # by vertex alone, so that repeats and names need no other shuffle
+        met = drawn.repartition("vi").groupBy("ci", "vi").agg(F.min("slot").alias("slot")).join(vertices, "vi")
+        pairs = lookup_join(met, communities, ["ci"]).select("community", "vertex", "slot")
+        kept = keep(pairs.join(m, ["community", "vertex"], "left_anti"), "drawn")
+        if (left := kept.count()) >= n:
+            last = nth_smallest(kept, "slot", n, slots) if left > n else slots
+            return kept.where(F.col("slot") <= last).select("community", "vertex", F.lit(0).alias("edge_exist"))
         if slots > 40 * n_c * n_v:  # so many draws would have met every pair: take what there is
             return kept.select("community", "vertex", F.lit(0).alias("edge_exist"))
         slots *= 4

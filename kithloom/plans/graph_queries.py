@@ -175,8 +175,7 @@ def friends_measure(spark, d):
 
 
 def shortest_path(spark, d):
-    m = keep(members(spark, d))
-    return features.topological_features(m, sampling.positive_sample(m)).select("community", "vertex", "shortest_path")
+    return features.topological_features(members(spark, d)).select("community", "vertex", "shortest_path")
 
 
 def topological_features(spark, d):
@@ -267,8 +266,8 @@ def pr_curve(spark, d):
 def confusion_metrics(spark, d):
     m = keep(members(spark, d))
     sample = _sample(m)
-    base = features.with_degrees(m, sample).join(features.friends_measure(m, sample).select("community", "vertex", "friends_measure"), ["community", "vertex"])
-    labels = meta.closed_form_probability(base).join(sample, ["community", "vertex"]).withColumn("predicted", meta.predicted_label(F.col("prob"), 0.1))
+    probs = meta.closed_form_probability(features.linked(m, sample), "edge_exist")
+    labels = probs.withColumn("predicted", meta.predicted_label(F.col("prob"), 0.1))
     return _rounded(evaluation.classification_scores(labels, "edge_exist", "predicted"))
 
 

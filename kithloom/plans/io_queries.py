@@ -65,8 +65,7 @@ def bipartite_roundtrip(spark, d):
 
 
 def _features(spark, d) -> DataFrame:
-    m = cut(q.members(spark, d))
-    return features.topological_features(m, sampling.positive_sample(m))
+    return features.topological_features(q.members(spark, d))
 
 
 def features_roundtrip(spark, d):

@@ -77,5 +77,5 @@ def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
     For larger results than ``cut``; as with that, the folder is the caller's to empty when the job is over, for which there is ``kept_folders``.
     """
     path = fresh_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

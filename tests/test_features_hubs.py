@@ -56,3 +56,18 @@ def test_probabilities_follow_the_links(spark, network, tmp_path):
     before = moved(spark)
     assert graph_queries.QUERIES["meta_feature_ranking"](spark, str(tmp_path)).count() == 6 * 300
     assert moved(spark) - before < LINKS_MB
+
+
+@pytest.mark.parametrize("name", ["shortest_path"])
+def test_paths_follow_the_links(spark, network, tmp_path, name):
+    network.withColumnRenamed("vertex", "__id").write.parquet(str(tmp_path / "vertices.parquet"))
+    before = moved(spark)
+    graph_queries.QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert moved(spark) - before < LINKS_MB
+
+
+def test_link_of_a_hub_alone(frame):
+    # a community that only the hub joins to others: without this link there is no way, and no search among the hub's communities
+    edges = {(f"c{i}", "hub") for i in range(12)} | {(f"c{i}", x) for i in range(11) for x in ("w", f"v{i}")} | {("c11", "own")}
+    got = X.topological_features(bipartite(frame(sorted(edges), SCHEMA))).collect()
+    assert {(r.community, r.vertex): r.shortest_path for r in got} == {e: brute(edges, *e)[3] for e in edges}
