@@ -71,3 +71,10 @@ def test_link_of_a_hub_alone(frame):
     edges = {(f"c{i}", "hub") for i in range(12)} | {(f"c{i}", x) for i in range(11) for x in ("w", f"v{i}")} | {("c11", "own")}
     got = X.topological_features(bipartite(frame(sorted(edges), SCHEMA))).collect()
     assert {(r.community, r.vertex): r.shortest_path for r in got} == {e: brute(edges, *e)[3] for e in edges}
+
+
+def test_curve_follows_the_links(spark, network, tmp_path):
+    network.withColumnRenamed("vertex", "__id").write.parquet(str(tmp_path / "vertices.parquet"))
+    before = moved(spark)
+    graph_queries.QUERIES["pr_curve"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert moved(spark) - before < LINKS_MB
