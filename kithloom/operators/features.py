@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kithloom.operators.membership import sizes, vertex_degrees
 from kithloom.operators.pairs import HOT, set_words
 from kithloom.operators.skew import lookup_join
-from kithloom.session import cut, keep
+from kithloom.session import cut, keep, keep_result
 
 FEATURES = ("total_friends", "preferential_attachment_score", "friends_measure", "shortest_path", "vertex_1_degree", "vertex_2_degree")
 
@@ -79,10 +80,11 @@ def _met(flat: DataFrame, lists: DataFrame, rows: DataFrame, own: DataFrame, bou
     return reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.sum("n").alias("friends_measure"))
 
 
-def linked(m: DataFrame, sample: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
+def linked(m: DataFrame, sample: DataFrame | Callable[[], DataFrame] | None = None, flat: DataFrame | None = None) -> DataFrame:
     """sample (community, vertex, edge_exist), or all links of ``m``, with degrees after the link's removal, their sum and product, and the friends measure.
 
-    ``flat`` is with_vertex_degree(m) if that is already there.
+    ``flat`` is with_vertex_degree(m) if that is already there. ``sample`` may be a function; the tables kept by it are removed when
+    they are no longer needed.
     """
     flat = with_vertex_degree(m) if flat is None else flat
     bound = _hub_bound(flat)
@@ -93,12 +95,13 @@ def linked(m: DataFrame, sample: DataFrame | None = None, flat: DataFrame | None
         near, own = lists.select("vertex", F.explode("at").alias("community"), F.lit(1).alias("edge_exist"), "at"), rows.where(F.col("degree") > bound)
     else:
         lone = flat.where("degree = 1").select("vertex", F.array("community").alias("at"), "degree")
-        hubs = flat.where(F.col("degree") > bound).select("vertex", F.lit(None).cast("array<string>").alias("at"), "degree").distinct()
-        rows = keep(sample.join(lists.unionByName(lone).unionByName(hubs), "vertex", "left").fillna(0, ["degree"]), "rows")
+        hubs = flat.where(F.col("degree") > bound).select("vertex", F.lit(None).cast(f"array<{dict(flat.dtypes)['community']}>").alias("at"), "degree").distinct()
+        known = lists.unionByName(lone).unionByName(hubs)
+        rows = keep_result(m.sparkSession, lambda: (sample() if callable(sample) else sample).join(known, "vertex", "left").fillna(0, ["degree"]), "rows")
         linking = rows.where(F.col("degree") > F.col("edge_exist"))
         near, own = linking.where("at IS NOT NULL"), linking.where("at IS NULL")
         rows = rows.drop("at")
-    found = _met(flat, lists, near, own, bound)
+    found = keep(_met(flat, lists, near, own, bound), "found")
     alone = F.col("degree") <= F.col("edge_exist")
     rest = rows.where(~alone).join(found, ["community", "vertex", "edge_exist"], "left").fillna(0, ["friends_measure"])
     both = rows.where(alone).withColumn("friends_measure", F.lit(0).cast("long")).unionByName(rest)
@@ -208,8 +211,8 @@ def shortest_paths(flat: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("shortest_path", F.coalesce("shortest_path", "hops", F.lit(-1))).drop("hops")
 
 
-def topological_features(m: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """(community, vertex, FEATURES, edge_exist) of every link of the sample, or of all links."""
+def topological_features(m: DataFrame, sample: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
+    """(community, vertex, FEATURES, edge_exist) of every link of the sample, or of all links (G3, G4); ``sample`` as for linked."""
     flat = with_vertex_degree(m)
-    base = keep(linked(m, sample, flat), "features")
+    base = keep_result(m.sparkSession, lambda: linked(m, sample, flat), "features")
     return shortest_paths(flat, base).select("community", "vertex", *FEATURES, "edge_exist")

@@ -8,8 +8,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.functions.hashing import key_of, unit, whole
+from kithloom.operators.codes import Codes, coded
 from kithloom.operators.order import first_rows, nth_smallest, numbered, ranked, running_total
-from kithloom.operators.skew import lookup_join
 from kithloom.session import keep
 
 #: Candidates drawn for each non-link wanted, before links and repeats are taken out.
@@ -33,29 +33,32 @@ def negative_sample(m: DataFrame, n: int, seed: int = 0) -> DataFrame:
     Slots 1, 2, ... each draw a community and a vertex by hash; links and repeats are rejected, the first n slots left count. The
     number of slots grows until enough are left; fewer come out only where fewer non-links exist.
     """
-    communities = numbered(m.select("community").distinct(), ["community"], "ci")
-    vertices = numbered(m.select("vertex").distinct(), ["vertex"], "vi")
-    n_c, n_v, n_m = communities.count(), vertices.count(), m.count()
-    free = n_c * n_v - n_m
-    n = min(n, free)
+    codes = coded(m)
+    return codes.decode(negative_codes(codes, n, seed))
+
+
+def negative_codes(codes: Codes, n: int, seed: int = 0) -> DataFrame:
+    """negative_sample with numbers for names.
+
+    Links and draws are one number each and meet in one shuffle: a pair's first slot counts, and a link has slot 0.
+    """
+    n_c, n_v, n_m = codes.communities.count(), codes.vertices.count(), codes.links.count()
+    spark = codes.links.sparkSession
+    pair = lambda ci, vi: ((vi - 1) * F.lit(n_c) + ci - 1).alias("pair")
+    links = codes.links.select(pair(F.col("community"), F.col("vertex")), F.lit(0).cast("long").alias("slot"))
+    names = ((F.col("pair") % n_c + 1).alias("community"), (F.expr(f"pair div {max(1, n_c)}") + 1).alias("vertex"), F.lit(0).alias("edge_exist"))
+    n = min(n, n_c * n_v - n_m)
     if n <= 0:
-        return m.select("community", "vertex", F.lit(0).alias("edge_exist")).limit(0)
+        return links.select(*names).limit(0)
     slots = candidate_slots(n, n_m, n_c, n_v)
     while True:
-        drawn = m.sparkSession.range(1, slots + 1).select(
-            F.col("id").alias("slot"),
-            (whole(key_of(seed, F.lit("c"), "id")) % n_c + 1).alias("ci"),
-            (whole(key_of(seed, F.lit("v"), "id")) % n_v + 1).alias("vi"),
-        )
-        # by vertex alone, so that repeats and names need no other shuffle
-        met = drawn.repartition("vi").groupBy("ci", "vi").agg(F.min("slot").alias("slot")).join(vertices, "vi")
-        pairs = lookup_join(met, communities, ["ci"]).select("community", "vertex", "slot")
-        kept = keep(pairs.join(m, ["community", "vertex"], "left_anti"), "drawn")
+        drawn = spark.range(1, slots + 1).select(pair(whole(key_of(seed, F.lit("c"), "id")) % n_c + 1, whole(key_of(seed, F.lit("v"), "id")) % n_v + 1), F.col("id").alias("slot"))
+        kept = keep(drawn.unionByName(links).groupBy("pair").agg(F.min("slot").alias("slot")).where("slot > 0"), "drawn")
         if (left := kept.count()) >= n:
             last = nth_smallest(kept, "slot", n, slots) if left > n else slots
-            return kept.where(F.col("slot") <= last).select("community", "vertex", F.lit(0).alias("edge_exist"))
+            return kept.where(F.col("slot") <= last).select(*names)
         if slots > 40 * n_c * n_v:  # so many draws would have met every pair: take what there is
-            return kept.select("community", "vertex", F.lit(0).alias("edge_exist"))
+            return kept.select(*names)
         slots *= 4
 
 

@@ -11,9 +11,10 @@ from kithloom.functions.canonical import canonical_name, known_account
 from kithloom.functions.hashing import key_of
 from kithloom.functions.text import edge_key, parse_edge_key
 from kithloom.operators import evaluation, features, generators, graph, membership, meta, measures, sampling
+from kithloom.operators.codes import Codes, coded
 from kithloom.operators.linkpred import fit_links
 from kithloom.plans.detector import detect, labelled_features
-from kithloom.session import cut, keep
+from kithloom.session import cut, keep, keep_result, remove_kept
 
 MIN_WEIGHT, SEED = 3, 11
 MIN_COMMON, MIN_PAIRS = 3, 3
@@ -30,6 +31,13 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.bipartite(rows.select(canonical_name("community").alias("community"), known_account("__id").alias("vertex")))
 
 
+def coded_members(spark: SparkSession, sf_dir: str) -> Codes:
+    m = keep(members(spark, sf_dir))
+    codes = coded(m)
+    remove_kept(spark, m)
+    return codes
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "edges").select(
         canonical_name("community").alias("community"), known_account("__src_id").alias("src"), known_account("__dst_id").alias("dst"), "weight", "mindate", "maxdate"
@@ -49,9 +57,9 @@ def _anomalous(m: DataFrame) -> DataFrame:
     return m.select("community").distinct().withColumn("is_anomalous", F.md5("community") < "2")
 
 
-def _sample(m: DataFrame) -> DataFrame:
-    positive = sampling.positive_sample(m)
-    return positive.unionByName(sampling.negative_sample(m, m.count(), SEED))
+def _sample(codes: Codes) -> DataFrame:
+    """All links and as many non-links, as numbers."""
+    return sampling.positive_sample(codes.links).unionByName(sampling.negative_codes(codes, codes.links.count(), SEED))
 
 
 # --- membership -----------------------------------------------------------------------------------------------------------
@@ -171,28 +179,34 @@ def total_friends(spark, d):
 
 
 def friends_measure(spark, d):
-    return features.friends_measure(members(spark, d)).select("community", "vertex", "friends_measure")
+    codes = coded_members(spark, d)
+    return codes.decode(features.friends_measure(codes.links).select("community", "vertex", "friends_measure"))
 
 
 def shortest_path(spark, d):
-    return features.topological_features(members(spark, d)).select("community", "vertex", "shortest_path")
+    codes = coded_members(spark, d)
+    return codes.decode(features.topological_features(codes.links).select("community", "vertex", "shortest_path"))
 
 
 def topological_features(spark, d):
-    m = keep(members(spark, d))
-    return features.topological_features(m, _sample(m))
+    codes = coded_members(spark, d)
+    return codes.decode(features.topological_features(codes.links, lambda: _sample(codes)))
 
 
-def _probs(spark, d):
-    return meta.closed_form_probability(features.linked(members(spark, d)))
+def _probs(spark, d) -> tuple[Codes, DataFrame]:
+    """The members' numbers, and the probability of each link under them."""
+    codes = coded_members(spark, d)
+    return codes, meta.closed_form_probability(keep_result(spark, lambda: features.linked(codes.links), "features"))
 
 
 def edge_prob_closed_form(spark, d):
-    return _probs(spark, d).withColumn("prob", F.round("prob", 9))
+    codes, probs = _probs(spark, d)
+    return codes.decode(probs).withColumn("prob", F.round("prob", 9))
 
 
 def label_by_threshold(spark, d):
-    return _probs(spark, d).select("community", "vertex", meta.predicted_label(F.col("prob")).alias("label"))
+    codes, probs = _probs(spark, d)
+    return codes.decode(probs.select("community", "vertex", meta.predicted_label(F.col("prob")).alias("label")))
 
 
 # --- meta-features --------------------------------------------------------------------------------------------------------
@@ -203,28 +217,29 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*((F.round(f"`{c}`", places) + F.lit(0.0)).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
-def _scores(spark, d):
-    return _rounded(meta.meta_features(_probs(spark, d)))
+def scores(spark, d, places: int = 6) -> DataFrame:
+    codes, probs = _probs(spark, d)
+    return _rounded(codes.decode_communities(meta.meta_features(probs)), places)
 
 
 def meta_features(spark, d):
-    return _scores(spark, d).drop("weighted_sum")
+    return scores(spark, d).drop("weighted_sum")
 
 
 def weighted_sum(spark, d):
-    return _scores(spark, d).select("community", "weighted_sum")
+    return scores(spark, d).select("community", "weighted_sum")
 
 
 def meta_feature_ranking(spark, d):
-    return meta.rank_features(_scores(spark, d))
+    return meta.rank_features(scores(spark, d))
 
 
 def ranking_wide(spark, d):
-    return meta.ranking_wide(meta.rank_features(_scores(spark, d)))
+    return meta.ranking_wide(meta.rank_features(scores(spark, d)))
 
 
 def most_anomalous_tail(spark, d):
-    return meta.most_anomalous(meta.rank_features(_scores(spark, d)))
+    return meta.most_anomalous(meta.rank_features(scores(spark, d)))
 
 
 # --- baselines ------------------------------------------------------------------------------------------------------------
@@ -251,7 +266,7 @@ def baseline_ranking_all(spark, d):
 
 def _judged(spark, d):
     m = members(spark, d)
-    ranking = meta.rank_features(_rounded(meta.meta_features(_probs(spark, d)), 4))
+    ranking = meta.rank_features(scores(spark, d, 4))
     return evaluation.label_anomalous(ranking, _anomalous(m).where("is_anomalous").select("community"))
 
 
@@ -264,15 +279,16 @@ def pr_curve(spark, d):
 
 
 def confusion_metrics(spark, d):
-    m = keep(members(spark, d))
-    sample = _sample(m)
-    probs = meta.closed_form_probability(features.linked(m, sample), "edge_exist")
+    codes = coded_members(spark, d)
+    found = keep_result(spark, lambda: features.linked(codes.links, lambda: _sample(codes)), "features")
+    probs = meta.closed_form_probability(found, "edge_exist")
     labels = probs.withColumn("predicted", meta.predicted_label(F.col("prob"), 0.1))
     return _rounded(evaluation.classification_scores(labels, "edge_exist", "predicted"))
 
 
 def prediction_summary(spark, d):
-    return _rounded(evaluation.prediction_summary(_probs(spark, d).withColumn("predicted", meta.predicted_label(F.col("prob"))), "predicted"))
+    probs = _probs(spark, d)[1]
+    return _rounded(evaluation.prediction_summary(probs.withColumn("predicted", meta.predicted_label(F.col("prob"))), "predicted"))
 
 
 def _grid_results(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+REMOVES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders made by fresh_dir in this process, in their order.
 _made: list[str] = []
 
@@ -45,10 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run within leaves no shuffle files; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(REMOVES_SHUFFLES, "false")
+    spark.conf.set(REMOVES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVES_SHUFFLES, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, without its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, as a plan keeps the setting it was made under
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
@@ -65,10 +80,14 @@ def kept_folders(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        made, _made[before:] = _made[before:], []
-        for path in made:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(spark, _made[before:])
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _made.remove(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
@@ -77,5 +96,20 @@ def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
     For larger results than ``cut``; as with that, the folder is the caller's to empty when the job is over, for which there is ``kept_folders``.
     """
     path = fresh_dir(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_result(spark: SparkSession, build: Callable[[], DataFrame], purpose: str = "kept") -> DataFrame:
+    """What ``build`` returns, kept; the tables that were kept on the way to it are removed, so nothing else may read them."""
+    before = len(_made)
+    kept = keep(build(), purpose)
+    _remove(spark, _made[before:-1])
+    return kept
+
+
+def remove_kept(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the folder of a table that ``keep`` returned and that nothing reads any more."""
+    files = df.inputFiles()
+    _remove(spark, [p for p in _made if any(f"/{os.path.basename(p)}/" in f for f in files)])
