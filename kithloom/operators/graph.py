@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from kithloom.operators.order import numbered
 from kithloom.session import keep
 
 #: A member of more communities than this is a hub.
@@ -74,6 +75,32 @@ def boundary(graph: DataFrame, m: DataFrame) -> DataFrame:
     return reached.join(m, ["community", "vertex"], "left_anti")
 
 
+def boundary_counts(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFrame:
+    """(community, n_boundary): how many vertices boundary() has of each community that has any, without listing what hubs touch.
+
+    Vertices are counted by the set of hubs (members of more than ``hub`` communities) that touch them, communities are grouped by the
+    set of hubs they have, and only these sets are paired. Taken off are such vertices that are members themselves, added those that
+    only an ordinary member joins to the community. ``graph`` and ``m`` are read several times, so they should be kept tables.
+    """
+    pairs = both_directions(graph)
+    names = numbered(m.groupBy("vertex").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("vertex"), ["vertex"], "h")
+    sides = pairs.join(names.withColumnRenamed("vertex", "src"), "src")
+    touched = keep(sides.groupBy(F.col("dst").alias("vertex")).agg(F.array_sort(F.collect_list("h")).alias("hubs")), "touched")
+    inside = keep(m.join(names, "vertex").groupBy("community").agg(F.array_sort(F.collect_list("h")).alias("inside")), "inside")
+    v_sets = touched.groupBy("hubs").agg(F.count("*").alias("n")).withColumn("v_set", F.monotonically_increasing_id())
+    v_sets = keep(v_sets, "sets")
+    met = v_sets.select("v_set", "n", F.explode("hubs").alias("h")).join(inside.select("inside").distinct().select("inside", F.explode("inside").alias("h")), "h")
+    reached = met.select("inside", "v_set", "n").distinct().groupBy("inside").agg(F.sum("n").alias("n"))
+    by_hub = inside.join(reached, "inside").select("community", "n")
+    both = F.coalesce(F.arrays_overlap("hubs", "inside"), F.lit(False))
+    own = m.join(touched, "vertex").join(inside, "community").where(both).select("community", F.lit(-1).cast("long").alias("n"))
+    near = pairs.join(names.withColumnRenamed("vertex", "src"), "src", "left_anti").join(m.withColumnRenamed("vertex", "src"), "src").select("community", F.col("dst").alias("vertex")).distinct()
+    only_near = near.join(m, ["community", "vertex"], "left_anti").join(touched, "vertex", "left").join(inside, "community", "left")
+    extra = only_near.where(~both).select("community", F.lit(1).cast("long").alias("n"))
+    counted = by_hub.unionByName(own).unionByName(extra).groupBy("community").agg(F.sum("n").alias("n_boundary"))
+    return counted.where("n_boundary > 0")
+
+
 def boundary_degrees(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFrame:
     """(community, degree, n): how many vertices of each degree are in a community's boundary; boundary() counted by degree.
 

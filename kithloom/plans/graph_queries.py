@@ -142,7 +142,7 @@ def induced_subgraph(spark, d):
 
 
 def boundary_vertices(spark, d):
-    return graph.boundary(simple(spark, d), members(spark, d)).groupBy("community").agg(F.count("*").alias("n_boundary"))
+    return graph.boundary_counts(keep(simple(spark, d)), keep(members(spark, d)))
 
 
 def adjlist_lines(spark, d):

@@ -7,7 +7,7 @@ import time
 import pytest
 
 from kithloom import session as S
-from kithloom.operators import sampling
+from kithloom.operators import graph, sampling
 from kithloom.operators.codes import coded
 from kithloom.operators.membership import bipartite
 from kithloom.plans import graph_queries, io_queries
@@ -66,3 +66,16 @@ def test_links_leave_no_shuffle_files(spark, network, tmp_path, name):  # noqa:
     before = shuffle_files(spark)
     query = (graph_queries.QUERIES | io_queries.QUERIES)[name](spark, str(tmp_path))
     assert left_since(spark, before, LEFT_KB) <= LEFT_KB and query.columns
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_boundary_counts(frame, seed):
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample([f"v{i}" for i in range(30)], 2))) for _ in range(60)}
+    members = {(f"c{rng.randrange(9)}", f"v{rng.randrange(40)}") for _ in range(40)} | {(f"c{i}", f"v{j}") for i in range(9) for j in (0, 1, 2) if rng.random() < 0.7}
+    g, m = frame(sorted(edges), "src string, dst string"), bipartite(frame(sorted(members), "community string, vertex string"))
+    want: dict[str, int] = {}
+    for r in graph.boundary(g, m).collect():
+        want[r.community] = want.get(r.community, 0) + 1
+    for hub in (1, 3, 99):
+        assert {r.community: r.n_boundary for r in graph.boundary_counts(g, m, hub).collect()} == want
