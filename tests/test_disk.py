@@ -60,7 +60,7 @@ def test_codes(spark, network):  # noqa: F811
     assert len(drawn) == 99 and drawn == {tuple(r) for r in sampling.negative_sample(network, 99, 5).collect()} and not {r[:2] for r in drawn} & names
 
 
-@pytest.mark.parametrize("name", ["confusion_metrics"])
+@pytest.mark.parametrize("name", ["confusion_metrics", "topological_features"])
 def test_links_leave_no_shuffle_files(spark, network, tmp_path, name):  # noqa: F811
     network.withColumnRenamed("vertex", "__id").write.parquet(str(tmp_path / "vertices.parquet"))
     before = shuffle_files(spark)
