@@ -9,8 +9,10 @@ import pytest
 from kithloom import session as S
 from kithloom.operators import graph, sampling
 from kithloom.operators.codes import coded
+from kithloom.operators.features import FEATURES
 from kithloom.operators.membership import bipartite
 from kithloom.plans import graph_queries, io_queries
+from kithloom.sources import readers as R, writers as W
 from tests.test_features_hubs import network  # noqa: F401
 
 #: Of shuffles for some 5,000 links; what counts and other small actions leave is below it, a table of links is not.
@@ -79,3 +81,10 @@ def test_boundary_counts(frame, seed):
         want[r.community] = want.get(r.community, 0) + 1
     for hub in (1, 3, 99):
         assert {r.community: r.n_boundary for r in graph.boundary_counts(g, m, hub).collect()} == want
+
+
+def test_feature_csv_may_be_compressed(frame, tmp_path):
+    columns = ", ".join(f"{c} long" for c in FEATURES)
+    rows = frame([("a", "x", 1, 2, 3, 4, 5, 6, 1), ("b", "y", 6, 5, 4, 3, 2, 1, 0)], f"community string, vertex string, {columns}, edge_exist int")
+    W.write_feature_csv(rows, str(tmp_path / "f"), compression="gzip")
+    assert list((tmp_path / "f").glob("*.csv.gz")) and sorted(R.read_feature_csv(rows.sparkSession, str(tmp_path / "f")).collect()) == sorted(rows.collect())
