@@ -8,11 +8,12 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
 from kithloom.operators import meta
+from kithloom.operators.codes import coded
 from kithloom.operators.features import topological_features
 from kithloom.operators.linkpred import LinkPredictor, fit_links
 from kithloom.operators.membership import bipartite
-from kithloom.operators.sampling import negative_sample, positive_sample
-from kithloom.session import cut, keep
+from kithloom.operators.sampling import negative_codes, positive_sample
+from kithloom.session import keep
 from kithloom.sources import readers, writers
 
 
@@ -28,10 +29,13 @@ class Detection:
 
 def labelled_features(m: DataFrame, max_edges: int | None = None, negatives: bool = True, seed: int = 0) -> DataFrame:
     """Features of the links, and of as many non-links (stages 3 and 4)."""
-    sample = positive_sample(m, max_edges, seed)
-    if negatives:
-        sample = keep(sample.unionByName(negative_sample(m, sample.count(), seed)), "sample")
-    return topological_features(m, sample)
+    codes = coded(m)
+
+    def sample() -> DataFrame:
+        links = positive_sample(codes.links) if max_edges is None else keep(codes.encode(positive_sample(m, max_edges, seed)), "sample")
+        return links.unionByName(negative_codes(codes, links.count(), seed)) if negatives else links
+
+    return codes.decode(topological_features(codes.links, sample))
 
 
 def detect_from_features(train: DataFrame, test: DataFrame, classifier: Estimator | None = None, validation: float = 0.2, threshold: float = 0.5, seed: int = 0) -> Detection:
@@ -53,5 +57,5 @@ def detect(
         writers.write_features(train, test, save_to)
         train, test = readers.read_features(train.sparkSession, save_to)
     else:
-        train, test = cut(train), cut(test)
+        train, test = keep(train, "features"), keep(test, "features")
     return detect_from_features(train, test, classifier, validation, threshold, seed)

@@ -403,7 +403,7 @@ def _halves(spark, d):
 
 def link_prediction_gbt(spark, d):
     train, test = _halves(spark, d)
-    fitted = fit_links(cut(labelled_features(train, seed=SEED)), seed=SEED)
+    fitted = fit_links(keep(labelled_features(train, seed=SEED), "train"), seed=SEED)
     return fitted.predict(labelled_features(test, seed=SEED, negatives=False))
 
 
