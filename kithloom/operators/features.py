@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithloom.operators.membership import sizes, vertex_degrees
 from kithloom.operators.pairs import HOT, set_words
 from kithloom.operators.skew import lookup_join
 from kithloom.session import cut, keep, keep_result
 
+#: So many of the vertices of the most communities are bits of a word in the search for paths.
+PATH_HUBS = 32
 FEATURES = ("total_friends", "preferential_attachment_score", "friends_measure", "shortest_path", "vertex_1_degree", "vertex_2_degree")
 
 
@@ -134,18 +136,27 @@ def _next(frontier: DataFrame, bridges: DataFrame, key: list[str]) -> DataFrame:
     return ends.select(*key, "via").distinct().join(bridges.select(F.col("vertex").alias("via"), F.col("community").alias("at")), "via").select(*key, "at").distinct()
 
 
-def _hops_of_links(rows: DataFrame, bridges: DataFrame) -> DataFrame | None:
+def _hops_of_links(rows: DataFrame, flat: DataFrame, bridges: DataFrame) -> DataFrame | None:
     """(community, vertex, hops) of links without common friends, the link itself left out.
 
-    What is reached depends on the vertex: each row has its own frontier, from its community towards the vertex's others, never
-    through the vertex itself. It starts at the community, as a hub would begin with nearly all of them.
+    What is reached depends on the vertex: each row has its own frontier, never through the vertex itself. It starts at the community
+    or at the vertex's others, whichever have fewer memberships beside them: a side that leads nowhere is soon seen through, and a hub
+    doesn't begin with nearly all communities.
     """
-    frontier, found, length = cut(rows.select("community", "vertex", F.col("community").alias("at"))), None, 1
-    seen, ends = frontier, bridges.withColumnRenamed("community", "at")
+    beside = flat.where("degree > 1").groupBy("community").agg(F.sum("degree").alias("w"))
+    around = bridges.join(beside, "community").groupBy("vertex").agg(F.sum("w").alias("all"))
+    sides = cut(rows.select("community", "vertex").join(beside, "community").join(around, "vertex").select("community", "vertex", (F.col("all") - F.col("w") < F.col("w")).alias("back")))
+    ends = bridges.withColumnRenamed("community", "at")
+    back = sides.where("back").select("community", "vertex")
+    frontier = cut(sides.where("NOT back").select("community", "vertex", F.col("community").alias("at")).unionByName(back.join(ends, "vertex").where("at <> community")))
+    back = cut(back.withColumn("at", F.col("community")))
+    seen, found, length = frontier, None, 1
     while not frontier.isEmpty():
         length += 2
         reached = cut(_next(frontier, bridges, ["community", "vertex"]).join(seen, ["community", "vertex", "at"], "left_anti"))
-        hit = cut(reached.join(ends, ["at", "vertex"], "left_semi").select("community", "vertex").distinct().withColumn("hops", F.lit(length)))
+        # of a row that starts at its community this is never reached again, so what is met is the other side
+        met = reached.join(ends, ["at", "vertex"], "left_semi").where("at <> community").join(back, ["community", "vertex"], "left_anti").unionByName(reached.join(back, ["community", "vertex", "at"], "left_semi"))
+        hit = cut(met.select("community", "vertex").distinct().withColumn("hops", F.lit(length)))
         found = hit if found is None else found.unionByName(hit)
         frontier = cut(reached.join(hit, ["community", "vertex"], "left_anti"))
         seen = seen.unionByName(frontier)
@@ -187,11 +198,66 @@ def _hops_of_non_links(rows: DataFrame, m: DataFrame, bridges: DataFrame) -> Dat
     return found
 
 
+def _hub_words(bridges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Of communities (community, has, once, twice), of vertices (vertex, own, near), the PATH_HUBS largest hubs as bits; None without hubs.
+
+    ``has``: hubs in the community; ``once`` and ``twice``: hubs that share a community with a member, or with two; ``own``: the bit of
+    a hub itself; ``near``: hubs that share a community with the vertex.
+    """
+    top = [r["vertex"] for r in degrees.where(F.col("degree") > HOT).orderBy(F.desc("degree"), "vertex").limit(PATH_HUBS).collect()]
+    if not top:
+        return None
+    own = reduce(lambda found, i: found.when(F.col("vertex") == F.lit(top[i]), F.lit(1 << i)), range(1, len(top)), F.when(F.col("vertex") == F.lit(top[0]), F.lit(1)))
+    marked = bridges.withColumn("own", F.coalesce(own, F.lit(0)).cast("long"))
+    has = cut(marked.groupBy("community").agg(F.bit_or("own").alias("has")))
+    vertices = keep(lookup_join(marked, has, ["community"]).groupBy("vertex").agg(F.first("own").alias("own"), F.bit_or("has").alias("near")), "near")
+    counts = bridges.join(vertices, "vertex").groupBy("community").agg(*(F.count_if(F.col("near").bitwiseAND(F.lit(1 << i)) != 0).alias(f"k{i}") for i in range(len(top))))
+    word = lambda least: reduce(Column.bitwiseOR, [F.when(F.col(f"k{i}") >= least, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(len(top))])
+    return cut(has.join(counts.select("community", word(1).alias("once"), word(2).alias("twice")), "community")), vertices
+
+
+def _short_hops(rows: DataFrame, flat: DataFrame, bridges: DataFrame) -> DataFrame | None:
+    """(community, vertex, edge_exist, hops) of rows without common friends whose way leads over a hub in 5 or 7 hops; None without hubs.
+
+    Such rows have no way of 3. A hub of one end that is near the other gives 5, so nothing need be enumerated. A hub near both gives
+    7 at most; only for these the communities beside both ends are listed, over ordinary members, and 5 is left where they meet. The
+    row's vertex is never passed, so a link's own edge isn't.
+    """
+    words = _hub_words(bridges, flat.where("degree > 1").select("vertex", "degree").distinct())
+    if words is None:
+        return None
+    communities, vertices = words
+    key = ["community", "vertex", "edge_exist"]
+    ends = rows.join(flat.select(F.col("community").alias("at"), "vertex"), "vertex").where("at <> community")
+    ends = lookup_join(lookup_join(ends, communities, ["community"]), communities.toDF("at", "has2", "once2", "twice2"), ["at"])
+    ends = ends.join(vertices, "vertex", "left").fillna(0, ["own", "near"])
+    linked = F.col("edge_exist") == 1
+    others = lambda c: F.when(linked, c.bitwiseAND(F.bitwise_not("own"))).otherwise(c)
+    beside = lambda once, twice: others(F.when(linked, F.col(once).bitwiseAND(F.bitwise_not("near")).bitwiseOR(F.col(twice))).otherwise(F.col(once)))
+    a, b, near_a, near_b = others(F.col("has")), others(F.col("has2")), beside("once", "twice"), beside("once2", "twice2")
+    hops = F.when(a.bitwiseAND(near_b).bitwiseOR(near_a.bitwiseAND(b)) != 0, 5).when(near_a.bitwiseAND(near_b) != 0, 7)
+    judged = keep(ends.select(*key, "at", hops.alias("hops")), "ends")
+    best = judged.groupBy(*key).agg(F.min("hops").alias("hops")).where("hops IS NOT NULL")
+    doubtful = cut(judged.join(best.where("hops = 7"), key, "left_semi").select(*key, "at"))
+    if doubtful.isEmpty():
+        return cut(best)
+    asked = doubtful.select("community").union(doubtful.select("at")).distinct()
+    plain = bridges.join(vertices.where("own = 0"), "vertex", "left_semi")
+    next_to = plain.join(asked, "community").join(bridges.select("vertex", F.col("community").alias("x")), "vertex").where("x <> community")
+    next_to = keep(next_to.groupBy("community", "x").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi")), "beside")
+    number = next_to.groupBy("community").agg(F.count("*").alias("n"))
+    sized = doubtful.join(number, "community").join(number.toDF("at", "n2"), "at")
+    ordered = sized.select(*key, F.when(F.col("n") <= F.col("n2"), F.col("community")).otherwise(F.col("at")).alias("p"), F.when(F.col("n") <= F.col("n2"), F.col("at")).otherwise(F.col("community")).alias("q"))
+    one, two = next_to.toDF("p", "x", "lo", "hi"), next_to.toDF("q", "x", "lo2", "hi2")
+    met = ordered.join(one, "p").where("lo <> vertex OR hi <> vertex").join(two, ["q", "x"]).where("lo2 <> vertex OR hi2 <> vertex").select(*key).distinct()
+    return cut(best.join(met.withColumn("less", F.lit(5)), key, "left").select(*key, F.coalesce("less", "hops").alias("hops")))
+
+
 def shortest_paths(flat: DataFrame, known: DataFrame) -> DataFrame:
     """``known`` (community, vertex, edge_exist, friends_measure, both degrees, ...) with shortest_path, -1 where there is none.
 
-    A positive friends measure means 3, a degree of 0 means no path. For the other rows the communities within reach grow hop by
-    hop, over members of several communities, until they hold the row's own or nothing new is reached, however long that takes; each
+    A positive friends measure means 3, a degree of 0 means no path. Ways of 5 or 7 over hubs are read from words of hubs. For the
+    other rows the communities within reach grow hop by hop, over members of several communities, until they hold the row's own or nothing new is reached, however long that takes; each
     hop is cut from its lineage. ``flat``, which is with_vertex_degree(m), and ``known`` are read in every hop, so they should be kept tables.
     """
     simple = F.when(F.col("friends_measure") > 0, 3).when((F.col("vertex_1_degree") == 0) | (F.col("vertex_2_degree") == 0), -1)
@@ -200,15 +266,19 @@ def shortest_paths(flat: DataFrame, known: DataFrame) -> DataFrame:
     if open_rows.isEmpty():
         return known
     bridges = flat.where("degree > 1").select("community", "vertex")
+    short = _short_hops(open_rows, flat, bridges)
+    if short is not None:
+        open_rows = cut(open_rows.join(short, ["community", "vertex", "edge_exist"], "left_anti"))
     parts = [
-        _hops_of_links(open_rows.where("edge_exist = 1").drop("edge_exist"), bridges),
+        _hops_of_links(open_rows.where("edge_exist = 1").drop("edge_exist"), flat, bridges),
         _hops_of_non_links(open_rows.where("edge_exist <> 1").drop("edge_exist"), flat, bridges),
     ]
-    found = [p.withColumn("edge_exist", F.lit(e)) for p, e in zip(parts, (1, 0)) if p is not None]
+    found = [p.withColumn("edge_exist", F.lit(e)) for p, e in zip(parts, (1, 0)) if p is not None] + ([] if short is None else [short])
     if not found:
         return known.withColumn("shortest_path", F.coalesce("shortest_path", F.lit(-1)))
-    joined = known.join(reduce(DataFrame.unionByName, found), ["community", "vertex", "edge_exist"], "left")
-    return joined.withColumn("shortest_path", F.coalesce("shortest_path", "hops", F.lit(-1))).drop("hops")
+    joined = known.where("shortest_path IS NULL").join(reduce(DataFrame.unionByName, found), ["community", "vertex", "edge_exist"], "left")
+    searched = joined.withColumn("shortest_path", F.coalesce("hops", F.lit(-1))).drop("hops")
+    return known.where("shortest_path IS NOT NULL").unionByName(searched)  # so only searched rows are moved for the join
 
 
 def topological_features(m: DataFrame, sample: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
