@@ -7,6 +7,7 @@ import pytest
 
 from kithloom.operators import features as X
 from kithloom.operators.membership import bipartite
+from kithloom.plans import io_queries
 from tests.test_features import brute
 from tests.test_features_hubs import moved
 
@@ -44,3 +45,11 @@ def test_ways_to_nowhere_cost_little(spark, frame):
     before = moved(spark)
     got = Counter(r.shortest_path for r in X.topological_features(m).where("community <> 'all' OR vertex LIKE 'x%'").collect())
     assert got == {-1: 900, 3: 1400} and moved(spark) - before < PATHS_MB
+
+
+@pytest.mark.parametrize("name", ["features_roundtrip", "feature_csv_roundtrip"])
+def test_written_features_cost_little(spark, frame, tmp_path, name):
+    edges = {("all", f"v{i}") for i in range(1400)} | {(f"b{i % 700}", f"v{i}") for i in range(1400)} | {(f"s{i}", x) for i in range(300) for x in (f"x{i}", f"y{i}")} | {("all", f"x{i}") for i in range(300)}
+    frame(sorted(edges), "community string, __id string").write.parquet(str(tmp_path / "vertices.parquet"))
+    before = moved(spark)
+    assert io_queries.QUERIES[name](spark, str(tmp_path)).where("shortest_path = -1").count() == 900 and moved(spark) - before < PATHS_MB
