@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from kithloom.operators.order import numbered
-from kithloom.session import keep
+from kithloom.session import cut, keep
 
 #: A member of more communities than this is a hub.
 HUB = 32
@@ -101,16 +101,17 @@ def boundary_counts(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFrame
     return counted.where("n_boundary > 0")
 
 
-def boundary_degrees(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFrame:
+def boundary_degrees(graph: DataFrame, m: DataFrame, hub: int = HUB, deg: DataFrame | None = None) -> DataFrame:
     """(community, degree, n): how many vertices of each degree are in a community's boundary; boundary() counted by degree.
 
     A vertex next to a hub, a member of more than ``hub`` communities, is in the boundary of nearly all of them, which makes the
     boundaries themselves as large as vertices times communities. So vertices are counted by the set of hubs they touch: all
     vertices with the same set reach the same communities through it. Taken off are those that are members there, added those that
     only an ordinary vertex joins to a community. Sets are known by a 128-bit hash; where there are nearly as many as vertices, which
-    leaves nothing to be gained, the boundaries are listed after all.
+    leaves nothing to be gained, the boundaries are listed after all. The parts are counted one after the other, so that they don't
+    have shuffle files at a time. ``deg`` is degrees(graph) if that is already there.
     """
-    deg, pairs = degrees(graph), both_directions(graph)
+    deg, pairs = degrees(graph) if deg is None else deg, both_directions(graph)
     hubs = m.groupBy("vertex").agg(F.count("*").alias("n")).where(F.col("n") > hub).select(F.col("vertex").alias("src"))
     touched = pairs.join(hubs, "src", "left_semi").groupBy(F.col("dst").alias("vertex")).agg(F.array_sort(F.collect_list("src")).alias("hubs"))
     touched = keep(touched.withColumn("set", F.md5(F.to_json("hubs"))).join(deg, "vertex"), "touched")
@@ -118,12 +119,14 @@ def boundary_degrees(graph: DataFrame, m: DataFrame, hub: int = HUB) -> DataFram
     if sets.count() * FEW_SETS > touched.count():
         return boundary(graph, m).join(deg, "vertex").groupBy("community", "degree").agg(F.count("*").alias("n"))
     near = pairs.join(hubs, "src", "left_anti").join(m.withColumnRenamed("vertex", "src"), "src").select("community", F.col("dst").alias("vertex")).distinct()
+    only_near = keep(near.join(m, ["community", "vertex"], "left_anti"), "near")
     reached = keep(sets.select("set", F.explode("hubs").alias("vertex")).join(m, "vertex").select("set", "community").distinct(), "reached")
     by_hub = touched.groupBy("set", "degree").agg(F.count("*").alias("n")).join(reached, "set").select("community", "degree", "n")
     own = m.join(touched.drop("hubs"), "vertex").join(reached, ["set", "community"], "left_semi").select("community", "degree", F.lit(-1).cast("long").alias("n"))
-    only_near = near.join(m, ["community", "vertex"], "left_anti").join(deg, "vertex").join(touched.select("vertex", "set"), "vertex", "left")
-    extra = only_near.join(reached, ["set", "community"], "left_anti").select("community", "degree", F.lit(1).cast("long").alias("n"))
-    counted = by_hub.unionByName(own).unionByName(extra).groupBy("community", "degree").agg(F.sum("n").alias("n"))
+    placed = only_near.join(deg, "vertex").join(touched.select("vertex", "set"), "vertex", "left")
+    extra = placed.join(reached, ["set", "community"], "left_anti").select("community", "degree", F.lit(1).cast("long").alias("n"))
+    parts = [cut(p.groupBy("community", "degree").agg(F.sum("n").alias("n"))) for p in (by_hub, own, extra)]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("community", "degree").agg(F.sum("n").alias("n"))
     return counted.where("n > 0")
 
 

@@ -142,7 +142,8 @@ def _real_scores(spark, d) -> DataFrame:
     """Our scores and the baselines' of every community, by size group, with made-up anomalies."""
     m = keep(q.members(spark, d))
     ours = keep_result(spark, lambda: meta.rank_features(q.scores(spark, d, 4)), "ours")
-    scores = ours.unionByName(q._rounded(measures.rank_measures(cut(q.simple(spark, d)), m), 4))
+    baselines = keep_result(spark, lambda: measures.rank_measures(keep(q.simple(spark, d), "graph"), m), "baselines")
+    scores = ours.unionByName(q._rounded(baselines, 4))
     marked = evaluation.label_anomalous(scores, q._anomalous(m).where("is_anomalous").select("community"))
     group = F.when(F.substring(F.md5("community"), 2, 1) < "8", "min").otherwise("median")
     return marked.select(group.alias("size_group"), F.lit(0).alias("network"), F.col("feature").alias("algorithm"), "community", "score", "is_anomalous")

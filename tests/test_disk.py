@@ -7,7 +7,7 @@ import time
 import pytest
 
 from kithloom import session as S
-from kithloom.operators import graph, sampling
+from kithloom.operators import graph, measures, order, sampling
 from kithloom.operators.codes import coded
 from kithloom.operators.features import FEATURES
 from kithloom.operators.membership import bipartite
@@ -70,6 +70,19 @@ def test_links_leave_no_shuffle_files(spark, network, tmp_path, name):  # noqa:
     assert left_since(spark, before, LEFT_KB) <= LEFT_KB and query.columns
 
 
+def test_measures_are_ranked_from_finished_tables(spark, frame, monkeypatch):
+    joins = []
+
+    def watched(df, purpose):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return S.keep(df, purpose)
+
+    monkeypatch.setattr(order, "keep", watched)
+    g = frame([(f"v{i}", f"v{j}") for i in range(6) for j in range(i + 1, 6)], "src string, dst string")
+    m = bipartite(frame([("a", "v0"), ("a", "v1"), ("b", "v1"), ("b", "v2"), ("b", "v3")], "community string, vertex string"))
+    assert measures.rank_measures(g, m).count() == 2 * len(measures.MEASURES) and joins == [0]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_boundary_counts(frame, seed):
     rng = random.Random(seed)
