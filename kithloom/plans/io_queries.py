@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kithloom.operators import evaluation, features, generators, graph, measures, membership, meta, sampling
 from kithloom.plans import graph_queries as q, graph_sql
 from kithloom.plans.detector import detect
-from kithloom.session import cut, fresh_dir, keep, keep_result, kept_folders
+from kithloom.session import cut, fresh_dir, keep, keep_result, kept_folders, remove_kept
 from kithloom.sources import readers as R, writers as W
 
 
@@ -66,7 +66,9 @@ def bipartite_roundtrip(spark, d):
 
 def _features(spark, d) -> DataFrame:
     codes = q.coded_members(spark, d)
-    return codes.decode(features.topological_features(codes.links))
+    found = keep_result(spark, lambda: features.topological_features(codes.links), "features")
+    remove_kept(spark, codes.links)
+    return codes.decode(found)
 
 
 def features_roundtrip(spark, d):

@@ -8,7 +8,7 @@ import pytest
 
 from kithloom import session as S
 from kithloom.operators import graph, measures, order, sampling
-from kithloom.operators.codes import coded
+from kithloom.operators.codes import Codes, coded
 from kithloom.operators.features import FEATURES
 from kithloom.operators.membership import bipartite
 from kithloom.plans import graph_queries, io_queries
@@ -70,6 +70,20 @@ def test_links_leave_no_shuffle_files(spark, network, tmp_path, name):  # noqa:
     assert left_since(spark, before, LEFT_KB) <= LEFT_KB and query.columns
 
 
+@pytest.mark.parametrize("name", ["feature_csv_roundtrip", "features_roundtrip"])
+def test_names_come_in_when_the_way_is_cleared(spark, network, tmp_path, monkeypatch, name):  # noqa: F811
+    network.withColumnRenamed("vertex", "__id").write.parquet(str(tmp_path / "vertices.parquet"))
+    there, decode, before = [], Codes.decode, set(S._made)
+
+    def watched(codes, df):
+        there.extend(os.path.basename(p).split("-")[0] for p in S._made if p not in before)
+        return decode(codes, df)
+
+    monkeypatch.setattr(Codes, "decode", watched)
+    assert io_queries.QUERIES[name](spark, str(tmp_path)).count() == network.count()
+    assert there.count("features") == 2 and not {"links", "members"} & set(there)  # what is to be written, and the finished features
+
+
 def test_measures_are_ranked_from_finished_tables(spark, frame, monkeypatch):
     joins = []
 
